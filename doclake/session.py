@@ -85,3 +85,11 @@ def _clean() -> None:
             drop_path(spark, path.rsplit("/", 1)[0])
         except Exception:  # the JVM may be gone before this interpreter
             return
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """At most ``rows`` rows in an Arrow batch, so long texts cannot fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

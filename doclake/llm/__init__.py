@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat", "sharding", "exact_dedup", "lines", "mixing")
+MODULES = ("chat", "near_dedup", "sharding", "language", "byte_bpe", "token_counts", "exact_dedup", "topk", "lines", "mixing")
 
 
 def queries() -> dict:

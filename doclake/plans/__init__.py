@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("search",)
 
 
 def queries() -> dict:
@@ -13,3 +13,8 @@ def queries() -> dict:
 
 def oracles() -> dict:
     return {name: sql for m in MODULES for name, sql in import_module(f"{__name__}.{m}").ORACLES.items()}
+
+
+def flagship(spark, sf_dir: str):
+    """Ranked phrase search."""
+    return queries()["search_phrase"](spark, sf_dir)

@@ -9,17 +9,20 @@ registers agree with a probability close to the Jaccard similarity.
 1. One pass over the texts: exact set, its digest, registers, band hashes
    (a band is ROWS register values). Documents with equal sets form a class and
    only its first row goes on.
-2. Classes that share a band are candidates. Each is paired with the smallest
-   class of each of its bands: a number of pairs linear in the rows, never all
-   pairs of a bucket.
+2. Classes that share a band are candidates. What a candidate's set shares with
+   any other candidate, counted exactly, bounds what it shares with one of
+   them; a candidate that cannot reach the threshold so goes. Each bucket's star
+   is the member that shares most of its set, and every member is paired with
+   its buckets' stars: a number of pairs linear in the rows.
 3. A pair's similarity is estimated jointly from the registers that are above,
    below and equal, by maximum likelihood given the known set sizes; pairs far
    below the threshold go. The rest are verified on the full sets, recomputed
-   from the whole texts, first one pair for each class, then what
-   is still in different components.
+   from the whole texts. This goes in rounds: one pair for each class, then
+   of the pairs whose ends are still in different components again one for each
+   class, until no more are left than there are classes; those go in one round.
 4. A bucket whose members are by now in one component is settled. In the
-   others the members of different components are compared with one another, so
-   no link within a bucket is lost to step 2.
+   others, members of different components are compared exactly with one another
+   inside a join that only links leave, so no link within a bucket is lost.
 
 A pair at similarity 0.8 shares a band with probability
 ``1 - (1 - 0.8**8)**64 = 1 - 8e-6``; more similar pairs are surer.
@@ -197,6 +200,30 @@ def _similar_sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
 
 
+def _may_reach(a_n: Column, a_shared: Column, b_n: Column, b_shared: Column) -> Column:
+    """Whether two sets can reach the threshold: they share no more than what each shares with any candidate."""
+    most = F.least(a_shared, b_shared)
+    return _similar_sizes(a_n, b_n) & (most * 100 >= (a_n + b_n - most) * THRESHOLD)
+
+
+def shared_sizes(nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, shared): how many of a candidate's shingles occur in another candidate as well.
+
+    Two aggregations by shingle and by node; shingles are exact 64-bit members of
+    the full sets. A candidate of which too few are shared can have no link.
+    """
+
+    @F.pandas_udf("array<long>")
+    def members(texts: pd.Series) -> pd.Series:
+        return pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist(), width)])
+
+    single = nodes.select("node", F.explode(members("text")).alias("shingle")).groupBy("shingle")
+    single = single.agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1")
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rows = nodes.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    return rows.filter(F.col("shared") * 100 >= F.col("n") * THRESHOLD)
+
+
 def _ends(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     """Pairs with the named columns of both ends, as a_x and b_x."""
     for end in ("a", "b"):
@@ -242,7 +269,39 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
         pairs = pairs.withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    return pairs.filter("a_root <> b_root").select("a", "b")
+    return pairs.filter("a_root <> b_root").drop("a_root", "b_root")
+
+
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are still in different components.
+
+    Each such member is written as its bucket's star with some shingles taken
+    away and some added, so two members' exact intersection is
+    ``|star| - |gone_a| - |gone_b| + |gone_a & gone_b| + |new_a & new_b|``. The
+    join evaluates that and only links leave it: pairs are compared but never
+    materialised, and buckets within one component are not compared at all.
+    """
+
+    @F.pandas_udf("struct<gone:array<long>,new:array<long>>")
+    def edits(star: pd.Series, text: pd.Series) -> pd.DataFrame:
+        texts = list(dict.fromkeys([*star, *text]))
+        sets = {t: s.view(np.int64) for t, s in zip(texts, shingle_sets(texts, width), strict=True)}
+        both = [(sets[a], sets[b]) for a, b in zip(star, text, strict=True)]
+        return pd.DataFrame({"gone": [np.setdiff1d(a, b) for a, b in both], "new": [np.setdiff1d(b, a) for a, b in both]})
+
+    rows = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    rows = cut(rows.join(mixed, "band", "left_semi"), "open")
+    ends = _ends(rows.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), nodes, "text")
+    ends = ends.select(F.col("a").alias("star"), F.col("b").alias("node"), edits("a_text", "b_text").alias("e")).select("star", "node", "e.*")
+    rows = cut(rows.join(ends, ["star", "node"]), "edited")
+    left, right = (rows.select("band", *[F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "shared", "root", "star_n", "gone", "new")]) for e in ("a", "b"))
+    both = F.col("a_star_n") - F.size("a_gone") - F.size("b_gone") + F.size(F.array_intersect("a_gone", "b_gone")) + F.size(F.array_intersect("a_new", "b_new"))
+    linked = both * 100 >= (F.col("a_n") + F.col("b_n") - both) * THRESHOLD
+    reach = _may_reach(F.col("a_n"), F.col("a_shared"), F.col("b_n"), F.col("b_shared"))
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+    found = left.join(right, (left["band"] == right["band"]) & apart & reach & linked)
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -255,35 +314,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     leaders = rows.select("row_id", "bands").join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     bands = leaders.select(F.col("row_id").alias("node"), F.explode("bands").alias("band"))
-    stars = bands.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("other")).filter("star <> other").select("band", "star")
-    pairs = bands.join(stars, "band").filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
+    shared_bands = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band")
+    members = cut(bands.join(shared_bands, "band", "left_semi"), "members")
 
-    ids = cut(pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    nodes = rows.select(F.col("row_id"), "n", "registers", "bands", F.col("doc")[text_col].alias("text"))
-    nodes = nodes.join(F.broadcast(ids) if few else ids, "row_id", "left_semi").withColumnRenamed("row_id", "node")
+    ids = cut(members.select(F.col("node").alias("row_id")).distinct(), "ids")
+    most = ids.count()
+    nodes = rows.select("row_id", "n", "registers", F.col("doc")[text_col].alias("text"))
+    nodes = nodes.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "row_id", "left_semi").withColumnRenamed("row_id", "node")
     nodes = cut(nodes, "nodes")
+    sizes = cut(shared_sizes(nodes, width), "sizes")
+
+    # a bucket's star is the member that shares most of its set: a base text rather than an edited copy
+    members = members.join(sizes, "node")
+    share = F.floor(F.col("shared") * 1_000_000 / F.col("n"))
+    stars = members.groupBy("band").agg(F.max(F.struct(share.alias("share"), (-F.col("node")).alias("minus"), "n", "shared")).alias("star"))
+    members = members.join(stars, "band").select(
+        "band", "node", "n", "shared", (-F.col("star.minus")).alias("star"), F.col("star.n").alias("star_n"), F.col("star.shared").alias("star_shared"), "star.share"
+    )
+    members = cut(members, "members")
+    reach = _may_reach(F.col("star_n"), F.col("star_shared"), F.col("n"), F.col("shared"))
+    pairs = members.filter((F.col("node") != F.col("star")) & reach).select(F.col("star").alias("a"), F.col("node").alias("b"), "share").distinct()
+    pairs = cut(pairs, "pairs")
 
-    hopeful = cut(plausible(pairs, nodes), "hopeful")
-    nearest = hopeful.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(verified(nearest, nodes, width), "links")
-    labels = components(links)
-    more = _apart(hopeful.join(nearest, ["a", "b"], "left_anti"), labels)
-    links = cut(links.unionByName(verified(more, nodes, width)), "links")
-    labels = components(links)
-
-    # buckets whose members are still apart: compare across components
-    open_bands = nodes.select("node", "n", F.explode("bands").alias("band")).join(labels, "node", "left")
-    open_bands = open_bands.withColumn("root", F.coalesce("root", "node"))
-    mixed = open_bands.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    open_bands = cut(open_bands.join(mixed, "band", "left_semi"), "open")
-    left = open_bands.select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    right = open_bands.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    across = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-    across = across.filter(_similar_sizes(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
-    across = cut(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    late = cut(verified(cut(plausible(across, nodes), "hopeful"), nodes, width), "links")
+    # each round: at most one pair a class, then only what is still in different components
+    links, labels, rounds = pairs.select("a", "b").limit(0), components(pairs.select("a", "b").limit(0)), 0
+    while not pairs.isEmpty():
+        last = rounds > 0 and pairs.count() <= most
+        best = F.max(F.struct("share", (-F.col("a")).alias("minus")))
+        batch = pairs.select("a", "b") if last else pairs.groupBy("b").agg(best.alias("m")).select((-F.col("m.minus")).alias("a"), "b")
+        batch = cut(batch, "batch")
+        links = cut(links.unionByName(verified(cut(plausible(batch, nodes), "hopeful"), nodes, width)), "links")
+        labels = components(links)
+        if last:
+            break
+        pairs = cut(_apart(pairs.join(batch, ["a", "b"], "left_anti"), labels), "pairs")
+        rounds += 1
+
+    late = cut(across(members, labels, nodes, width), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
 

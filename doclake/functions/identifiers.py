@@ -23,7 +23,7 @@ TEXT_FIELDS = ("title", "container", "publisher")
 AUTHORS = "array<struct<family:string,given:string,name:string>>"
 BRACKETS = ((")", "("), ("]", "["), ("}", "{"))
 #: Rounds of trimming; each drops a layer of punctuation or one unbalanced closing bracket.
-TRIM_ROUNDS = 4
+TRIM_ROUNDS = 8
 
 
 def find_doi(text: Column) -> Column:
@@ -39,14 +39,16 @@ def _count(text: Column, char: str) -> Column:
 def normalise_doi(raw: Column) -> Column:
     """Canonical lower-case DOI, or null."""
     text = F.regexp_replace(F.btrim(F.coalesce(raw, F.lit(""))), DOI_PREFIX, "")
-    for _ in range(TRIM_ROUNDS):
-        text = F.rtrim(text, F.lit(TRAILING))
-        drop = F.endswith(text, F.lit(">"))
+
+    def trim(acc: Column, _: Column) -> Column:
+        drop = F.endswith(acc, F.lit(">"))
         for close, open_ in BRACKETS:
-            drop = drop | (F.endswith(text, F.lit(close)) & (_count(text, open_) < _count(text, close)))
-        text = F.when(drop, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    text = F.lower(F.rtrim(text, F.lit(TRAILING)))
-    return F.when((F.length(text) <= MAX_DOI) & text.rlike(DOI_VALID), text)
+            drop = drop | (F.endswith(acc, F.lit(close)) & (_count(acc, open_) < _count(acc, close)))
+        return F.rtrim(F.when(drop, F.substr(acc, F.lit(1), F.length(acc) - 1)).otherwise(acc), F.lit(TRAILING))
+
+    # a fold, so that the expression does not grow with the rounds
+    trimmed = F.aggregate(F.sequence(F.lit(1), F.lit(TRIM_ROUNDS)), F.rtrim(text, F.lit(TRAILING)), trim, F.lower)
+    return F.transform(F.array(trimmed), lambda t: F.when((F.length(t) <= MAX_DOI) & t.rlike(DOI_VALID), t))[0]
 
 
 def find_dois(text: Column) -> Column:

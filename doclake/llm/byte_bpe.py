@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from doclake.session import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-MEMO = 800_000
+MEMO = 600_000
 LONG_WORD = 256
 WORDS_PER_QUERY = 200_000
 BATCH_ROWS = 2_000
@@ -74,6 +74,10 @@ def spaced(pattern: str) -> str:
     return pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
 
 
+#: A space beside white space: there a cut at the space would not be a cut of the pattern.
+_PAIRS = ["  ", *(p for c in "\t\n\x0b\x0c\r" for p in (" " + c, c + " "))]
+
+
 class Codec:
     """Encoder and decoder over one rank file; texts in, packed little-endian ids out, and back."""
 
@@ -109,21 +113,23 @@ class Codec:
 
     def units(self, text: str) -> list[str]:
         """Stretches between cuts; a space belongs to each but the first."""
-        return self.cuts.split(text) if self.uneven.search(text) else text.split(" ")
+        uneven = any(pair in text for pair in _PAIRS) if text.isascii() else self.uneven.search(text)
+        return self.cuts.split(text) if uneven else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        first = [(u := self.units(t))[0] for t in texts]
-        fresh = {u for t in texts for u in self.units(t)[1:] if u not in memo}
+        split = [self.units(t) for t in texts]
+        first = [units.pop(0) for units in split]
+        fresh = list({u for units in split for u in units if u not in memo})
         spaced_units = [" " + u for u in fresh]
         heads = list(dict.fromkeys(first))
         ids = self._encode_units(spaced_units + heads)
         memo.update(zip(fresh, ids, strict=False))
         head = dict(zip(heads, ids[len(spaced_units) :], strict=True))
-        return [head[u] + b"".join(map(memo.__getitem__, self.units(t)[1:])) for u, t in zip(first, texts, strict=True)]
+        return [head[u] + b"".join(map(memo.__getitem__, units)) for u, units in zip(first, split, strict=True)]
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         split = [self.words.findall(u) for u in units]
@@ -193,11 +199,10 @@ class Codec:
     def decode(self, packed: list[bytes]) -> list[bytes]:
         if len(self.segments) > MEMO:
             self.segments.clear()
-        memo, fresh = self.segments, {}
-        for ids in packed:
-            fresh.update(dict.fromkeys(s for s in self._segments(ids) if s not in memo))
-        if fresh:
-            keys = list(fresh)
+        memo = self.segments
+        split = [self._segments(ids) for ids in packed]
+        keys = list({s for segments in split for s in segments if s not in memo})
+        if keys:
             lengths = np.array([len(s) // 4 for s in keys])
             starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
             table = {
@@ -209,7 +214,7 @@ class Codec:
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("segments")
             memo.update(zip(keys, map(bytes.fromhex, found["hex"].to_pylist()), strict=True))
-        return [b"".join(map(memo.__getitem__, self._segments(ids))) for ids in packed]
+        return [b"".join(map(memo.__getitem__, segments)) for segments in split]
 
     def _segments(self, packed: bytes) -> list[bytes]:
         """Runs of ids that begin where a token begins with a space."""

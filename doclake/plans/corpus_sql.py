@@ -79,7 +79,7 @@ metadata_candidate AS (
   FROM (
     SELECT document_id, no, k, ['title', 'title', 'doi', 'year'][k + 1] AS field, ['pdf_layout', 'pdf_info', 'pdf_text_doi', 'provider'][k + 1] AS source,
            CASE k WHEN 0 THEN title
-                  WHEN 1 THEN CASE no % 4 WHEN 0 THEN upper(title) WHEN 1 THEN 'Other title number ' || no ELSE title END
+                  WHEN 1 THEN CASE no % 4 WHEN 0 THEN title || ' .' WHEN 1 THEN 'Other title number ' || no ELSE title END
                   WHEN 2 THEN '10.5555/doc.' || (no % 100)
                   ELSE (1990 + no % 35 + CASE WHEN no % 9 = 0 THEN 1 ELSE 0 END)::VARCHAR END AS value
     FROM titled, range(4) r(k) WHERE title <> '')),

@@ -172,7 +172,7 @@ class Catalog:
     @cached_property
     def metadata_candidate(self) -> DataFrame:
         n, k = F.col("no"), F.col("k")
-        other = F.when(n % 4 == 0, F.upper("title")).when(n % 4 == 1, F.concat(F.lit("Other title number "), n.cast("string"))).otherwise(F.col("title"))
+        other = F.when(n % 4 == 0, F.concat("title", F.lit(" ."))).when(n % 4 == 1, F.concat(F.lit("Other title number "), n.cast("string"))).otherwise(F.col("title"))
         value = (
             F.when(k == 0, F.col("title"))
             .when(k == 1, other)

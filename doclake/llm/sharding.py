@@ -130,7 +130,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_sql(tree: HashTree, out: str) -> str:
-    """CTEs that walk the tree in DuckDB; DuckDB has no crc32, so the oracle covers the placement (see tests)."""
+    """CTEs that walk the tree in DuckDB."""
     edges = ", ".join(f"('{a}', '{b}', {w!r})" for a, b, w in tree.children())
     leaves = ", ".join(f"('{p}', {s})" for p, s in tree.shards.items())
     draw = f"-ln({uniform_sql('''k || '|' || child''')}) / weight"
@@ -144,13 +144,19 @@ def _walk_sql(tree: HashTree, out: str) -> str:
     )
 
 
-PLACEMENT_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+steps(n, c, s) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, xor(c >> 1, 3988292384 * (c & 1)), s + 1 FROM steps WHERE s < 8),
+remainders AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE s = 8),
+crc AS (
+  SELECT i, xor(4294967295, list_reduce(list_transform(range(1, size), lambda p: ('0x' || substr(h, 2 * p - 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM d, remainders),
 {_walk_sql(HashTree.for_shards(16), "shard")}, {_walk_sql(HashTree.for_shards(17), "grown_shard")}
-SELECT doc_id, size::BIGINT AS size, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size) - 1 AS slot, grown_shard
-FROM d JOIN shard_at USING (k) JOIN grown_shard_at USING (k)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM d JOIN crc USING (i) JOIN shard_at USING (k) JOIN grown_shard_at USING (k)
 """
 
 QUERIES = {"op3_sharding": op3_sharding}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_sharding": SQL}

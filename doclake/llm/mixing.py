@@ -66,7 +66,8 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     )
     level = (F.col("__all") - cap * F.col("__s0")) / (F.col("__w") - F.col("__w0"))
     fits = level * F.col("weight") <= F.lit(float(cap)) * F.col("source_size")
-    rows = rows.withColumn("__level", F.min(F.when(fits, level)).over(everyone))
+    # capping raises the level while the capped are below it and lowers it after: the right one is the largest
+    rows = rows.withColumn("__level", F.max(F.when(fits, level)).over(everyone))
     capped = F.lit(float(cap)) * F.col("source_size")
     target = F.least(capped, F.coalesce(F.col("__level") * F.col("weight"), capped))
     return rows.select("source", "source_size", "weight", target.alias("target"))
@@ -158,7 +159,7 @@ r AS (
 l AS (SELECT *, (a - {CAP} * s0)::DOUBLE / (tw - w0)::DOUBLE AS level FROM r),
 t AS (
   SELECT source, source_size,
-         least({CAP}.0::DOUBLE * source_size, coalesce(min(CASE WHEN level * weight <= {CAP}.0::DOUBLE * source_size THEN level END) OVER () * weight,
+         least({CAP}.0::DOUBLE * source_size, coalesce(max(CASE WHEN level * weight <= {CAP}.0::DOUBLE * source_size THEN level END) OVER () * weight,
                {CAP}.0::DOUBLE * source_size)) AS target
   FROM l),
 x AS (

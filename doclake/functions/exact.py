@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_text(text: str | None) -> str:
@@ -20,22 +21,22 @@ def key_text(text: str | None) -> str:
     return re.sub(r"[\W_]+", "", fold_text(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def alnum_key(texts: pd.Series) -> pd.Series:
     return texts.map(key_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
@@ -46,6 +47,6 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

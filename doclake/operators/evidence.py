@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doclake.functions.identifiers import DOI, find_dois, normalise_doi
+from doclake.functions.identifiers import ARXIV_IN_TEXT, DOI, ISBN_IN_TEXT, find_dois, isbn_digits, isbn_ok, normalise_doi
 
 # Score parts, thresholds and cue words.
 OWN_SCORE, OWN_MARGIN, AMBIGUOUS_FLOOR, DENSE_PAGE_DOIS, CROWDED_FRONT_DOIS, FRONT_PAGES, PAGES_EACH_END = 4, 2, 1, 6, 4, 2, 100
@@ -112,3 +112,16 @@ def demote_shared(classified: DataFrame) -> DataFrame:
     rows = classified.join(shared_dois(classified), "doi", "left")
     shared = F.col("documents").isNotNull() & (F.col("classification") == "own")
     return rows.select("document_id", "doi", "score", F.when(shared, "ambiguous").otherwise(F.col("classification")).alias("classification"), "documents")
+
+
+def identifier_specs(pages: DataFrame, isbn_pages: int = 10) -> DataFrame:
+    """ISBN proposals from the first pages and arXiv proposals from page one: field, value, confidence, review."""
+    found = pages.filter(F.col("pdf_page") <= isbn_pages).select("document_id", F.explode(F.regexp_extract_all("text", F.lit(ISBN_IN_TEXT), 1)).alias("raw"))
+    isbn = found.select("document_id", isbn_digits(F.col("raw")).alias("value")).filter(isbn_ok(F.col("value"))).distinct()
+    isbn = isbn.select("document_id", F.lit("isbn").alias("field"), "value", F.lit("medium").alias("confidence"), F.lit("required").alias("review"))
+    one = pages.filter("pdf_page = 1").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(ARXIV_IN_TEXT), 1)).alias("value")).distinct()
+    several = one.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    arxiv = one.join(several, "document_id").select(
+        "document_id", F.lit("arxiv").alias("field"), "value", F.when(F.col("n") == 1, "high").otherwise("ambiguous").alias("confidence"), F.when(F.col("n") == 1, "safe").otherwise("required").alias("review")
+    )
+    return isbn.unionByName(arxiv)

@@ -74,6 +74,33 @@ def safe_batch(candidates: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("document_id", "field", F.when(F.col("keys") == 1, F.col("value")).alias("value"), action.alias("action"))
 
 
+def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Candidates after decisions (candidate_id, decision accept or reject).
+
+    Open candidates that agree with an accepted one of their document and field
+    are accepted with it; a rejection stands for itself; accepted ones stay.
+    """
+    rows = candidates.withColumn("key", agreement_key(F.col("field"), F.col("value"))).join(decisions, "candidate_id", "left")
+    taken = rows.filter("decision = 'accept'").select("document_id", "field", "key").distinct().withColumn("agrees", F.lit(True))
+    rows = rows.join(taken, ["document_id", "field", "key"], "left")
+    open_ = F.col("status").isin("proposed", "stale", "set_aside")
+    status = (
+        F.when(F.col("decision") == "accept", "accepted")
+        .when((F.col("decision") == "reject") & (F.col("status") != "accepted"), "rejected")
+        .when(open_ & F.col("agrees"), "accepted")
+        .otherwise(F.col("status"))
+    )
+    return rows.select("candidate_id", "document_id", "field", F.col("status").alias("old_status"), status.alias("status"))
+
+
+def verify_hashes(known: DataFrame, read: DataFrame) -> DataFrame:
+    """(location_id, result) of reading files again; ``read``: location_id, artifact_id, outcome (ok, changing, unreadable)."""
+    again = read.select("location_id", F.col("artifact_id").alias("now"), "outcome")
+    rows = known.select("location_id", "artifact_id").join(again, "location_id", "left")
+    result = F.when(F.col("outcome").isNull(), "missing").when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("now") == F.col("artifact_id"), "ok").otherwise("mismatch")
+    return rows.select("location_id", result.alias("result"))
+
+
 def fold_events(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Last value per key of an append-only log."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("value"), F.count(F.lit(1)).alias("events"))

@@ -193,11 +193,11 @@ def detect(c) -> DataFrame:
 
 def reachable(edges: DataFrame, kind: str) -> DataFrame:
     """(start, node, depth): everything reachable along live edges of one kind; cycles end by the distinct union."""
-    edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select("source_id", "target_id").createOrReplaceTempView("doclake_edges")
+    edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select("source_id", "target_id").createOrReplaceTempView(f"doclake_edges_{kind}")
     return edges.sparkSession.sql(
-        """WITH RECURSIVE walk(start, node, depth) AS (
-             SELECT source_id, target_id, 1 FROM doclake_edges
-             UNION ALL SELECT w.start, e.target_id, w.depth + 1 FROM walk w JOIN doclake_edges e ON e.source_id = w.node WHERE w.depth < 32 AND w.node <> w.start)
+        f"""WITH RECURSIVE walk(start, node, depth) AS (
+             SELECT source_id, target_id, 1 FROM doclake_edges_{kind}
+             UNION ALL SELECT w.start, e.target_id, w.depth + 1 FROM walk w JOIN doclake_edges_{kind} e ON e.source_id = w.node WHERE w.depth < 32 AND w.node <> w.start)
            SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node"""
     )
 
@@ -212,3 +212,28 @@ def merged_survivors(pairs: DataFrame) -> DataFrame:
              WHERE m.merged_into IS NOT NULL AND c.depth < 32)
            SELECT document_id, max_by(survivor, depth) AS survivor, max(depth) AS depth FROM chain GROUP BY document_id"""
     )
+
+
+ACYCLIC = ("part_of", "supplement_of", "version_of")
+
+
+def additions(edges: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Outcome of adding each edge (kind, source_id, target_id): itself, unknown, exists, cycle or added."""
+    live = edges.filter("NOT retracted").select("kind", "source_id", "target_id").distinct().withColumn("held", F.lit(True))
+    known = documents.select("document_id")
+    rows = wanted.join(live, ["kind", "source_id", "target_id"], "left")
+    for end in ("source_id", "target_id"):
+        rows = rows.join(known.select(F.col("document_id").alias(end)).withColumn(f"{end}_known", F.lit(True)), end, "left")
+    back = None
+    for kind in ACYCLIC:
+        part = reachable(edges, kind).select(F.lit(kind).alias("kind"), F.col("start").alias("target_id"), F.col("node").alias("source_id"))
+        back = part if back is None else back.unionByName(part)
+    rows = rows.join(back.withColumn("back", F.lit(True)), ["kind", "source_id", "target_id"], "left")
+    outcome = (
+        F.when(F.col("source_id") == F.col("target_id"), "itself")
+        .when(F.col("source_id_known").isNull() | F.col("target_id_known").isNull(), "unknown")
+        .when(F.col("held"), "exists")
+        .when(F.col("back"), "cycle")
+        .otherwise("added")
+    )
+    return rows.select("kind", "source_id", "target_id", outcome.alias("outcome"))

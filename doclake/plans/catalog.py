@@ -181,7 +181,43 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.merge_documents(c.document_relation.filter("NOT retracted"), survivors)
 
 
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepting and rejecting proposals, agreeing siblings included."""
+    c = Catalog(spark, sf_dir)
+    chosen = c.metadata_candidate.filter("no % 6 < 2 AND k = 0").select("candidate_id", F.when(F.col("no") % 6 == 0, "accept").otherwise("reject").alias("decision"))
+    return lifecycle.decide(c.metadata_candidate, chosen)
+
+
+def verified_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Catalog(spark, sf_dir)
+    i = F.col("seq")
+    read = c.location.filter(i % 9 != 4).select(
+        "location_id", F.when(i % 8 == 3, F.reverse("artifact_id")).otherwise(F.col("artifact_id")).alias("artifact_id"), F.when(i % 10 == 6, "unreadable").when(i % 10 == 7, "changing").otherwise("ok").alias("outcome")
+    )
+    return lifecycle.verify_hashes(c.location, read)
+
+
+def identifier_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Catalog(spark, sf_dir)
+    n = F.col("no")
+    words = F.concat(F.lit("ISBN 0-306-40615-"), (n % 10).cast("string"), F.lit(" and arXiv:2101.0000"), (n % 10).cast("string"), F.when(n % 3 == 0, " or arXiv:1901.12345").otherwise(""))
+    return evidence.identifier_specs(c.document.select("document_id", F.lit(1).alias("pdf_page"), words.alias("text")))
+
+
+def relation_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stating part_of between each document and the one of a quarter of its number, and the way back."""
+    c = Catalog(spark, sf_dir)
+    n = F.col("no")
+    ends = c.document.select("document_id", F.concat(F.lit("doc-"), F.when(n % 3 == 0, F.floor(n / 2)).when(n % 3 == 1, F.floor(n / 4)).otherwise(n).cast("string")).alias("other"), n)
+    wanted = ends.select(F.lit("part_of").alias("kind"), F.when(n % 2 == 0, F.col("other")).otherwise(F.col("document_id")).alias("source_id"), F.when(n % 2 == 0, F.col("document_id")).otherwise(F.col("other")).alias("target_id"))
+    return relate.additions(c.document_relation, wanted.distinct(), c.document)
+
+
 QUERIES = {
+    "decisions": decided,
+    "verify_hashes": verified_hashes,
+    "identifier_specs": identifier_proposals,
+    "relation_additions": relation_additions,
     "doi_classes": doi_classes,
     "doi_shared": doi_shared,
     "title_functions": title_functions,
@@ -212,6 +248,31 @@ rec AS (SELECT root_id, path_key, k.artifact_id AS old_artifact, s.artifact_id,
     WHEN k.artifact_id <> s.artifact_id THEN 'replaced' WHEN state <> 'active' THEN 'reappeared' WHEN k.size <> s.size THEN 'touched' ELSE 'unchanged' END AS result
   FROM known k FULL JOIN seen s USING (root_id, path_key))"""
 ORACLES = {
+    "decisions": sql(
+        f"""SELECT candidate_id, document_id, field, status AS old_status, CASE WHEN dec = 'accept' THEN 'accepted' WHEN dec = 'reject' AND status <> 'accepted' THEN 'rejected'
+              WHEN status IN ('proposed', 'stale', 'set_aside') AND (document_id, field, ak) IN (SELECT (document_id, field, ak) FROM x WHERE dec = 'accept') THEN 'accepted' ELSE status END AS status FROM x""",
+        f"x AS (SELECT *, {AGREES} AS ak, CASE WHEN k = 0 AND no % 6 = 0 THEN 'accept' WHEN k = 0 AND no % 6 = 1 THEN 'reject' END AS dec FROM metadata_candidate)",
+    ),
+    "verify_hashes": sql(
+        """SELECT location_id, CASE WHEN seq % 9 = 4 THEN 'missing' WHEN seq % 10 = 6 THEN 'unreadable' WHEN seq % 10 = 7 THEN 'changing'
+             WHEN seq % 8 = 3 AND reverse(artifact_id) <> artifact_id THEN 'mismatch' ELSE 'ok' END AS result FROM location"""
+    ),
+    "identifier_specs": sql(
+        """SELECT document_id, 'isbn' AS field, '030640615' || (no % 10) AS value, 'medium' AS confidence, 'required' AS review FROM document WHERE no % 10 = 2
+           UNION ALL SELECT document_id, 'arxiv', '2101.0000' || (no % 10), CASE WHEN no % 3 = 0 THEN 'ambiguous' ELSE 'high' END, CASE WHEN no % 3 = 0 THEN 'required' ELSE 'safe' END FROM document
+           UNION ALL SELECT document_id, 'arxiv', '1901.12345', 'ambiguous', 'required' FROM document WHERE no % 3 = 0"""
+    ),
+    "relation_additions": sql(
+        """SELECT DISTINCT kind, w.source_id, w.target_id, CASE WHEN w.source_id = w.target_id THEN 'itself'
+             WHEN w.source_id NOT IN (SELECT document_id FROM document) OR w.target_id NOT IN (SELECT document_id FROM document) THEN 'unknown'
+             WHEN (w.source_id, w.target_id) IN (SELECT (source_id, target_id) FROM document_relation r WHERE r.kind = 'part_of' AND NOT retracted) THEN 'exists'
+             WHEN (w.target_id, w.source_id) IN (SELECT (start, node) FROM walk) THEN 'cycle' ELSE 'added' END AS outcome FROM w""",
+        """walk(start, node, depth) AS (SELECT source_id, target_id, 1 FROM document_relation WHERE kind = 'part_of' AND NOT retracted
+             UNION ALL SELECT w.start, e.target_id, depth + 1 FROM walk w JOIN document_relation e ON e.source_id = w.node
+             WHERE e.kind = 'part_of' AND NOT e.retracted AND depth < 32 AND w.node <> w.start)""",
+        """w AS (SELECT 'part_of' AS kind, CASE WHEN no % 2 = 0 THEN other ELSE document_id END AS source_id, CASE WHEN no % 2 = 0 THEN document_id ELSE other END AS target_id
+             FROM (SELECT *, 'doc-' || CASE no % 3 WHEN 0 THEN no // 2 WHEN 1 THEN no // 4 ELSE no END AS other FROM document))""",
+    ),
     "doi_classes": sql("SELECT * FROM cl", _PAGES, _CLASSES, _CLAIMED, _classified("sm")),
     "doi_shared": sql(
         """SELECT document_id, doi, CASE WHEN classification = 'own' THEN 'ambiguous' ELSE classification END AS classification, documents FROM cl

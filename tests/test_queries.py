@@ -38,6 +38,7 @@ FAST = [
     "search_phrase", "search_near_three", "search_filtered", "search_coverage", "index_statistics", "view_duplicates", "title_states", "review_queue", "agreement_states",
     "locate_artifacts", "library_stats", "relate_same_doi", "relate_versions", "relate_printed_passages", "relation_ancestors", "merge_survivors", "doi_classes", "scan_outcomes",
     "scan_moves", "proposal_upsert", "safe_batch", "event_fold", "event_history", "timing_statistics",
+    "decisions", "verify_hashes", "identifier_specs", "relation_additions",
 ]
 
 
@@ -91,6 +92,14 @@ def test_search_semantics(index, text, more, pages):
     assert found(index, text, **more) == pages
 
 
+def test_a_stored_index_answers_alike(spark, index, tmp_path):
+    search.store_index(index, f"file://{tmp_path}/index", buckets=8)
+    stored = search.open_index(spark, f"file://{tmp_path}/index")
+    for text, more in (("aqueous solubility", {}), ("solubilit*", {}), ("aqueous", {"near": ["solubility"], "within": 3})):
+        want = {r["page_id"]: round(r["rank"], 9) for r in search.search_pages(index, search.parse_query(text, **more)).collect()}
+        assert want == {r["page_id"]: round(r["rank"], 9) for r in search.search_pages(stored, search.parse_query(text, **more)).collect()}
+
+
 def test_rank_counts_a_phrase_given_twice_twice(index):
     one = search.search_pages(index, search.parse_query("vary")).first()["rank"]
     two = search.search_pages(index, search.parse_query("vary | vary")).first()["rank"]

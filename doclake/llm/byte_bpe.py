@@ -42,6 +42,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm import worker
 from doclake.session import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -232,8 +233,10 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process: tasks that follow find its tables filled."""
+    worker.claim("byte_bpe")
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
+        worker.keep("byte_bpe", _codecs.clear)
     return _codecs[path, pattern]
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from doclake.llm import worker
 from doclake.session import small_batches
 
 SAMPLE_DOCS, SAMPLE_SALTS, SAMPLE_BYTES = 128, 16, 2048
@@ -114,6 +115,7 @@ def identified(df: DataFrame, samples: dict[str, bytes], text_col: str = "text")
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker.claim("language")
         classifier = Classifier(shared.value)
         for batch in texts:
             yield pd.DataFrame([classifier.predict(t) for t in batch], columns=["lang_pred", "score"])

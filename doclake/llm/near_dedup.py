@@ -50,6 +50,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm import worker
 from doclake.llm.components import components
 from doclake.session import cut, small_batches
 
@@ -172,6 +173,7 @@ def sketched(df: DataFrame, text_col: str, width: int) -> DataFrame:
 
     @F.pandas_udf("struct<n:long,set_key:binary,registers:binary,bands:array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker.claim("near_dedup")
         for texts in batches:
             sets = shingle_sets(texts.tolist(), width)
             regs = np.stack([registers(s) for s in sets]) if sets else np.empty((0, BANDS * ROWS), "<u2")

@@ -37,6 +37,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake.llm import worker
 from doclake.session import scratch_path, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -104,11 +105,13 @@ _counters: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
+    worker.claim("token_counts")
     if path not in _counters:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _counters[path] = Counter(path)
+        worker.keep("token_counts", _counters.clear)
     return _counters[path]
 
 

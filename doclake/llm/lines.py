@@ -113,6 +113,7 @@ def host_of(url: Column) -> Column:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("site"), page_text(F.col("html")).alias("text"))
+    pages = cut(pages, "page_text")  # read twice: the patterns over the HTML run once
     return drop_lines(pages, F.col("site"), "text").select("page.page_id", "host", "n_lines", "n_dropped", F.col("kept_text").alias("text"))
 
 

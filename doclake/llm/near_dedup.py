@@ -43,7 +43,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,7 @@ THRESHOLD = 80  # percent
 MARGIN = 0.15  # over 8 standard deviations of the estimate at the threshold
 BROADCAST_IDS = 2_000_000
 BATCH_ROWS = 1_000
+GROUP_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20_240_607)
 _SEEDS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -83,9 +84,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- full sets
 
 
+def each_set(texts: Iterable[str | None], width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each whole text, in order.
+
+    Texts are hashed in groups of about ``GROUP_BYTES``: the arrays behind a group
+    take some fifty times its bytes, whatever the batch holds.
+    """
+    group, size = [], 0
+    for text in texts:
+        raw = (text or "").encode()
+        if group and size + len(raw) > GROUP_BYTES:
+            yield from _group_sets(group, width)
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw)
+    if group:
+        yield from _group_sets(group, width)
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each whole text."""
-    raw = [(t or "").encode() for t in texts]
+    return list(each_set(texts, width))
+
+
+def _group_sets(raw: list[bytes], width: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     word = ~_SPACE[data]
     edge = np.diff(word.astype(np.int8), prepend=np.int8(0))
@@ -93,7 +114,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     of_doc = np.searchsorted(starts, offsets)
     if not len(starts):
-        return [np.empty(0, np.uint64) for _ in texts]
+        return [np.empty(0, np.uint64) for _ in raw]
     lengths = ends - starts
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(lengths.max()), _STEP, dtype=np.uint64))
@@ -175,13 +196,16 @@ def sketched(df: DataFrame, text_col: str, width: int) -> DataFrame:
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker.claim("near_dedup")
         for texts in batches:
-            sets = shingle_sets(texts.tolist(), width)
-            regs = np.stack([registers(s) for s in sets]) if sets else np.empty((0, BANDS * ROWS), "<u2")
-            some = [len(s) > 0 for s in sets]
+            sizes, keys, regs = [], [], np.empty((len(texts), BANDS * ROWS), "<u2")
+            for i, s in enumerate(each_set(texts, width)):  # no set outlives its turn
+                sizes.append(len(s))
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                regs[i] = registers(s)
+            some = [size > 0 for size in sizes]
             yield pd.DataFrame(
                 {
-                    "n": [len(s) for s in sets],
-                    "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                    "n": sizes,
+                    "set_key": keys,
                     "registers": [r.tobytes() if ok else None for r, ok in zip(regs, some, strict=True)],
                     "bands": [b if ok else None for b, ok in zip(band_hashes(regs), some, strict=True)],
                 }

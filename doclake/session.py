@@ -87,9 +87,14 @@ def _clean() -> None:
             return
 
 
+#: Bytes of an Arrow batch; batches of texts of usual lengths stay below.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int) -> None:
-    """At most ``rows`` rows in an Arrow batch, so long texts cannot fill a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """At most ``rows`` rows and about ``BATCH_BYTES`` in an Arrow batch, so long texts cannot fill a Python worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

@@ -13,8 +13,8 @@ the bytes in order.
 Words are the matches of ``pattern``; a text is cut into units only at single
 spaces between two characters that are not white space, where every match of
 the pattern must end, so a unit that recurs is looked up and not encoded again.
-The lookup tables are bounded (``MEMO`` entries) and local to a worker: nothing
-is shuffled, and losing an executor loses only cached units.
+The lookup tables are bounded (``MEMO`` entries, or as many as the caller gives;
+the ids are the same with any number) and local to a worker: nothing is shuffled, and losing an executor loses only cached units.
 
 One pass of the recursion contracts one pair a word, so a word of n bytes takes
 up to n passes. Words longer than ``LONG_WORD`` bytes are contracted by the
@@ -83,6 +83,7 @@ class Codec:
     """Encoder and decoder over one rank file; texts in, packed little-endian ids out, and back."""
 
     def __init__(self, path: str, pattern: str):
+        self.most = MEMO
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = regex.compile(spaced(pattern))
@@ -119,7 +120,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         memo = self.memo
         split = [self.units(t) for t in texts]
@@ -198,7 +199,7 @@ class Codec:
     # ------------------------------------------------------------- decoding
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
-        if len(self.segments) > MEMO:
+        if len(self.segments) > self.most:
             self.segments.clear()
         memo = self.segments
         split = [self._segments(ids) for ids in packed]
@@ -240,14 +241,15 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes."""
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO) -> DataFrame:
+    """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes; a worker keeps about ``memo`` units."""
     where = path or public_tokenizers.path(RANKS)
     small_batches(df.sparkSession, BATCH_ROWS)
 
     @F.pandas_udf("struct<ids:binary,decoded:binary>")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = codec(where, pattern)
+        coder.most = memo
         for batch in texts:
             ids = coder.encode(batch.tolist())
             yield pd.DataFrame({"ids": ids, "decoded": coder.decode(ids)})

@@ -2,7 +2,8 @@
 
 Spark reuses workers, so a table that one operator keeps for its next task
 would still fill memory while another operator runs. An operator claims the
-worker when its task starts; what the others kept is then let go.
+worker when its task starts; what the others kept is then let go, and the
+memory that their tasks freed, which allocators hold back, goes to the system.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _kept: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
 
 
 def keep(name: str, release: Callable[[], None]) -> None:
@@ -21,11 +25,17 @@ def keep(name: str, release: Callable[[], None]) -> None:
 
 
 def claim(name: str) -> None:
-    """Let go of all that other operators kept, and hand the memory back."""
-    others = [n for n in _kept if n != name]
-    for other in others:
+    """Let go of all that other operators kept, and hand their memory back."""
+    for other in [n for n in _kept if n != name]:
         _kept.pop(other)()
-    if others:
-        gc.collect()
-        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+    if _last != [name]:
+        _last[:] = [name]
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

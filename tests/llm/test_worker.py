@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from doclake.llm import worker
+import public_tokenizers
+
+from doclake.llm import byte_bpe, near_dedup, worker
 
 
 def test_a_claim_lets_go_of_what_others_keep():
@@ -11,3 +13,20 @@ def test_a_claim_lets_go_of_what_others_keep():
     assert mine == {1: 1} and other == {}
     worker.claim("third")
     assert mine == {}
+
+
+def test_groups_of_texts_hash_alike(monkeypatch):
+    texts = ["a b c d e f", None, "", "x " * 500, "b c d e f g", "one", "a b c d e f"] * 3
+    want = near_dedup.shingle_sets(texts, 5)
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 8)
+    got = near_dedup.shingle_sets(texts, 5)
+    assert [s.tolist() for s in got] == [s.tolist() for s in want] and len(got) == len(texts)
+
+
+def test_ids_do_not_depend_on_what_is_kept():
+    texts = [f"word{i} and tail{i % 7}" for i in range(200)]
+    coder = byte_bpe.Codec(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    want = coder.encode(texts)
+    coder.most = 10
+    got = [ids for i in range(0, 200, 20) for ids in coder.encode(texts[i : i + 20])]
+    assert got == want and coder.decode(got) == [t.encode() for t in texts]

@@ -196,11 +196,10 @@ def excerpt(text: Column, needle: Column, around: int = 80) -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """Lines of a broken title: a line end with a hyphen joins without a space."""
-    return F.btrim(
-        F.aggregate(
-            lines,
-            F.lit(""),
-            lambda acc, x: F.when(acc == "", x).when(acc.rlike(r"\p{L}-$"), F.concat(acc.substr(F.lit(1), F.length(acc) - 1), x)).otherwise(F.concat(acc, F.lit(" "), x)),
-        )
-    )
+    """Lines of one title: a hyphen before a small letter joins the word, else a space does."""
+
+    def join(acc: Column, part: Column) -> Column:
+        word = F.endswith(acc, F.lit("-")) & part.rlike(r"^\p{Ll}")
+        return F.when(acc == "", part).when(word, F.concat(acc.substr(F.lit(1), F.length(acc) - 1), part)).otherwise(F.concat(acc, F.lit(" "), part))
+
+    return F.btrim(F.aggregate(lines, F.lit(""), join))

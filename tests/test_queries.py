@@ -38,7 +38,7 @@ FAST = [
     "search_phrase", "search_near_three", "search_filtered", "search_coverage", "index_statistics", "view_duplicates", "title_states", "review_queue", "agreement_states",
     "locate_artifacts", "library_stats", "relate_same_doi", "relate_versions", "relate_printed_passages", "relation_ancestors", "merge_survivors", "doi_classes", "scan_outcomes",
     "scan_moves", "proposal_upsert", "safe_batch", "event_fold", "event_history", "timing_statistics",
-    "decisions", "verify_hashes", "identifier_specs", "relation_additions",
+    "decisions", "verify_hashes", "identifier_specs", "relation_additions", "standing_moves", "operation_summary", "journal_findings",
 ]
 
 

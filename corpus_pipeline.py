@@ -30,9 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.identified(docs, language.learn(docs)).filter(~F.col("rejected")).select(*_columns("doc", docs))
 
 
+#: A source holds many sites, so a line that one site repeats is on a far smaller part of it than of a host.
+SOURCE_RATIO = 0.01
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a source repeats on many of its documents go; every document stays."""
-    return lines.drop_lines(docs, F.col("source"), "text").select(*_columns("page", docs, "kept_text"))
+    """Lines on more than ``SOURCE_RATIO`` of a source's documents, and at least ``lines.MIN_PAGES``, go; every document stays."""
+    return lines.drop_lines(docs, F.col("source"), "text", SOURCE_RATIO).select(*_columns("page", docs, "kept_text"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

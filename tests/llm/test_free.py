@@ -246,6 +246,20 @@ def test_pipeline_equals_brute_force(spark, corpus_dir, library):
     assert max(sum(1 for r in out if r[0] == i) for i in {r[0] for r in out}) <= 3
 
 
+@pytest.mark.parametrize("sf,pairs", [("sf0.01", 18), ("sf0.1", 319)])
+def test_pipeline_drops_shared_lines_of_the_shipped_tables(spark, sf, pairs):
+    def shared(docs):
+        texts = {}
+        for i, r in enumerate(docs.select("source", "text").collect()):
+            for line in {x.strip(" \t\r\x0b\x0c") for x in r["text"].split("\n")} - {""}:
+                texts.setdefault((r["source"], line), set()).add(i)
+        return {k for k, v in texts.items() if len(v) >= 5 and len(v) > 0.01 * sizes[k[0]]}
+
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    assert len(shared(docs)) == pairs and not shared(corpus_pipeline.dedup_lines(spark, docs, ""))
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty):
     for table in (odd, empty):
         docs = table

@@ -62,9 +62,9 @@ def _none(c) -> DataFrame:
 
 
 def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose opening is printed in a document: the containment join on real text."""
+    """Benchmark items that are printed whole in a document: the containment join on real text."""
     c = Catalog(spark, sf_dir)
-    items = c.table("benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("document_id"), relate.alnum_key(F.substring("text", 1, 60)).alias("title_key"))
+    items = c.table("benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("document_id"), relate.alnum_key(F.col("text")).alias("title_key"))
     texts = c.rows.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("first_text"))
     return relate.printed_titles(texts, items.filter(F.length("title_key") >= 20))
 

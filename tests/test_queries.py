@@ -156,3 +156,11 @@ def test_shuffled_input_gives_the_same_listing(spark):
     from doclake.operators import views
 
     assert {r["document_id"] for r in views.inbox(c).collect()} == first
+
+
+def test_printed_passages_are_looked_for_whole(spark, tmp_path):
+    item = "The first sixty letters of this item are shared by many texts, " + "but only one text goes on to its very last word."
+    texts = [f"Before. {item.upper()} After.", item[:80], item[60:], "nothing"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in plans.queries()["relate_printed_passages"](spark, str(tmp_path)).collect()] == [("0", "item-5")]

@@ -150,11 +150,20 @@ def versions(docs: DataFrame) -> DataFrame:
     )
 
 
-def parts_and_collections(docs: DataFrame) -> DataFrame:
-    """Members of a whole work by shared DOI or container title; without the whole, a proposed collection."""
+def printed_parents(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """(document_id, doi): live documents that print a DOI which several print as their own, accepted or not."""
+    told = candidates.filter("field = 'doi' AND source = 'pdf_text_doi' AND status IN ('proposed', 'accepted')")
+    told = told.filter(F.get_json_object("evidence", "$.shared_by_documents").isNotNull())
+    members = told.select("document_id", F.col("value").alias("doi")).distinct().join(docs.select("document_id"), "document_id", "left_semi")
+    return members.join(members.groupBy("doi").count().filter(F.col("count") >= SHARED_DOI_DOCUMENTS), "doi", "left_semi").select("document_id", "doi")
+
+
+def parts_and_collections(docs: DataFrame, printed: DataFrame | None = None) -> DataFrame:
+    """Members of a whole work by shared DOI or container title; without the whole, a proposed collection. ``printed``: further members by DOI."""
     wholes = docs.filter(F.col("type").isin(*WHOLE_TYPES))
     by_doi = wholes.filter("doi IS NOT NULL").groupBy("doi").agg(F.max("document_id").alias("whole"))
-    parents = docs.join(_doi_groups(docs).filter("parent").select("doi"), "doi", "left_semi").join(by_doi, "doi", "left")
+    parents = docs.join(_doi_groups(docs).filter("parent").select("doi"), "doi", "left_semi").select("document_id", "doi")
+    parents = (parents if printed is None else parents.unionByName(printed).distinct()).join(by_doi, "doi", "left")
     parts = docs.filter(F.col("type").isin(*PART_TYPES) & F.col("container_key").isNotNull())
     by_title = wholes.filter("title_key IS NOT NULL").groupBy(F.col("title_key").alias("container_key")).agg(F.max("document_id").alias("whole"))
     chapters = parts.join(by_title, "container_key", "left")
@@ -187,7 +196,7 @@ def detect(c) -> DataFrame:
     support = supplements(docs)
     first = union([same_doi(docs, prints, support), identical_text(prints, c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))])
     return union(
-        [corrections(docs), support, first, same_title_and_author(docs, first), versions(docs), parts_and_collections(docs), replacements(c.location, c.document_artifact, docs)]
+        [corrections(docs), support, first, same_title_and_author(docs, first), versions(docs), parts_and_collections(docs, printed_parents(c.metadata_candidate, docs)), replacements(c.location, c.document_artifact, docs)]
     ).distinct()
 
 

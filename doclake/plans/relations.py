@@ -77,6 +77,7 @@ QUERIES = {
     "relate_same_title_author": _detector(lambda c, d: relate.same_title_and_author(d, relate.same_doi(d, relate.fingerprints(c.page), _none(c)))),
     "relate_versions": _detector(lambda c, d: relate.versions(d)),
     "relate_parts": _detector(lambda c, d: relate.parts_and_collections(d)),
+    "relate_parts_printed": _detector(lambda c, d: relate.parts_and_collections(d, relate.printed_parents(c.metadata_candidate, d))),
     "relate_replacements": _detector(lambda c, d: relate.replacements(c.location, c.document_artifact, d)),
     "relate_printed_passages": printed_passages,
     "relation_ancestors": lambda s, d: relate.reachable(Catalog(s, d).document_relation, "part_of"),
@@ -134,6 +135,22 @@ ORACLES = {
         """chapters AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.title_key = docs.container_key) AS whole FROM docs
              WHERE type IN ('book-chapter', 'reference-entry', 'book-section', 'book-part') AND container_key IS NOT NULL)""",
     ),
+    "relate_parts_printed": sql(
+        """SELECT 'part_of' AS kind, document_id AS source_id, whole AS target_id, 'parent-doi' AS evidence_key, 'high' AS confidence
+             FROM parents WHERE whole IS NOT NULL AND document_id <> whole
+           UNION ALL SELECT 'part_of', document_id, whole, 'container-title', 'high' FROM chapters WHERE whole IS NOT NULL AND document_id <> whole
+           UNION ALL SELECT DISTINCT 'collection', 'parent-doi:' || doi, '', 'group', 'medium' FROM parents WHERE whole IS NULL
+           UNION ALL SELECT 'collection', 'container:' || left(container_key, 60), '', 'group', 'medium' FROM chapters WHERE whole IS NULL GROUP BY container_key HAVING count(*) >= 2""",
+        *BASE,
+        "wholes AS (SELECT * FROM docs WHERE type IN ('book', 'edited-book', 'reference-book', 'monograph', 'book-set'))",
+        """printed AS (SELECT DISTINCT document_id, c.value AS doi FROM metadata_candidate c JOIN docs USING (document_id)
+             WHERE c.field = 'doi' AND c.source = 'pdf_text_doi' AND c.status IN ('proposed', 'accepted') AND json_extract(c.evidence, '$.shared_by_documents') IS NOT NULL)""",
+        """members AS (SELECT document_id, doi FROM docs JOIN doi_groups USING (doi) WHERE parent
+             UNION SELECT document_id, doi FROM printed WHERE doi IN (SELECT doi FROM printed GROUP BY doi HAVING count(*) >= 3))""",
+        "parents AS (SELECT members.*, (SELECT max(document_id) FROM wholes w WHERE w.doi = members.doi) AS whole FROM members)",
+        """chapters AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.title_key = docs.container_key) AS whole FROM docs
+             WHERE type IN ('book-chapter', 'reference-entry', 'book-section', 'book-part') AND container_key IS NOT NULL)""",
+    ),
     "relate_replacements": sql(
         """SELECT 'replaces' AS kind, s.artifact_id AS source_id, l.artifact_id AS target_id, 'same-path' AS evidence_key,
                   CASE WHEN od.doi = nd.doi THEN 'high' ELSE 'medium' END AS confidence

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doclake import plans
-from doclake.operators import lifecycle, search
+from doclake.operators import lifecycle, relate, search
 from doclake.sources.corpus import Catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -164,3 +164,17 @@ def test_printed_passages_are_looked_for_whole(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in plans.queries()["relate_printed_passages"](spark, str(tmp_path)).collect()] == [("0", "item-5")]
+
+
+def test_a_doi_that_documents_print_but_none_accepted_is_a_collection(spark):
+    rows = [(f"doc-{i}", "doi", "10.5555/printed", "pdf_text_doi", status, '{"shared_by_documents":3}') for i, status in ((1, "proposed"), (2, "accepted"), (3, "proposed"))]
+    rows += [(f"doc-{i}", "doi", "10.5555/two", "pdf_text_doi", "proposed", '{"shared_by_documents":3}') for i in (1, 2)] + [("doc-3", "doi", "10.5555/two", "pdf_text_doi", "rejected", '{"shared_by_documents":3}')]
+    candidates = spark.createDataFrame(rows, "document_id string, field string, value string, source string, status string, evidence string")
+    docs = spark.createDataFrame([(f"doc-{i}", None, None, "journal-article", None) for i in (1, 2, 3)], "document_id string, doi string, title_key string, type string, container_key string")
+    got = relate.parts_and_collections(docs, relate.printed_parents(candidates, docs)).collect()
+    assert [(r["kind"], r["source_id"]) for r in got] == [("collection", "parent-doi:10.5555/printed")]
+
+
+@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed"])
+def test_parts_equal_their_sql(spark, duck, name):
+    test_query_equals_its_sql(spark, duck, name)

@@ -102,13 +102,18 @@ def supplements(docs: DataFrame) -> DataFrame:
     return proposal(rows, "supplement_of", "reader", "printed", "supplement", confidence)
 
 
+def supplement_pairs(docs: DataFrame) -> DataFrame:
+    """Supplements and corrections: their two ends are not the same document, whatever they share."""
+    return union([corrections(docs), supplements(docs)])
+
+
 def _doi_groups(docs: DataFrame) -> DataFrame:
     groups = docs.filter("doi IS NOT NULL").groupBy("doi").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title_key").alias("titles"))
     return groups.filter("n > 1").withColumn("parent", (F.col("n") >= SHARED_DOI_DOCUMENTS) & (F.col("titles") > 1))
 
 
 def same_doi(docs: DataFrame, prints: DataFrame, apart: DataFrame) -> DataFrame:
-    """Pairs with one DOI; many titles under one DOI are a parent work instead. ``apart``: supplement pairs."""
+    """Pairs with one DOI; many titles under one DOI are a parent work instead. ``apart``: supplement and correction pairs."""
     groups = _doi_groups(docs).filter("NOT parent").select("doi", "titles")
     pairs = group_pairs(docs.join(groups, "doi", "left_semi"), ["doi"], "document_id").join(groups, "doi")
     ends = F.struct(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
@@ -131,7 +136,7 @@ def same_title_and_author(docs: DataFrame, already: DataFrame) -> DataFrame:
     pairs = group_pairs(docs.filter("title_key IS NOT NULL AND first_family IS NOT NULL"), ["title_key", "first_family"], "document_id")
     ends = docs.select("document_id", "doi")
     pairs = pairs.join(ends.toDF("a", "da"), "a").join(ends.toDF("b", "db"), "b").filter("da IS NULL OR db IS NULL OR da = db")
-    found = already.filter("kind = 'same_document'").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
+    found = already.filter("kind <> 'equivalent_to'").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     return proposal(pairs.join(found, ["a", "b"], "left_anti"), "same_document", "a", "b", "same-title-and-first-author", "medium")
 
 
@@ -193,10 +198,10 @@ def detect(c) -> DataFrame:
     """All detectors in their order: later ones leave out what earlier ones found."""
     docs = documents(c)
     prints = fingerprints(c.page)
-    support = supplements(docs)
-    first = union([same_doi(docs, prints, support), identical_text(prints, c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))])
+    apart = supplement_pairs(docs)
+    first = union([same_doi(docs, prints, apart), identical_text(prints, c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))])
     return union(
-        [corrections(docs), support, first, same_title_and_author(docs, first), versions(docs), parts_and_collections(docs, printed_parents(c.metadata_candidate, docs)), replacements(c.location, c.document_artifact, docs)]
+        [apart, first, same_title_and_author(docs, union([first, apart])), versions(docs), parts_and_collections(docs, printed_parents(c.metadata_candidate, docs)), replacements(c.location, c.document_artifact, docs)]
     ).distinct()
 
 

@@ -57,8 +57,16 @@ def _detector(make):
     return run
 
 
-def _none(c) -> DataFrame:
-    return c.document_relation.limit(0).select("source_id", "target_id")
+def _same_doi(c, docs: DataFrame) -> DataFrame:
+    return relate.same_doi(docs, relate.fingerprints(c.page), relate.supplement_pairs(docs))
+
+
+def _identical_text(c, docs: DataFrame) -> DataFrame:
+    return relate.identical_text(relate.fingerprints(c.page), c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))
+
+
+def _same_title_author(c, docs: DataFrame) -> DataFrame:
+    return relate.same_title_and_author(docs, views.union([_same_doi(c, docs), _identical_text(c, docs), relate.supplement_pairs(docs)]))
 
 
 def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +78,9 @@ def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "relate_same_doi": _detector(lambda c, d: relate.same_doi(d, relate.fingerprints(c.page), _none(c))),
-    "relate_identical_text": _detector(
-        lambda c, d: relate.identical_text(relate.fingerprints(c.page), c.document_artifact.join(d.select("document_id"), "document_id", "left_semi"))
-    ),
-    "relate_same_title_author": _detector(lambda c, d: relate.same_title_and_author(d, relate.same_doi(d, relate.fingerprints(c.page), _none(c)))),
+    "relate_same_doi": _detector(_same_doi),
+    "relate_identical_text": _detector(_identical_text),
+    "relate_same_title_author": _detector(_same_title_author),
     "relate_versions": _detector(lambda c, d: relate.versions(d)),
     "relate_parts": _detector(lambda c, d: relate.parts_and_collections(d)),
     "relate_parts_printed": _detector(lambda c, d: relate.parts_and_collections(d, relate.printed_parents(c.metadata_candidate, d))),

@@ -175,6 +175,19 @@ def test_a_doi_that_documents_print_but_none_accepted_is_a_collection(spark):
     assert [(r["kind"], r["source_id"]) for r in got] == [("collection", "parent-doi:10.5555/printed")]
 
 
-@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed"])
-def test_parts_equal_their_sql(spark, duck, name):
+@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed", "relate_same_title_author"])
+def test_more_queries_equal_their_sql(spark, duck, name):
     test_query_equals_its_sql(spark, duck, name)
+
+
+def test_a_correction_is_not_the_document_it_corrects(spark):
+    title = "On the aqueous solubility of long alcohols"
+    columns = "document_id string, artifact_id string, title string, doi string, type string, container string, title_key string, container_key string, first_family string, first_text string, stem string, preprint boolean"
+    key = "ontheaqueoussolubilityoflongalcohols"
+    rows = [(f"doc-{i}", f"a{i}", t, "10.5555/x", "journal-article", None, key, None, "cruz", text, "x", False) for i, t, text in ((1, title, title), (2, f"Correction to: {title}", f"Correction to: {title}"))]
+    docs = spark.createDataFrame(rows, columns)
+    prints = spark.createDataFrame([], "artifact_id string, fingerprint string")
+    apart = relate.supplement_pairs(docs)
+    assert [(r["kind"], r["source_id"], r["target_id"]) for r in apart.collect()] == [("related_to", "doc-2", "doc-1")]
+    assert relate.same_doi(docs, prints, apart).count() == 0 and relate.same_title_and_author(docs, apart).count() == 0
+    assert relate.same_doi(docs, prints, apart.limit(0)).count() == 1

@@ -10,6 +10,7 @@ from doclake.functions.identifiers import AUTHORS, find_dois
 from doclake.functions.naming import stem_of
 from doclake.functions.text import alnum_key, fingerprint_text, is_correction, supplement_name_hint, supplement_says_so
 from doclake.operators.views import latest_location, main_artifact, pivoted, union
+from doclake.session import cut
 
 # Thresholds and record types.
 MIN_FINGERPRINT_CHARS, MAX_PAIRWISE, MIN_TITLE_KEY, SHARED_DOI_DOCUMENTS, FRONT_PAGES = 400, 6, 20, 3, 2
@@ -206,26 +207,32 @@ def detect(c) -> DataFrame:
 
 
 def reachable(edges: DataFrame, kind: str) -> DataFrame:
-    """(start, node, depth): everything reachable along live edges of one kind; cycles end by the distinct union."""
-    edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select("source_id", "target_id").createOrReplaceTempView(f"doclake_edges_{kind}")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(start, node, depth) AS (
-             SELECT source_id, target_id, 1 FROM doclake_edges_{kind}
-             UNION ALL SELECT w.start, e.target_id, w.depth + 1 FROM walk w JOIN doclake_edges_{kind} e ON e.source_id = w.node WHERE w.depth < 32 AND w.node <> w.start)
-           SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node"""
-    )
+    """(start, node, depth): everything reachable along live edges of one kind, by rounds until one finds nothing new."""
+    edges = cut(edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select("source_id", "target_id").distinct(), "edges")
+    step = edges.toDF("node", "next")
+    rounds, depth = [cut(edges.select(F.col("source_id").alias("start"), F.col("target_id").alias("node"), F.lit(1).alias("depth")), "walk")], 1
+    while True:
+        seen = union(rounds).select("start", "node")
+        depth += 1
+        ahead = rounds[-1].filter("node <> start").join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        found = cut(ahead.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
+        if found.isEmpty():
+            return union(rounds)
+        rounds.append(found)
 
 
 def merged_survivors(pairs: DataFrame) -> DataFrame:
-    """(absorbed, survivor) after following chains of merges to the last document."""
-    pairs.select("document_id", "merged_into").createOrReplaceTempView("doclake_merges")
-    return pairs.sparkSession.sql(
-        """WITH RECURSIVE chain(document_id, survivor, depth) AS (
-             SELECT document_id, merged_into, 1 FROM doclake_merges WHERE merged_into IS NOT NULL
-             UNION ALL SELECT c.document_id, m.merged_into, c.depth + 1 FROM chain c JOIN doclake_merges m ON m.document_id = c.survivor
-             WHERE m.merged_into IS NOT NULL AND c.depth < 32)
-           SELECT document_id, max_by(survivor, depth) AS survivor, max(depth) AS depth FROM chain GROUP BY document_id"""
-    )
+    """(absorbed, survivor, depth) after following chains of merges to the last document; a ring of merges has none."""
+    step = cut(pairs.filter("merged_into IS NOT NULL").select("document_id", "merged_into"), "merges")
+    ends, open_, depth = [], step.select("document_id", F.col("merged_into").alias("survivor")), 1
+    onward, most = step.toDF("survivor", "next"), step.count()  # a longer chain runs into a ring
+    while True:
+        ahead = cut(open_.join(onward, "survivor", "left"), "chain")
+        ends.append(ahead.filter("next IS NULL").select("document_id", "survivor", F.lit(depth).alias("depth")))
+        open_ = ahead.filter("next IS NOT NULL AND next <> document_id").select("document_id", F.col("next").alias("survivor"))
+        if depth > most or open_.isEmpty():
+            return union(ends)
+        depth += 1
 
 
 ACYCLIC = ("part_of", "supplement_of", "version_of")

@@ -191,3 +191,11 @@ def test_a_correction_is_not_the_document_it_corrects(spark):
     assert [(r["kind"], r["source_id"], r["target_id"]) for r in apart.collect()] == [("related_to", "doc-2", "doc-1")]
     assert relate.same_doi(docs, prints, apart).count() == 0 and relate.same_title_and_author(docs, apart).count() == 0
     assert relate.same_doi(docs, prints, apart.limit(0)).count() == 1
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    edges = spark.createDataFrame([("part_of", f"d{i}", f"d{i + 1}", False) for i in range(40)], "kind string, source_id string, target_id string, retracted boolean")
+    assert relate.reachable(edges, "part_of").filter("start = 'd0'").agg(F.max("depth")).first()[0] == 40
+    pairs = spark.createDataFrame([(f"d{i}", f"d{i + 1}") for i in range(40)] + [("d40", None), ("x", "y"), ("y", "z"), ("z", "y")], "document_id string, merged_into string")
+    got = {r["document_id"]: (r["survivor"], r["depth"]) for r in relate.merged_survivors(pairs).collect()}
+    assert got["d0"] == ("d40", 40) and not {"x", "y", "z"} & set(got)

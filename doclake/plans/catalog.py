@@ -112,7 +112,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = views.pivoted(c.metadata_value, ("title", "authors", "year"))
     rows = c.live.select("document_id", "no").join(values, "document_id").join(views.main_artifact(c.document_artifact), "document_id")
     people = F.from_json("authors", identifiers.AUTHORS)
-    name = naming.name_for(F.substring("title", 1, 12), people, F.col("year"), F.lit(".PDF"))
+    name = naming.name_for(F.col("title"), people, F.col("year"), F.lit(".PDF"))
     rows = rows.select(F.col("document_id").alias("item"), "artifact_id", F.concat(naming.year_directory(F.coalesce("year", F.lit(""))), F.lit("/"), name).alias("wanted")).filter("wanted IS NOT NULL")
     return lifecycle.disambiguate(rows)
 

@@ -199,3 +199,12 @@ def test_long_chains_are_walked_to_their_end(spark):
     pairs = spark.createDataFrame([(f"d{i}", f"d{i + 1}") for i in range(40)] + [("d40", None), ("x", "y"), ("y", "z"), ("z", "y")], "document_id string, merged_into string")
     got = {r["document_id"]: (r["survivor"], r["depth"]) for r in relate.merged_survivors(pairs).collect()}
     assert got["d0"] == ("d40", 40) and not {"x", "y", "z"} & set(got)
+
+
+def test_file_names_hold_the_whole_title(spark):
+    titles = {r["document_id"]: r["value"] for r in Catalog(spark, SF).metadata_value.filter("field = 'title'").collect()}
+    rows = plans.queries()["file_names"](spark, SF).collect()
+    letters = lambda x: "".join(c for c in x if c.isalnum())
+    long = [r for r in rows if len(titles[r["item"]]) > 12]
+    assert long and all(letters(titles[r["item"]][:40]) in letters(r["wanted"]) for r in long)
+    assert len({r["final"].lower() for r in rows}) == len(rows)

@@ -1,10 +1,10 @@
 """Line dedup by site-relative frequency.
 
 Pages are grouped by host. A line is boilerplate of a host when the pages of
-that host that contain it, divided by all pages of the host, exceed
-``ratio``, and at least ``min_pages`` pages contain it (on a host of one or two
-pages every line would exceed any ratio). Boilerplate lines are dropped from
-every page of that host; all other lines keep their order.
+that host that contain it, divided by all pages of the host, exceed ``ratio``.
+The ratio alone decides, on hosts of any size; only a line that one page holds
+is no repetition (``REPEATED``). Boilerplate lines are dropped from every page
+of that host; all other lines keep their order.
 
 Lines are compared without white space at their ends, by MD5; blank lines are
 never counted and never dropped.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from doclake.session import cut
 
 RATIO = 0.2
-MIN_PAGES = 5
+#: A line has to occur on this many pages to be repeated at all.
+REPEATED = 2
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -43,7 +44,7 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO) -> DataFrame:
     """(host, digests): the lines that each host repeats."""
     pages = pages.select(host.alias("host"), text.alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -54,7 +55,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
         .select("host", _digest(F.col("line")).alias("digest"))
         .groupBy("host", "digest")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_pages)
+        .filter(F.col("n") >= REPEATED)
     )
     return (
         counts.join(totals.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host")))
@@ -64,10 +65,10 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     )
 
 
-def drop_lines(pages: DataFrame, host: Column, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(pages: DataFrame, host: Column, text_col: str, ratio: float = RATIO) -> DataFrame:
     """The rows of ``pages`` in struct ``page``, with kept_text, n_lines and n_dropped."""
     text = F.col(f"`{text_col}`")
-    lists = cut(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), "digests")
+    lists = cut(boilerplate(pages, host, text, ratio), "boilerplate").select(F.col("host").alias("__host"), "digests")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), host.alias("host"), text.alias("text"))
     rows = rows.join(lists, F.col("host").eqNullSafe(F.col("__host")), "left")
     lines = _split(F.col("text"))
@@ -137,7 +138,7 @@ k AS (SELECT *, trim(raw, {_BLANKS_SQL}) AS line FROM l),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 b AS (
   SELECT k.host, line FROM k JOIN t ON k.host IS NOT DISTINCT FROM t.host WHERE line <> ''
-  GROUP BY k.host, line, pages HAVING count(DISTINCT r) >= {MIN_PAGES} AND count(DISTINCT r) > {RATIO}::DOUBLE * pages),
+  GROUP BY k.host, line, pages HAVING count(DISTINCT r) >= {REPEATED} AND count(DISTINCT r) > {RATIO}::DOUBLE * pages),
 m AS (
   SELECT k.*, b.line IS NOT NULL AS gone FROM k LEFT JOIN b ON b.host IS NOT DISTINCT FROM k.host AND b.line = k.line),
 a AS (

@@ -90,10 +90,18 @@ def test_lines(spark, empty):
     assert lines.drop_lines(empty, F.col("source"), "text").count() == 0
 
 
+def test_lines_of_small_hosts_go_by_the_ratio_alone(spark):
+    rows = [(i, f"shared\nown {h}{i}", f"h{h}") for h in range(1, 8) for i in range(h)]
+    df = spark.createDataFrame(rows, "id long, text string, host string")
+    for r in lines.drop_lines(df, F.col("host"), "text").collect():
+        own = f"own {r['host'][1:]}{r['page']['id']}"
+        assert r["kept_text"] == (f"shared\n{own}" if r["host"] == "h1" else own)
+
+
 def test_lines_count_pages_not_places(spark):
     rows = [(i, "same\nsame\nsame" if i == 0 else f"l{i}", "h") for i in range(6)]
     df = spark.createDataFrame(rows, "id long, text string, host string")
-    assert sum(r["n_dropped"] for r in lines.drop_lines(df, F.col("host"), "text", 0.1, 2).collect()) == 0
+    assert sum(r["n_dropped"] for r in lines.drop_lines(df, F.col("host"), "text", 0.1).collect()) == 0
 
 
 def brute_targets(sizes):

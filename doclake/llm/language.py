@@ -12,10 +12,14 @@ for a language. Blocks keep the dictionary in reach: in one long frame a text wo
 own dictionary and the languages would draw level. All blocks of a text count,
 so whole texts are compared.
 
-The sample (documented bound): per language ``SAMPLE_DOCS`` documents chosen by
-hash in ``SAMPLE_SALTS`` equal parts, ``SAMPLE_BYTES`` bytes of each. Only that
-reaches the driver, and only the dictionaries, at most ``SAMPLE_DOCS *
-SAMPLE_BYTES`` a language, are sent to the executors.
+The sample (documented bound): every labelled text, whole, is cut into pieces
+of ``PIECE_BYTES``, and per language the ``SAMPLE_PIECES`` pieces with the
+smallest hash draws make the dictionary, so any part of any text is as likely
+as any other. Counts of pieces give a threshold that all but about
+``SPARE * SAMPLE_PIECES`` draws a language fail before a piece is cut out; only
+what passes is sorted, in ``SAMPLE_SALTS`` parts. Only the sample reaches the
+driver, and only the dictionaries, at most ``SAMPLE_PIECES * PIECE_BYTES`` a
+language, are sent to the executors.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text when nothing could be learned; with one learned language the score
@@ -41,7 +45,7 @@ from pyspark.sql.window import Window
 from doclake.llm import worker
 from doclake.session import small_batches
 
-SAMPLE_DOCS, SAMPLE_SALTS, SAMPLE_BYTES = 128, 16, 2048
+SAMPLE_PIECES, SAMPLE_SALTS, PIECE_BYTES, SPARE = 128, 16, 2048, 16
 BLOCK, LEVEL = 4096, 3
 MARGIN = 0.0005
 BATCH_ROWS = 2_000
@@ -60,22 +64,32 @@ def letters(text: str) -> str:
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionaries by language, from a bounded, deterministic sample; most rows first."""
-    doc_id = F.col(f"`{id_col}`")
-    rows = df.filter((fold(doc_id) != 1) & F.col(f"`{lang_col}`").isNotNull() & (F.length(F.col(f"`{text_col}`")) > 0))
-    rows = rows.select(
-        F.col(f"`{lang_col}`").alias("lang"),
-        F.xxhash64(doc_id, F.lit("sample")).alias("draw"),
-        F.substring(F.col(f"`{text_col}`").cast("binary"), 1, SAMPLE_BYTES).alias("head"),
-    )
-    part = Window.partitionBy("lang", F.pmod("draw", F.lit(SAMPLE_SALTS))).orderBy("draw", "head")
-    counts = rows.groupBy(F.col("lang").alias("counted")).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= SAMPLE_DOCS // SAMPLE_SALTS)
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = df.filter((fold(doc_id) != 1) & F.col(f"`{lang_col}`").isNotNull() & (F.length(text) > 0))
+    pieces = F.ceil(F.octet_length(text) / PIECE_BYTES).cast("int")
+    counts = rows.groupBy(F.col(f"`{lang_col}`").alias("counted")).agg(F.count(F.lit(1)).alias("n"), F.sum(pieces).alias("pieces"))
+    rows = rows.select(F.col(f"`{lang_col}`").alias("lang"), doc_id.alias("doc_id"), text.cast("binary").alias("text"), pieces.alias("k"))
     rows = rows.join(F.broadcast(counts), F.col("lang") == F.col("counted"))  # one short row a language
+    share = F.lit(SPARE * SAMPLE_PIECES) / F.col("pieces")
+
+    def draw(i: Column) -> Column:
+        return F.struct(F.xxhash64("doc_id", F.lit("sample"), i).alias("draw"), i.alias("i"))
+
+    def passes(d: Column) -> Column:
+        return (d["draw"] / F.lit(float(1 << 63)) + 1) / 2 < share
+
+    def piece(d: Column) -> Column:
+        return F.struct(d["draw"].alias("draw"), F.substr(F.col("text"), d["i"] * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("piece"))
+
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.col("k") - 1), draw), passes)
+    rows = rows.select("lang", "n", F.explode(F.transform(drawn, piece)).alias("p")).select("lang", "n", "p.*")
+    part = Window.partitionBy("lang", F.pmod("draw", F.lit(SAMPLE_SALTS))).orderBy("draw", "piece")
+    rows = rows.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= SAMPLE_PIECES // SAMPLE_SALTS)
     found: dict[str, list] = {}
-    for row in rows.select("lang", "draw", "head", "n").collect():
-        found.setdefault(row["lang"], []).append((row["draw"], bytes(row["head"]).decode(errors="ignore"), row["n"]))
+    for row in rows.select("lang", "draw", "piece", "n").collect():
+        found.setdefault(row["lang"], []).append((row["draw"], bytes(row["piece"]).decode(errors="ignore"), row["n"]))
     order = sorted(found, key=lambda lang: (-max(n for _, _, n in found[lang]), lang))
-    return {lang: "\n".join(letters(head) for _, head, _ in sorted(found[lang])).encode() for lang in order}
+    return {lang: "\n".join(letters(piece) for _, piece, _ in sorted(found[lang])).encode() for lang in order}
 
 
 class Classifier:

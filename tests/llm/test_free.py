@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,6 +117,39 @@ def test_language_edges(spark, odd, empty):
         assert (r["lang_pred"] == "und") == (not has_letter)
 
 
+def test_language_sizes_scores_and_ties_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = {lang: " ".join("".join(rng.choice(s) for _ in range(5)) for _ in range(400)) for lang, s in {"aa": "abcdef", "bb": "uvwxyz"}.items()}
+    samples = {"aa": texts["aa"].encode(), "bb": texts["bb"].encode()}
+    rows = [(1, texts["aa"][:300], 0), (2, texts["bb"][100:900].upper() + " 12!", 0), (3, texts["aa"][:50] + texts["bb"][:50], 0), (4, texts["bb"] * 9, 0)]
+    got = {r["doc"]["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, score int"), samples).collect()}
+    for i, text, _ in rows:
+        plain, sizes = language.letters(text).encode(), {}
+        for lang, sample in samples.items():
+            content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(plain[j : j + language.BLOCK])) for j in range(0, len(plain), language.BLOCK))
+        best, other = sorted(sizes, key=lambda lang: sizes[lang])
+        score = (sizes[other] - sizes[best]) / sizes[other]
+        assert got[i]["score"] == pytest.approx(score, abs=0.02) and got[i]["rejected"] == (got[i]["score"] < language.MARGIN)
+        assert score < 0.02 or got[i]["lang_pred"] == best
+    same = language.Classifier({"zz": samples["aa"], "aa": samples["aa"]})
+    assert same.predict(texts["aa"]) == ("zz", 0.0)  # a tie goes to the first, which has the most rows
+    alone = language.Classifier({"aa": samples["aa"]})
+    assert alone.predict("anything") == ("aa", 1.0) and alone.predict("12 !") == ("und", 0.0)
+
+
+def test_language_sample_takes_any_part_of_whole_texts(spark):
+    long = "\n".join(f"line{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000))
+    docs = spark.createDataFrame([(i, long, "en") for i in range(40)] + [(100, "short", "de")], "doc_id long, text string, lang string")
+    samples = language.learn(docs)
+    held = len(samples["en"])
+    assert samples["de"] == b"short" and held <= language.SAMPLE_PIECES * (language.PIECE_BYTES + 1)
+    assert held > 0.7 * language.SAMPLE_PIECES * language.PIECE_BYTES  # letters only
+    last = long[len(long) // 2 :].split("\n")[5:]
+    assert sum(line.encode() in samples["en"] for line in last) > len(last) / 4
+
+
 def brute_components(rows, width):
     def shingles(text):
         words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").split(" ")

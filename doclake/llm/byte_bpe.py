@@ -16,9 +16,13 @@ the pattern must end, so a unit that recurs is looked up and not encoded again.
 The lookup tables are bounded (``MEMO`` entries, or as many as the caller gives;
 the ids are the same with any number) and local to a worker: nothing is shuffled, and losing an executor loses only cached units.
 
-One pass of the recursion contracts one pair a word, so a word of n bytes takes
-up to n passes. Words longer than ``LONG_WORD`` bytes are contracted by the
-same rule with a heap in Python, which gives the same ids in n log n steps.
+One pass of the recursion contracts one pair a word. For words longer than
+``LONG_WORD`` bytes a second form of the query contracts, in one pass, every
+place of a word's minimum-rank pair, from the left and without overlaps. That is
+the same fixpoint wherever each token of the file is what its own bytes encode
+to, as in every file that training made (the tests check the shipped one): no
+pair of lower rank can arise before the places are used up. A word of n bytes so
+takes as many passes as it has different merges, not n.
 
 Edge cases: a null text is encoded as empty (no ids, empty bytes); unknown ids
 raise ``KeyError``; lone surrogates cannot occur in Spark strings; rows that
@@ -29,7 +33,6 @@ repeat give equal ids; an empty table gives no rows; other columns are kept
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,8 +50,8 @@ from doclake.session import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 MEMO = 600_000
-LONG_WORD = 256
-WORDS_PER_QUERY = 200_000
+LONG_WORD = 64
+WORDS_PER_QUERY = 30_000
 BATCH_ROWS = 2_000
 
 ENCODE = """
@@ -67,6 +70,24 @@ WITH RECURSIVE state(k, tok, done) AS (
 SELECT (k >> 16)::INTEGER AS word, tok FROM state WHERE done ORDER BY k
 """
 
+#: As ENCODE, every place of the pair in one pass; positions take 32 bits.
+ENCODE_LONG = """
+WITH RECURSIVE state(k, tok, done) AS (
+  SELECT k, tok, false FROM start
+  UNION ALL
+  (WITH pairs AS (
+     SELECT k, tok, lead(k) OVER o AS next_k, lead(tok) OVER o AS next_tok FROM state WHERE NOT done WINDOW o AS (ORDER BY k)),
+   ranked AS (SELECT k, next_k, id, min(id) OVER (PARTITION BY k >> 32) AS least FROM pairs JOIN merges ON l = tok AND r = next_tok WHERE next_k >> 32 = k >> 32),
+   places AS (SELECT k, next_k, id, row_number() OVER (ORDER BY k) AS n, lag(next_k) OVER (ORDER BY k) IS NOT DISTINCT FROM k AS chained FROM ranked WHERE id = least),
+   runs AS (SELECT *, n - max(CASE WHEN NOT chained THEN n END) OVER (ORDER BY k) AS step FROM places),
+   best AS (SELECT k, next_k, id FROM runs WHERE step % 2 = 0),
+   going AS (SELECT DISTINCT k >> 32 AS word FROM best)
+   SELECT p.k, coalesce(b.id, p.tok), word IS NULL
+   FROM pairs p LEFT JOIN best b ON b.k = p.k LEFT JOIN best g ON g.next_k = p.k LEFT JOIN going ON word = p.k >> 32 WHERE g.k IS NULL)
+)
+SELECT (k >> 32)::INTEGER AS word, tok FROM state WHERE done ORDER BY k
+"""
+
 DECODE = "SELECT s, string_agg(hex, '' ORDER BY pos) AS hex FROM segments JOIN vocabulary USING (tok) GROUP BY s ORDER BY s"
 
 
@@ -103,7 +124,7 @@ class Codec:
             for i in range(1, len(token))
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({n: pa.array(list(c), pa.int32()) for n, c in zip(("l", "r", "id"), zip(*pairs, strict=True), strict=True)})
         vocabulary = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -144,57 +165,31 @@ class Codec:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
-        rest = []
+        short, long = [], []
         for i, word in enumerate(words):
             if (rank := self.ranks.get(word)) is not None:
                 out[i] = rank.to_bytes(4, "little")
-            elif len(word) > LONG_WORD:
-                out[i] = np.array(self._contract(word), dtype="<u4").tobytes()
             else:
-                rest.append(i)
-        if not rest:
-            return out
-        lengths = np.array([len(words[i]) for i in rest])
+                (long if len(word) > LONG_WORD else short).append(i)
+        for rest, query, bits in ((short, ENCODE, 16), (long, ENCODE_LONG, 32)):
+            for i, ids in zip(rest, self._contract([words[i] for i in rest], query, bits), strict=True):
+                out[i] = ids
+        return out
+
+    def _contract(self, words: list[bytes], query: str, bits: int) -> list[bytes]:
+        """Token-position rows of the words, contracted by a recursive query; a position takes ``bits`` bits."""
+        if not words:
+            return []
+        lengths = np.array([len(w) for w in words])
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.arange(len(starts)) - starts
-        k = np.repeat(np.arange(len(rest), dtype=np.int64), lengths) << 16 | at
-        tok = self.of_byte[np.frombuffer(b"".join(words[i] for i in rest), dtype=np.uint8)]
+        k = np.repeat(np.arange(len(words), dtype=np.int64), lengths) << bits | np.arange(len(starts)) - starts
+        tok = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         self.db.register("start", pa.table({"k": k, "tok": tok}))
-        found = self.db.sql(ENCODE).to_arrow_table()
+        found = self.db.sql(query).to_arrow_table()
         self.db.unregister("start")
         word, ids = found["word"].to_numpy(), found["tok"].to_numpy().astype("<u4").tobytes()
-        ends = np.searchsorted(word, np.arange(len(rest) + 1)) * 4
-        for n, i in enumerate(rest):
-            out[i] = ids[ends[n] : ends[n + 1]]
-        return out
-
-    def _contract(self, word: bytes) -> list[int]:
-        """Leftmost minimum-rank contraction of one long word, pairs on a heap."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (rank := self.ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (rank, i, len(parts[i]), len(parts[j])))
-
-        for i in range(len(parts) - 1):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j >= len(parts) or (len(parts[i]), len(parts[j])) != (a, b):
-                continue
-            parts[i] += parts[j]
-            parts[j] = None
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [self.ranks[p] for p in parts if p is not None]
+        ends = np.searchsorted(word, np.arange(len(words) + 1)) * 4
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     # ------------------------------------------------------------- decoding
 

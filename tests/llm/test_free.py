@@ -41,12 +41,21 @@ def test_bpe_equals_the_library(codec, library, texts):
 
 def test_bpe_long_words(codec, library):
     rng = random.Random(1)
-    texts = ["x" * 3000, "".join(rng.choice("abcdef") for _ in range(2000)), "ab" * 200 + " " + "é" * 400]
+    texts = ["x" * 70_000, "".join(rng.choice("abcdef") for _ in range(2000)), "ab" * 200 + " " + "é" * 400, "aaab" * 30 + "a" * 33, "x" * 64, "x" * 65]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(60, 400))) for letters in ("ab", "aet", "xyz", "\u65e5\u672c", "é😀") for _ in range(20)]
     assert [np.frombuffer(i, "<u4").tolist() for i in codec.encode(texts)] == [library.encode_ordinary(t) for t in texts]
     with pytest.raises(KeyError):
         codec.decode([(4_000_000).to_bytes(4, "little")])
 
 
+def test_every_token_encodes_to_itself(codec):
+    """What contracting all places of a pair at once rests on; both queries."""
+    tokens = [t for t in codec.ranks if len(t) > 1]
+    want = [codec.ranks[t].to_bytes(4, "little") for t in tokens]
+    for query, bits in ((byte_bpe.ENCODE, 16), (byte_bpe.ENCODE_LONG, 32)):
+        assert codec._contract(tokens, query, bits) == want
+
+
 def test_bpe_table(odd, empty, library):
     for r in byte_bpe.round_trip(odd).collect():
         text = r["doc"]["text"] or ""
@@ -80,6 +89,16 @@ def test_counts_cache_encodes_only_misses(spark, odd, empty, tmp_path):
     assert token_counts.token_counts(empty, f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_counts_of_the_query_meet_stored_and_missing_contents(spark, corpus_dir, monkeypatch, bound):
+    monkeypatch.setattr(token_counts, "BROADCAST_DIGESTS", bound)
+    model = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
+    docs = spark.read.parquet(f"{corpus_dir}/documents.parquet").collect()
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()), len(model.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs)
+    got = token_counts.op6_token_counts(spark, corpus_dir).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+
+
 def test_counts_with_sentencepiece(odd, tmp_path):
     import sentencepiece
 

@@ -10,6 +10,7 @@ a folder of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -41,6 +42,9 @@ def shared_root(spark: SparkSession) -> str:
         root = spark.conf.get(key, None)
         if root:
             return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {master} share no folder of this machine")
     root = "file://" + tempfile.mkdtemp(prefix="doclake-")
     spark.conf.set(_OWN, root)
     return root
@@ -73,11 +77,29 @@ def cut_at(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """As ``cut``, bucketed by ``keys`` into as many buckets as there are shuffle partitions.
+
+    Where ``df`` comes out of an aggregation by just these keys its partitions are the
+    buckets, so each is one file; joins on the keys then read it without a shuffle.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = f"doclake_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table)
+    _tables.append((spark, table))
+    return spark.table(table)
+
+
 _paths: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, table in _tables:
+        with contextlib.suppress(Exception):  # the JVM may be gone before this interpreter
+            if not spark._jsc.sc().isStopped():
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
     for spark, path in _paths:
         try:
             if spark._jsc.sc().isStopped():

@@ -8,11 +8,17 @@ filters, and only the positives join the snapshot's exact buckets, where the
 bytes are compared. A filter has no false negatives, so a digest it rejects is
 new; its false positives (about 1 in 256) fall out at the byte check.
 
-Shapes at scale: texts cross the network once, already combined per map task,
-so a third of all rows being one text costs one row per task. Filters hold
-about 32k digests each whatever the input's size, and the last join, from rows
-to groups, is a plain equi-join of narrow rows that AQE may split where one
-group is hot.
+Shapes at scale: a text crosses the network once, already combined per map
+task, so a third of all rows being one text costs one row per task. Snapshot and
+batch are tables bucketed by digest, with as many buckets as there are shuffle
+partitions, so the exact join of the suspects finds both sides in place and
+moves digests only. Filters hold about 32k digests each whatever the input's
+size, and the last join, from rows to groups, is a plain equi-join of narrow
+rows that AQE may split where one group is hot.
+
+Rows are combined by digest and compared by bytes. Two texts under one SHA-256
+have never been seen; should bytes differ, ``Collision`` is raised, as the digest
+is part of the result and could not tell the two groups apart.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other;
 a null id never wins over a non-null one (a group with only null ids keeps
@@ -30,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.session import cut
+from doclake.session import bucketed, cut
 
 KEYS_PER_FILTER = 32_768
 MIN_FILTERS = 64
@@ -139,13 +145,24 @@ def normalised(text) -> F.Column:
 
 def digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, digest): the normalised text and its SHA-256."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).alias("text"))
     return rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """One row per distinct text: the bytes are the key, so equality is exact."""
-    return rows.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+class Collision(RuntimeError):
+    """Two different texts have one SHA-256."""
+
+
+def grouped(rows: DataFrame, name: str) -> DataFrame:
+    """One row per distinct text, in a table bucketed by digest: digest, text, keep, n.
+
+    The aggregation's only key is the digest, so its shuffle is the table's bucketing.
+    """
+    groups = rows.groupBy("digest").agg(F.min("text").alias("text"), F.max("text").alias("last"), F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    table = bucketed(groups.select("digest", "text", "keep", "n", (F.col("text") != F.col("last")).alias("differs")), name, "digest")
+    if not table.filter("differs").isEmpty():
+        raise Collision("copies of one digest differ")
+    return table.drop("differs")
 
 
 def _bucket(n_filters: int) -> F.Column:
@@ -162,7 +179,7 @@ class Snapshot:
     def write(cls, rows: DataFrame, expected: int) -> Snapshot:
         """``rows``: (id, text, digest); ``expected``: a bound on how many."""
         n_filters = max(MIN_FILTERS, -(-expected // KEYS_PER_FILTER))
-        texts = cut(grouped(rows), "snapshot")
+        texts = grouped(rows, "snapshot")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "filter": [build_filter(_key64(pdf["digest"]))]})
@@ -188,14 +205,16 @@ def dedup_batch(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
     Batch copies are grouped by themselves; those that the filters let through
     join the exact buckets on digest and bytes.
     """
-    batch = cut(grouped(rows), "batch")
-    positives = snapshot.screen(batch.select("digest"))
-    suspects = batch.join(positives, "digest", "left_semi")
-    exact = snapshot.texts.select("digest", "text", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
-    known = suspects.join(exact, ["digest", "text"]).select(
-        "digest", F.greatest("keep", "old_keep").alias("keep"), (F.col("n") + F.col("old_n")).alias("n")
+    batch = grouped(rows, "batch")
+    suspects = batch.join(cut(snapshot.screen(batch.select("digest")), "positives"), "digest", "left_semi")
+    exact = snapshot.texts.select("digest", F.col("text").alias("old_text"), F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+    known = suspects.join(exact, "digest").select(
+        "digest", F.greatest("keep", "old_keep").alias("keep"), (F.col("n") + F.col("old_n")).alias("n"), (F.col("text") == F.col("old_text")).alias("same")
     )
     known = cut(known, "known")
+    if not known.filter("NOT same").isEmpty():
+        raise Collision("a new text and a stored one of one digest differ")
+    known = known.drop("same")
     rest = snapshot.texts.select("digest", "keep", "n").unionByName(batch.select("digest", "keep", "n"))
     return known.unionByName(rest.join(known.select("digest"), "digest", "left_anti"))
 
@@ -206,7 +225,7 @@ def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     The lower half of the id range is taken in first and becomes the snapshot;
     the rest arrives as the batch, null ids with it.
     """
-    low, high, count = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
+    low, high, count = df.agg(F.min(f"`{id_col}`"), F.max(f"`{id_col}`"), F.count(F.lit(1))).first()
     rows = digested(df, id_col, text_col)
     old = (F.col("id") < F.lit(0 if low is None else (low + high) // 2 + 1)) & F.col("id").isNotNull()
     snapshot = Snapshot.write(rows.filter(old), count)

@@ -183,6 +183,22 @@ def test_exact_dedup(spark, odd, empty):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(ids), r["doc_id"] == keep)
 
 
+def test_exact_dedup_finds_its_buckets_in_place(spark, odd):
+    batch, old = (exact_dedup.grouped(exact_dedup.digested(odd, "doc_id", "text"), n) for n in ("new", "old"))
+    joined = batch.hint("merge").join(old.withColumnRenamed("text", "other"), "digest")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_exact_dedup_refuses_a_collision(spark):
+    rows = spark.createDataFrame([(1, "a", b"x" * 32), (2, "b", b"x" * 32)], "id long, text string, digest binary")
+    with pytest.raises(exact_dedup.Collision):
+        exact_dedup.grouped(rows, "one")
+    snapshot = exact_dedup.Snapshot.write(rows.filter("id = 1"), 1)
+    with pytest.raises(exact_dedup.Collision):
+        exact_dedup.dedup_batch(snapshot, rows.filter("id = 2"))
+
+
 def test_exact_dedup_meets_an_older_snapshot(spark):
     old = spark.createDataFrame([(1, "A"), (2, "b"), (3, "b")], "doc_id long, text string")
     new = spark.createDataFrame([(4, "a"), (5, "c"), (6, "C")], "doc_id long, text string")

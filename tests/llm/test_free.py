@@ -260,6 +260,42 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_huge_components_is_exact(spark):
+    rng = random.Random(9)
+    sizes = [1.0, 1e9, 1e13, 1e17, 1e30, 3e38]
+    rows = [(i, [rng.uniform(-1, 1) * sizes[rng.randrange(1 + i % 6)] for _ in range(3)]) for i in range(120)]
+    rows += [(200, [1e307, 1.0, 1.0]), (201, [-1e305, 0.0, 2.0]), (202, [1.0, 1e200, -1e200])]  # 256 * 1e307 is no double
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows if all(abs(256 * x) < float("inf") for x in v)}
+    assert set(whole) == {i for i, _ in rows} - {200}
+    want = []
+    for q in sorted(whole):
+        if q % 10 == 0:
+            scores = {i: max(topk.LONG_MIN, min(topk.LONG_MAX, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q}
+            want += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, pivots=6).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_moves_rows_only_where_they_are_wanted(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = np.eye(6) * 100_000
+
+    def moved(n_queries: int) -> tuple[int, int]:
+        x = np.concatenate([centres[i % 6] + rng.normal(size=(1, 6)) for i in range(1200)]).round()
+        rows = [(i, i < n_queries, v.tolist()) for i, v in enumerate(x)]
+        cells = topk.place(spark.createDataFrame(rows, "id long, asks boolean, v array<double>"), centres, 6)
+        summary = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"), F.count_if("asks").alias("q")).collect()}
+        n, r, q = (np.array([float(summary[c][k]) for c in range(6)]) for k in ("n", "r", "q"))
+        asked, held = topk.exchanged(cells, topk.Cells(centres, n, r, r, 6), q)
+        return asked.count(), held.count()
+
+    monkeypatch.setattr(topk, "QUERIES_PER_PART", 20)
+    (asked, held), (asked2, held2) = moved(120), moved(240)
+    assert (held, asked) == (1200, 120)  # each query wants its own cell, each row goes to one part
+    assert held2 <= 2 * held and asked2 == 2 * asked
+
+
 def test_top_k_skips_cells_that_cannot_win():
     rng = np.random.default_rng(0)
     pivots = np.eye(8) * 1000

@@ -9,7 +9,8 @@ registers agree with a probability close to the Jaccard similarity.
 1. One pass over the texts: exact set, its digest, registers, band hashes
    (a band is ROWS register values). Documents with equal sets form a class and
    only its first row goes on.
-2. Classes that share a band are candidates. What a candidate's set shares with
+2. Classes that share a band are candidates; of bands with the same members one
+   is kept, as they would be compared alike. What a candidate's set shares with
    any other candidate, counted exactly, bounds what it shares with one of
    them; a candidate that cannot reach the threshold so goes. Each bucket's star
    is the member that shares most of its set, and every member is paired with
@@ -30,7 +31,8 @@ A pair at similarity 0.8 shares a band with probability
 Shapes at scale: sketches and candidates move as ids, 1 KB of registers and
 band hashes; texts are fetched for candidates only, by a broadcast of ids where
 these are few (``BROADCAST_IDS``, checked) and by a shuffle join otherwise.
-Copies and hot buckets meet in joins of narrow rows that AQE may split.
+Copies and hot buckets meet in joins of narrow rows that AQE may split. Tables
+written on the way are dropped once the groups are written.
 
 Edge cases: a null text, or one without words, has an empty set: it is linked
 with nothing and its component is its own id; fewer words than a shingle make
@@ -43,7 +45,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,7 @@ from pyspark.sql import functions as F
 
 from doclake.llm import worker
 from doclake.llm.components import components
-from doclake.session import cut, small_batches
+from doclake.session import cut, cut_at, drop_path, small_batches
 
 WIDTH = 5
 BANDS, ROWS = 64, 8
@@ -298,7 +300,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter("a_root <> b_root").drop("a_root", "b_root")
 
 
-def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def common_bands(bands: DataFrame) -> DataFrame:
+    """(band): the bands that several nodes share, one for each set of members.
+
+    A set is told by its size and two sums without carry of 64-bit hashes.
+    """
+    marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit("again"))).alias("y")]
+    sets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), *marks).filter("low <> high")
+    return sets.groupBy("low", "high", "n", "x", "y").agg(F.min("band").alias("band")).select("band")
+
+
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int, keep: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """Links (a, b) between members of one bucket that are still in different components.
 
     Each such member is written as its bucket's star with some shingles taken
@@ -317,10 +329,10 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int)
 
     rows = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    rows = cut(rows.join(mixed, "band", "left_semi"), "open")
+    rows = keep(rows.join(mixed, "band", "left_semi"), "open")
     ends = _ends(rows.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), nodes, "text")
     ends = ends.select(F.col("a").alias("star"), F.col("b").alias("node"), edits("a_text", "b_text").alias("e")).select("star", "node", "e.*")
-    rows = cut(rows.join(ends, ["star", "node"]), "edited")
+    rows = keep(rows.join(ends, ["star", "node"]), "edited")
     left, right = (rows.select("band", *[F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "shared", "root", "star_n", "gone", "new")]) for e in ("a", "b"))
     both = F.col("a_star_n") - F.size("a_gone") - F.size("b_gone") + F.size(F.array_intersect("a_gone", "b_gone")) + F.size(F.array_intersect("a_new", "b_new"))
     linked = both * 100 >= (F.col("a_n") + F.col("b_n") - both) * THRESHOLD
@@ -332,23 +344,29 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int)
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """row_id, doc (all columns), n_shingles, component_id, stays (one row of each component)."""
+    made: list[str] = []
+
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        table, path = cut_at(frame, name)
+        made.append(path)
+        return table
+
     rows = sketched(df, text_col, width)
     ident = F.col("doc")[id_col].cast("long")
     keeper = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), F.col("row_id"))
     classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min(keeper).alias("keeper"))
-    classes = cut(classes, "classes")
+    classes = keep(classes, "classes")
 
     leaders = rows.select("row_id", "bands").join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     bands = leaders.select(F.col("row_id").alias("node"), F.explode("bands").alias("band"))
-    shared_bands = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band")
-    members = cut(bands.join(shared_bands, "band", "left_semi"), "members")
+    members = keep(bands.join(common_bands(bands), "band", "left_semi"), "members")
 
-    ids = cut(members.select(F.col("node").alias("row_id")).distinct(), "ids")
+    ids = keep(members.select(F.col("node").alias("row_id")).distinct(), "ids")
     most = ids.count()
     nodes = rows.select("row_id", "n", "registers", F.col("doc")[text_col].alias("text"))
     nodes = nodes.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "row_id", "left_semi").withColumnRenamed("row_id", "node")
-    nodes = cut(nodes, "nodes")
-    sizes = cut(shared_sizes(nodes, width), "sizes")
+    nodes = keep(nodes, "nodes")
+    sizes = keep(shared_sizes(nodes, width), "sizes")
 
     # a bucket's star is the member that shares most of its set: a base text rather than an edited copy
     members = members.join(sizes, "node")
@@ -357,10 +375,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = members.join(stars, "band").select(
         "band", "node", "n", "shared", (-F.col("star.minus")).alias("star"), F.col("star.n").alias("star_n"), F.col("star.shared").alias("star_shared"), "star.share"
     )
-    members = cut(members, "members")
+    members = keep(members, "members")
     reach = _may_reach(F.col("star_n"), F.col("star_shared"), F.col("n"), F.col("shared"))
     pairs = members.filter((F.col("node") != F.col("star")) & reach).select(F.col("star").alias("a"), F.col("node").alias("b"), "share").distinct()
-    pairs = cut(pairs, "pairs")
+    pairs = keep(pairs, "pairs")
 
     # each round: at most one pair a class, then only what is still in different components
     links, labels, rounds = pairs.select("a", "b").limit(0), components(pairs.select("a", "b").limit(0)), 0
@@ -368,21 +386,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         last = rounds > 0 and pairs.count() <= most
         best = F.max(F.struct("share", (-F.col("a")).alias("minus")))
         batch = pairs.select("a", "b") if last else pairs.groupBy("b").agg(best.alias("m")).select((-F.col("m.minus")).alias("a"), "b")
-        batch = cut(batch, "batch")
-        links = cut(links.unionByName(verified(cut(plausible(batch, nodes), "hopeful"), nodes, width)), "links")
+        batch = keep(batch, "batch")
+        hopeful, spent = cut_at(plausible(batch, nodes), "hopeful")
+        links = keep(links.unionByName(verified(hopeful, nodes, width)), "links")
+        drop_path(df.sparkSession, spent)
         labels = components(links)
         if last:
             break
-        pairs = cut(_apart(pairs.join(batch, ["a", "b"], "left_anti"), labels), "pairs")
+        pairs = keep(_apart(pairs.join(batch, ["a", "b"], "left_anti"), labels), "pairs")
         rounds += 1
 
-    late = cut(across(members, labels, nodes, width), "late")
+    late = keep(across(members, labels, nodes, width, keep), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(late))
 
     groups = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = groups.groupBy("root").agg(F.min("keeper").alias("best"))
     groups = cut(groups.join(best, "root").select("set_key", "best"), "groups")
+    for path in made:
+        drop_path(df.sparkSession, path)
     out = rows.select("row_id", "doc", "n", "set_key").join(groups, "set_key", "left")
     own = F.col("best").isNull()
     return out.select(

@@ -227,6 +227,12 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, 2))
 
 
+def test_of_bands_with_the_same_members_one_is_kept(spark):
+    rows = [(1, 10), (2, 10), (1, 11), (2, 11), (1, 12), (3, 12), (4, 13), (1, 14), (2, 14), (3, 14)]
+    got = near_dedup.common_bands(spark.createDataFrame(rows, "node long, band long")).collect()
+    assert sorted(r["band"] for r in got) == [10, 12, 14]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)

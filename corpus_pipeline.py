@@ -35,7 +35,7 @@ SOURCE_RATIO = 0.01
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than ``SOURCE_RATIO`` of a source's documents, and at least ``lines.MIN_PAGES``, go; every document stays."""
+    """Lines that repeat on more than ``SOURCE_RATIO`` of a source's documents go; every document stays."""
     return lines.drop_lines(docs, F.col("source"), "text", SOURCE_RATIO).select(*_columns("page", docs, "kept_text"))
 
 

@@ -22,8 +22,8 @@ FIELDS = ("doi", "title", "authors", "year", "container", "publisher", "type", "
 TEXT_FIELDS = ("title", "container", "publisher")
 AUTHORS = "array<struct<family:string,given:string,name:string>>"
 BRACKETS = ((")", "("), ("]", "["), ("}", "{"))
-#: Rounds of trimming; each drops a layer of punctuation or one unbalanced closing bracket.
-TRIM_ROUNDS = 8
+#: What trimming can take off an end; each round takes a layer of punctuation and one unbalanced bracket at most.
+CLOSERS = r"[)\]}>.,;:'\"”’‚„“‘…»]*$"
 
 
 def find_doi(text: Column) -> Column:
@@ -46,8 +46,9 @@ def normalise_doi(raw: Column) -> Column:
             drop = drop | (F.endswith(acc, F.lit(close)) & (_count(acc, open_) < _count(acc, close)))
         return F.rtrim(F.when(drop, F.substr(acc, F.lit(1), F.length(acc) - 1)).otherwise(acc), F.lit(TRAILING))
 
-    # a fold, so that the expression does not grow with the rounds
-    trimmed = F.aggregate(F.sequence(F.lit(1), F.lit(TRIM_ROUNDS)), F.rtrim(text, F.lit(TRAILING)), trim, F.lower)
+    # a fold with as many rounds as there are characters to take off, so it ends at the fixpoint
+    rounds = F.sequence(F.lit(0), F.length(F.regexp_extract(text, CLOSERS, 0)))
+    trimmed = F.aggregate(rounds, F.rtrim(text, F.lit(TRAILING)), trim, F.lower)
     return F.transform(F.array(trimmed), lambda t: F.when((F.length(t) <= MAX_DOI) & t.rlike(DOI_VALID), t))[0]
 
 

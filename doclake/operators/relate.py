@@ -17,7 +17,8 @@ MIN_FINGERPRINT_CHARS, MAX_PAIRWISE, MIN_TITLE_KEY, SHARED_DOI_DOCUMENTS, FRONT_
 PART_TYPES = ("book-chapter", "reference-entry", "book-section", "book-part")
 WHOLE_TYPES = ("book", "edited-book", "reference-book", "monograph", "book-set")
 PREPRINT_TYPES = ("posted-content", "preprint")
-NGRAM = 20
+#: Letters of a gram and the step between a text's grams; a key of MIN_TITLE_KEY letters holds a whole one at any offset.
+GRAM, STEP = 12, 8
 
 
 def proposal(rows: DataFrame, kind: str, source: str, target: str, evidence: str, confidence: Column | str) -> DataFrame:
@@ -66,17 +67,24 @@ def documents(c) -> DataFrame:
 
 
 def printed_titles(texts: DataFrame, titled: DataFrame) -> DataFrame:
-    """(reader, printed): whose title key stands in whose first text.
+    """(reader, printed): whose whole title key stands in whose first text.
 
-    An equi-join on the key's first letters with every place of the text, then
-    the containment test: no cross join of titles with texts.
+    A text gives the hash of every ``STEP``-th gram, cut in one pass over it; a key
+    gives those of its first ``STEP`` offsets, one of which must fall on a gram of
+    any text that holds the key. Hashes and ids meet in an equi-join; the pairs that
+    it finds fetch text and key for the containment test. Equal keys are looked for
+    once.
     """
     folded = texts.select(F.col("document_id").alias("reader"), alnum_key(F.col("first_text")).alias("hay"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - NGRAM + 1)), lambda i: F.substr(F.col("hay"), i, F.lit(NGRAM)))
-    places = folded.select("reader", "hay", F.explode(F.array_distinct(grams)).alias("gram"))
-    keys = titled.filter("title_key IS NOT NULL").select(F.col("document_id").alias("printed"), "title_key", F.substring("title_key", 1, NGRAM).alias("gram"))
-    hits = places.join(keys, "gram").filter(F.contains("hay", F.col("title_key")) & (F.col("reader") != F.col("printed")))
-    return hits.select("reader", "printed").distinct()
+    grams = F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{GRAM}}})).{{{STEP}}}"), 1)
+    places = folded.select("reader", F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("gram"))
+    keys = titled.filter("title_key IS NOT NULL").select(F.col("document_id").alias("printed"), "title_key", F.xxhash64("title_key").alias("key"))
+    starts = F.array(*[F.xxhash64(F.substring("title_key", i + 1, GRAM)) for i in range(STEP)])
+    wanted = keys.select("key", "title_key").distinct().select("key", F.explode(starts).alias("gram")).distinct()
+    pairs = cut(places.join(wanted, "gram").select("reader", "key").distinct(), "hopeful")
+    hits = pairs.join(folded, "reader").join(keys.select("key", "title_key").distinct(), "key").filter(F.contains("hay", F.col("title_key")))
+    hits = hits.select("reader", "key", "title_key").join(keys, ["key", "title_key"])
+    return hits.filter("reader <> printed").select("reader", "printed").distinct()
 
 
 def corrections(docs: DataFrame) -> DataFrame:
@@ -207,32 +215,40 @@ def detect(c) -> DataFrame:
 
 
 def reachable(edges: DataFrame, kind: str) -> DataFrame:
-    """(start, node, depth): everything reachable along live edges of one kind, by rounds until one finds nothing new."""
-    edges = cut(edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select("source_id", "target_id").distinct(), "edges")
-    step = edges.toDF("node", "next")
-    rounds, depth = [cut(edges.select(F.col("source_id").alias("start"), F.col("target_id").alias("node"), F.lit(1).alias("depth")), "walk")], 1
+    """(start, node, depth): everything reachable along live edges of one kind, with the fewest steps.
+
+    Rounds double the length: a shortest path of more than ``half`` steps has its
+    middle at exactly ``half`` steps from the start, and the rest of it is known by
+    then. Rounds end when one finds nothing new, whatever the depth.
+    """
+    step = edges.filter((F.col("kind") == kind) & ~F.col("retracted")).select(F.col("source_id").alias("start"), F.col("target_id").alias("node")).distinct()
+    rounds, half = [cut(step.withColumn("depth", F.lit(1)), "walk")], 1
     while True:
-        seen = union(rounds).select("start", "node")
-        depth += 1
-        ahead = rounds[-1].filter("node <> start").join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        found = cut(ahead.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
+        known = union(rounds)
+        onward = known.select(F.col("start").alias("middle"), F.col("node").alias("end"), F.col("depth").alias("rest"))
+        ahead = known.filter(F.col("depth") == half).select("start", F.col("node").alias("middle")).join(onward, "middle")
+        ahead = ahead.groupBy("start", F.col("end").alias("node")).agg((F.min("rest") + half).alias("depth"))
+        found = cut(ahead.join(known, ["start", "node"], "left_anti").select("start", "node", "depth"), "walk")
         if found.isEmpty():
-            return union(rounds)
+            return known
         rounds.append(found)
+        half *= 2
 
 
 def merged_survivors(pairs: DataFrame) -> DataFrame:
-    """(absorbed, survivor, depth) after following chains of merges to the last document; a ring of merges has none."""
-    step = cut(pairs.filter("merged_into IS NOT NULL").select("document_id", "merged_into"), "merges")
-    ends, open_, depth = [], step.select("document_id", F.col("merged_into").alias("survivor")), 1
-    onward, most = step.toDF("survivor", "next"), step.count()  # a longer chain runs into a ring
+    """(absorbed, survivor, depth) after following chains of merges to the last document; a ring of merges has none.
+
+    Pointer jumping: each round takes every pointer to where its end points, so a chain of n takes log n rounds.
+    """
+    hops = cut(pairs.filter("merged_into IS NOT NULL").select("document_id", F.col("merged_into").alias("survivor"), F.lit(1).cast("long").alias("depth")), "merges")
+    left = hops.count().bit_length() + 1  # what still moves after these rounds runs into a ring
     while True:
-        ahead = cut(open_.join(onward, "survivor", "left"), "chain")
-        ends.append(ahead.filter("next IS NULL").select("document_id", "survivor", F.lit(depth).alias("depth")))
-        open_ = ahead.filter("next IS NOT NULL AND next <> document_id").select("document_id", F.col("next").alias("survivor"))
-        if depth > most or open_.isEmpty():
-            return union(ends)
-        depth += 1
+        further = hops.select(F.col("document_id").alias("survivor"), F.col("survivor").alias("next"), F.col("depth").alias("more"))
+        ahead = hops.join(further, "survivor", "left")
+        if left == 0 or ahead.filter("next IS NOT NULL").isEmpty():
+            return ahead.filter("next IS NULL").select("document_id", "survivor", "depth")
+        hops = cut(ahead.select("document_id", F.coalesce("next", "survivor").alias("survivor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "merges")
+        left -= 1
 
 
 ACYCLIC = ("part_of", "supplement_of", "version_of")

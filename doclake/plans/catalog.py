@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions import identifiers, naming, text
 from doclake.operators import evidence, lifecycle, relate, views
-from doclake.plans.corpus_sql import key, sql
+from doclake.plans.corpus_sql import CHAIN, WALK, key, sql
 from doclake.plans.views import AGREES
 from doclake.sources.corpus import Catalog
 
@@ -76,11 +76,11 @@ _CLAIMED = """sm AS (SELECT document_id, doi, coalesce(first_page, 0) AS first_p
 def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title rules over every document's first line and text."""
     c = Catalog(spark, sf_dir)
-    rows = c.titled.join(c.rows.select(F.col("doc_id").alias("no"), "text"), "no")
+    rows = c.titled.join(c.text.select(F.col("doc_id").alias("no"), "text"), "no")
     t, body = F.col("title"), F.col("text")
     return rows.select(
         "document_id", text.clean(t).alias("cleaned"), text.alnum_key(t).alias("key"), F.array_join(F.array_sort(text.tokens(t)), " ").alias("tokens"),
-        text.is_printed(t, body).alias("printed"), F.round(text.containment(t, F.substring(body, 1, 200)), 6).alias("contained"), text.looks_garbled(t).alias("garbled"),
+        text.is_printed(t, body).alias("printed"), F.round(text.containment(t, body), 6).alias("contained"), text.looks_garbled(t).alias("garbled"),
         text.is_correction(t, body).alias("correction"), text.evidence_key(F.lit("title"), t).alias("evidence_key"),
         text.page_state(F.length(t).cast("long"), F.lit(0), F.length(t) == 7).alias("state"), text.is_scanned(F.length(body), F.lit(3)).alias("scanned"),
     )
@@ -267,9 +267,7 @@ ORACLES = {
              WHEN w.source_id NOT IN (SELECT document_id FROM document) OR w.target_id NOT IN (SELECT document_id FROM document) THEN 'unknown'
              WHEN (w.source_id, w.target_id) IN (SELECT (source_id, target_id) FROM document_relation r WHERE r.kind = 'part_of' AND NOT retracted) THEN 'exists'
              WHEN (w.target_id, w.source_id) IN (SELECT (start, node) FROM walk) THEN 'cycle' ELSE 'added' END AS outcome FROM w""",
-        """walk(start, node, depth) AS (SELECT source_id, target_id, 1 FROM document_relation WHERE kind = 'part_of' AND NOT retracted
-             UNION ALL SELECT w.start, e.target_id, depth + 1 FROM walk w JOIN document_relation e ON e.source_id = w.node
-             WHERE e.kind = 'part_of' AND NOT e.retracted AND depth < 32 AND w.node <> w.start)""",
+        WALK.format(kind="part_of"),
         """w AS (SELECT 'part_of' AS kind, CASE WHEN no % 2 = 0 THEN other ELSE document_id END AS source_id, CASE WHEN no % 2 = 0 THEN document_id ELSE other END AS target_id
              FROM (SELECT *, 'doc-' || CASE no % 3 WHEN 0 THEN no // 2 WHEN 1 THEN no // 4 ELSE no END AS other FROM document))""",
     ),
@@ -291,7 +289,7 @@ ORACLES = {
                left(sha256('title' || chr(31) || title), 20) AS evidence_key,
                CASE WHEN length(title) = 7 THEN 'failed' WHEN length(title) >= 50 THEN 'text_native' WHEN length(title) > 0 THEN 'text_sparse' ELSE 'blank' END AS state,
                length(text) < 300 AS scanned
-             FROM (SELECT *, {_TOK.format("title")} AS t, {_TOK.format("left(text, 200)")} AS b FROM titled JOIN (SELECT doc_id AS no, text FROM d) USING (no))"""
+             FROM (SELECT *, {_TOK.format("title")} AS t, {_TOK.format("text")} AS b FROM titled JOIN (SELECT doc_id AS no, text FROM d) USING (no))"""
     ),
     "page_titles": rf"""SELECT page_id, c AS title, {key("c")} AS key FROM (
         SELECT page_id, {_CLEAN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS c FROM pages)""",
@@ -341,8 +339,7 @@ ORACLES = {
              min(relation_id) AS relation_id, count(*) AS folded
            FROM (SELECT relation_id, kind, coalesce(a.survivor, source_id) AS s, coalesce(b.survivor, target_id) AS t FROM document_relation
                  LEFT JOIN sv a ON a.document_id = source_id LEFT JOIN sv b ON b.document_id = target_id WHERE NOT retracted) WHERE s <> t GROUP BY 1, 2, 3""",
-        """chain(document_id, survivor, depth) AS (SELECT document_id, merged_into, 1 FROM document WHERE merged_into IS NOT NULL
-             UNION ALL SELECT c.document_id, m.merged_into, depth + 1 FROM chain c JOIN document m ON m.document_id = c.survivor WHERE m.merged_into IS NOT NULL AND depth < 32)""",
+        CHAIN,
         "sv AS (SELECT document_id, arg_max(survivor, depth) AS survivor FROM chain GROUP BY document_id)",
     ),
     "path_functions": sql(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.operators import relate, views
-from doclake.plans.corpus_sql import key, sql
+from doclake.plans.corpus_sql import CHAIN, WALK, key, sql
 from doclake.plans.views import LATEST, MAIN
 from doclake.sources.corpus import Catalog
 
@@ -73,7 +73,7 @@ def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that are printed whole in a document: the containment join on real text."""
     c = Catalog(spark, sf_dir)
     items = c.table("benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("document_id"), relate.alnum_key(F.col("text")).alias("title_key"))
-    texts = c.rows.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("first_text"))
+    texts = c.text.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("first_text"))
     return relate.printed_titles(texts, items.filter(F.length("title_key") >= 20))
 
 
@@ -167,17 +167,14 @@ ORACLES = {
     ),
     "relate_printed_passages": rf"""
         SELECT DISTINCT doc_id::VARCHAR AS reader, 'item-' || item_id AS printed FROM documents
-        JOIN (SELECT item_id, {key("left(text, 60)")} AS k FROM benchmark) ON contains({key("documents.text")}, k) WHERE length(k) >= 20""",
+        JOIN (SELECT item_id, {key("text")} AS k FROM benchmark) ON contains({key("documents.text")}, k) WHERE length(k) >= 20""",
     "relation_ancestors": sql(
         """SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node""",
-        """walk(start, node, depth) AS (SELECT source_id, target_id, 1 FROM document_relation WHERE kind = 'part_of' AND NOT retracted
-             UNION ALL SELECT w.start, e.target_id, depth + 1 FROM walk w JOIN document_relation e ON e.source_id = w.node
-             WHERE e.kind = 'part_of' AND NOT e.retracted AND depth < 32 AND w.node <> w.start)""",
+        WALK.format(kind="part_of"),
     ),
     "merge_survivors": sql(
         "SELECT document_id, arg_max(survivor, depth) AS survivor, max(depth) AS depth FROM chain GROUP BY document_id",
-        """chain(document_id, survivor, depth) AS (SELECT document_id, merged_into, 1 FROM document WHERE merged_into IS NOT NULL
-             UNION ALL SELECT c.document_id, m.merged_into, depth + 1 FROM chain c JOIN document m ON m.document_id = c.survivor WHERE m.merged_into IS NOT NULL AND depth < 32)""",
+        CHAIN,
     ),
     "duplicates_by_level": sql(
         """SELECT 'exact_copies' AS level, count(*) AS items FROM (SELECT 1 FROM location JOIN root USING (root_id) WHERE NOT ended AND state = 'active' GROUP BY artifact_id HAVING count(*) > 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doclake.functions.text import terms
 from doclake.operators import filters, search
 from doclake.plans.corpus_sql import fold, sql
+from doclake.session import once, scratch_path, stamp
 from doclake.sources.corpus import Catalog
 
 TOP = 20
@@ -23,10 +24,23 @@ def _search(spark: SparkSession, sf_dir: str, query: search.Query, offset: int =
             scope = scope.join(catalog.document_artifact.join(docs, "document_id", "left_semi"), "artifact_id", "left_semi")
         if query.path:
             scope = scope.join(filters.path_scope(catalog.location, query.path), "artifact_id", "left_semi")
-    hits = search.search_pages(search.build_index(catalog.page), query, scope)
+    hits = search.search_pages(index(catalog), query, scope)
     return search.ranked(hits, catalog.page, TOP, offset)
 
 
+def index(catalog: Catalog) -> tuple[DataFrame, DataFrame]:
+    """The catalog's stored index; pages are tokenised the first time it is asked for."""
+    spark = catalog.spark
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        path = scratch_path(spark, "index")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        search.store_index(search.build_index(catalog.page), path, buckets)
+        return search.open_index(spark, path)
+
+    return once(spark, (catalog.sf_dir, stamp(spark, f"{catalog.sf_dir}/documents.parquet"), "index"), build)
+
+
 QUERY_OF = {
     "search_phrase": search.parse_query("of the"),
     "search_prefix": search.parse_query("thnt*"),
@@ -125,12 +139,12 @@ def search_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per term: pages and occurrences over the whole index."""
-    page_terms, _ = search.build_index(Catalog(spark, sf_dir).page)
+    page_terms, _ = index(Catalog(spark, sf_dir))
     return page_terms.groupBy("term").agg(F.countDistinct("page_id").alias("pages"), F.count(F.lit(1)).alias("occurrences"))
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, lengths = search.build_index(Catalog(spark, sf_dir).page)
+    _, lengths = index(Catalog(spark, sf_dir))
     return lengths.agg(F.count(F.lit(1)).alias("pages"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean_length"))
 
 

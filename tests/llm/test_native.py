@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,7 +17,7 @@ def chat_rows(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window long, ord long")
 
 
-@pytest.mark.parametrize("budget,history", [(40, 10), (12, 4), (1024, 256)])
+@pytest.mark.parametrize("budget,history", [(140, 40), (12, 4), (1024, 256)])
 def test_chat_reads_back_every_turn_once(spark, budget, history):
     rows = [(1, 0, "system", "be kind"), (2, 0, "system", None), (None, 0, "user", "x"), (5, 3, "tool", "out")]
     for i in range(1, 30):
@@ -43,6 +44,16 @@ def test_chat_reads_back_every_turn_once(spark, budget, history):
             assert w["n_turns"] == 1 or budget < 20
 
 
+def test_chat_takes_stored_token_counts(spark):
+    rows = [(1, i, "user", f"text {i}", 0, 0) for i in range(6)]
+    stored = spark.createDataFrame([(hashlib.sha256(f"text {i}".encode()).digest(), 100) for i in range(5)], "digest binary, n_tokens long")
+    plain = chat.windows(chat_rows(spark, rows), 260, 20).collect()
+    out = sorted(chat.windows(chat_rows(spark, rows), 260, 20, stored).collect(), key=lambda r: r["window"])
+    assert len(plain) == 1 and [r["n_turns"] for r in out] == [2, 2, 2]  # a stored turn costs 100 and its marks
+    marks = len(re.findall(r"[A-Za-z]{1,2}|[^A-Za-z ]", "<s>[INST] user [/INST]</s>"))
+    assert out[0]["tokens"] == 2 * (100 + marks) and plain[0]["tokens"] == 6 * (marks + 3)
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.windows(chat_rows(spark, []))).count() == 0
 

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from doclake.operators.lifecycle import orient
 
 
+PREFIX = 8  # fixed value: the shortest prefix of an id that names it
+
+
 def to_survivors(rows: DataFrame, survivors: DataFrame, *columns: str) -> DataFrame:
     """Rows with the named document columns mapped to their survivors."""
     for column in columns:
@@ -111,10 +114,12 @@ def chosen_canonical(document_artifact: DataFrame, wanted: DataFrame) -> DataFra
 
 
 def retracted(relations: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, outcome) of taking relations back by a prefix of their id: retracted, already, ambiguous or not_found."""
-    hits = asked.join(relations.select("relation_id", "retracted"), F.startswith("relation_id", F.col("asked")), "left")
+    """(asked, outcome) of taking relations back by id or a prefix of PREFIX digits and more: retracted, already, ambiguous or not_found."""
+    held = relations.select("relation_id", "retracted", F.substring("relation_id", 1, PREFIX).alias("key"))
+    hits = asked.select("asked", F.substring("asked", 1, PREFIX).alias("key")).join(held, "key", "left").filter("relation_id IS NULL OR startswith(relation_id, asked)")
     found = hits.groupBy("asked").agg(F.count("relation_id").alias("n"), F.bool_or("retracted").alias("gone"))
-    return found.select("asked", F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").when(F.col("gone"), "already").otherwise("retracted").alias("outcome"))
+    found = asked.select("asked").distinct().join(found, "asked", "left")
+    return found.select("asked", F.when(F.coalesce("n", F.lit(0)) == 0, "not_found").when(F.col("n") > 1, "ambiguous").when(F.col("gone"), "already").otherwise("retracted").alias("outcome"))
 
 
 def accepted_effects(candidates: DataFrame, asked: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from doclake.plans.corpus_sql import CHAIN, sql
 from doclake.plans.views import ALL
 from doclake.sources.corpus import Catalog
 
-N = F.col("no")
-
 
 def _query(make):
     return lambda spark, sf_dir: make(Catalog(spark, sf_dir))
@@ -23,7 +21,7 @@ def _survivors(c: Catalog) -> DataFrame:
 
 def collections_added(c: Catalog) -> DataFrame:
     """Texts by number into the English collection: some are members, some merged away, some no documents."""
-    asked = c.document.filter("no % 5 < 3").select(F.lit("col-en").alias("collection_id"), F.when(N % 50 == 1, F.concat("document_id", F.lit("x"))).otherwise(F.col("document_id")).alias("document_id"))
+    asked = c.document.filter("no % 5 < 3").select(F.lit("col-en").alias("collection_id"), F.when(F.col("no") % 50 == 1, F.concat("document_id", F.lit("x"))).otherwise(F.col("document_id")).alias("document_id"))
     return organise.added(c.collection_member, asked, c.live, ["collection_id", "document_id"])
 
 
@@ -51,7 +49,7 @@ def survivor_choice(c: Catalog) -> DataFrame:
 
 
 def document_splits(c: Catalog) -> DataFrame:
-    taken = c.document_artifact.filter("no % 20 = 8").select("artifact_id", F.when(N % 60 == 8, F.concat(F.lit("doc-"), (N + 3).cast("string"))).alias("former"))
+    taken = c.document_artifact.filter("no % 20 = 8").select("artifact_id", F.when(F.col("no") % 60 == 8, F.concat(F.lit("doc-"), (F.col("no") + 3).cast("string"))).alias("former"))
     return merge.split(c.document_artifact, c.document, taken)
 
 

@@ -10,41 +10,40 @@ from doclake.plans.corpus_sql import key, sql
 from doclake.sources.corpus import Catalog, pick
 
 LEVELS = ("exact", "strong", "weak", "contradicted", "no_match", "unverifiable")
-N = F.col("no")
 
 
 def _front(c: Catalog) -> DataFrame:
     """A front page that prints the title and, for some, the first author's surname."""
-    text = F.concat(F.when(N % 5 != 2, F.col("title")).otherwise(F.lit("no title here")), F.lit("\nby Ann Fam"), (N % 7).cast("string"), F.lit(" and others"))
+    text = F.concat(F.when(F.col("no") % 5 != 2, F.col("title")).otherwise(F.lit("no title here")), F.lit("\nby Ann Fam"), (F.col("no") % 7).cast("string"), F.lit(" and others"))
     return c.titled.filter("title <> ''").select("document_id", "no", text.alias("text"))
 
 
 def _titles(c: Catalog) -> DataFrame:
     rows = c.titled.filter("title <> ''")
-    other = F.concat(F.lit("Quite another heading "), N.cast("string"))
+    other = F.concat(F.lit("Quite another heading "), F.col("no").cast("string"))
     found = [
-        rows.filter(N % 4 != 3).select("document_id", F.lit("layout_title").alias("source"), F.col("title").alias("value")),
-        rows.filter(N % 3 != 1).select("document_id", F.lit("pdf_xmp_title").alias("source"), F.when(N % 6 == 0, other).otherwise(F.lower("title")).alias("value")),
-        rows.filter(N % 2 == 0).select("document_id", F.lit("pdf_info_title").alias("source"), F.col("title").alias("value")),
-        rows.filter(N % 7 == 0).select("document_id", F.lit("filename_hint").alias("source"), F.col("title").alias("value")),
+        rows.filter(F.col("no") % 4 != 3).select("document_id", F.lit("layout_title").alias("source"), F.col("title").alias("value")),
+        rows.filter(F.col("no") % 3 != 1).select("document_id", F.lit("pdf_xmp_title").alias("source"), F.when(F.col("no") % 6 == 0, other).otherwise(F.lower("title")).alias("value")),
+        rows.filter(F.col("no") % 2 == 0).select("document_id", F.lit("pdf_info_title").alias("source"), F.col("title").alias("value")),
+        rows.filter(F.col("no") % 7 == 0).select("document_id", F.lit("filename_hint").alias("source"), F.col("title").alias("value")),
     ]
     return views.union(found)
 
 
 def _authors(c: Catalog) -> DataFrame:
-    name = F.concat(F.lit("Ann Fam"), (N % 9).cast("string"))
-    return c.titled.filter("title <> '' AND no % 5 <> 4").select("document_id", F.lit("pdf_xmp_authors").alias("source"), F.array(name, F.concat(F.lit("Zz"), N.cast("string"), F.lit(", Bo"))).alias("names"))
+    name = F.concat(F.lit("Ann Fam"), (F.col("no") % 9).cast("string"))
+    return c.titled.filter("title <> '' AND no % 5 <> 4").select("document_id", F.lit("pdf_xmp_authors").alias("source"), F.array(name, F.concat(F.lit("Zz"), F.col("no").cast("string"), F.lit(", Bo"))).alias("names"))
 
 
 def _dois(c: Catalog) -> DataFrame:
     return c.document.select(
-        "document_id", F.concat(F.lit("10.5555/doc."), (N % 300).cast("string")).alias("doi"), (N % 9).cast("int").alias("score"), pick(("own", "ambiguous", "foreign"), N).alias("classification"),
-        (N % 4).cast("int").alias("first_page"), (N % 11 == 0).alias("wrapped"), (N % 13 == 0).alias("listed"),
+        "document_id", F.concat(F.lit("10.5555/doc."), (F.col("no") % 300).cast("string")).alias("doi"), (F.col("no") % 9).cast("int").alias("score"), pick(("own", "ambiguous", "foreign"), F.col("no")).alias("classification"),
+        (F.col("no") % 4).cast("int").alias("first_page"), (F.col("no") % 11 == 0).alias("wrapped"), (F.col("no") % 13 == 0).alias("listed"),
     )
 
 
 def _checks(c: Catalog) -> DataFrame:
-    return c.document.filter("no % 3 = 0").select("document_id", F.concat(F.lit("10.5555/doc."), (N % 300).cast("string")).alias("doi"), pick(LEVELS, F.floor(N / 3)).alias("verdict"))
+    return c.document.filter("no % 3 = 0").select("document_id", F.concat(F.lit("10.5555/doc."), (F.col("no") % 300).cast("string")).alias("doi"), pick(LEVELS, F.floor(F.col("no") / 3)).alias("verdict"))
 
 
 def _shared(c: Catalog) -> DataFrame:
@@ -52,28 +51,28 @@ def _shared(c: Catalog) -> DataFrame:
 
 
 def _identifiers(c: Catalog) -> DataFrame:
-    return c.document.filter("no % 8 = 5").select("document_id", F.lit("arxiv").alias("field"), F.concat(F.lit("2101.0"), F.lpad((N % 10_000).cast("string"), 4, "0")).alias("value"), F.lit("high").alias("confidence"), F.lit("safe").alias("review"))
+    return c.document.filter("no % 8 = 5").select("document_id", F.lit("arxiv").alias("field"), F.concat(F.lit("2101.0"), F.lpad((F.col("no") % 10_000).cast("string"), 4, "0")).alias("value"), F.lit("high").alias("confidence"), F.lit("safe").alias("review"))
 
 
 def _works(c: Catalog) -> DataFrame:
     """A record for each accepted DOI; some fields are missing or no values."""
     rows = c.titled.join(c.metadata_value.filter("field = 'doi'").select("document_id"), "document_id", "left_semi")
-    people = F.concat(F.lit('[{"family":"Fam'), (N % 50).cast("string"), F.lit('","given":"G"}]'))
+    people = F.concat(F.lit('[{"family":"Fam'), (F.col("no") % 50).cast("string"), F.lit('","given":"G"}]'))
     return rows.select(
-        "document_id", "no", pick(("exact", "strong", "weak"), N).alias("verdict"), F.concat(F.lit("<i>"), "title", F.lit("</i>")).alias("title"), F.when(N % 4 != 1, people).alias("authors"),
-        F.when(N % 6 == 2, F.lit("20x1")).otherwise((1990 + N % 35).cast("string")).alias("year"), F.concat(F.lit("Journal  of "), "source").alias("container"), F.lit(None).cast("string").alias("publisher"),
-        F.lit("journal-article").alias("type"), (N % 40).cast("string").alias("volume"), F.lit("").alias("issue"), F.concat(N.cast("string"), F.lit("-"), (N + 9).cast("string")).alias("pages"),
+        "document_id", "no", pick(("exact", "strong", "weak"), F.col("no")).alias("verdict"), F.concat(F.lit("<i>"), "title", F.lit("</i>")).alias("title"), F.when(F.col("no") % 4 != 1, people).alias("authors"),
+        F.when(F.col("no") % 6 == 2, F.lit("20x1")).otherwise((1990 + F.col("no") % 35).cast("string")).alias("year"), F.concat(F.lit("Journal  of "), "source").alias("container"), F.lit(None).cast("string").alias("publisher"),
+        F.lit("journal-article").alias("type"), (F.col("no") % 40).cast("string").alias("volume"), F.lit("").alias("issue"), F.concat(F.col("no").cast("string"), F.lit("-"), (F.col("no") + 9).cast("string")).alias("pages"),
     )
 
 
 def _answers(c: Catalog) -> DataFrame:
     rows = c.metadata_value.filter("field = 'doi' AND no % 10 <> 4")
-    return rows.select("document_id", F.col("value").alias("doi"), pick(LEVELS, N).alias("verdict"))
+    return rows.select("document_id", F.col("value").alias("doi"), pick(LEVELS, F.col("no")).alias("verdict"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
-    cached = c.document.select(F.concat(F.lit("doi:10.5555/doc."), (N % 40).cast("string")).alias("key"))
+    cached = c.document.select(F.concat(F.lit("doi:10.5555/doc."), (F.col("no") % 40).cast("string")).alias("key"))
     return specs.planned_requests(c.metadata_candidate, c.metadata_value, specs.local_titles(c.metadata_candidate.filter("k = 0"), ("pdf_layout",)), cached)
 
 
@@ -85,7 +84,7 @@ def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
-    pages = c.document.select("document_id", F.when(N % 9 == 0, "  ").otherwise("words").alias("text"))
+    pages = c.document.select("document_id", F.when(F.col("no") % 9 == 0, "  ").otherwise("words").alias("text"))
     return specs.notes(pages, c.document.filter("no % 4 <> 0"))
 
 
@@ -93,7 +92,7 @@ def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts stored as proposals, read back as checks, change the local DOI specs of the next round."""
     c = Catalog(spark, sf_dir)
     stored = specs.check_specs(_checks(c)).withColumn("evidence", F.lit("{}"))
-    verdict = c.document.select("document_id", F.when(N % 3 == 0, pick(LEVELS, F.floor(N / 3))).alias("verdict"))
+    verdict = c.document.select("document_id", F.when(F.col("no") % 3 == 0, pick(LEVELS, F.floor(F.col("no") / 3))).alias("verdict"))
     evidence = F.when(F.col("verdict") == "no_match", F.lit('{"state":"no_match"}')).otherwise(F.concat(F.lit('{"state":"success","verdict":"'), "verdict", F.lit('"}')))
     stored = stored.drop("evidence").join(verdict, "document_id").withColumn("evidence", evidence)
     return specs.doi_specs(_dois(c), specs.provider_checks(stored), _shared(c)).select("document_id", "value", "classification", "review", "status")

@@ -12,9 +12,11 @@ the bytes in order.
 
 Words are the matches of ``pattern``; a text is cut into units only at single
 spaces between two characters that are not white space, where every match of
-the pattern must end, so a unit that recurs is looked up and not encoded again.
-The lookup tables are bounded (``MEMO`` entries, or as many as the caller gives;
-the ids are the same with any number) and local to a worker: nothing is shuffled, and losing an executor loses only cached units.
+the pattern must end, so a unit that recurs in a batch, or a word that recurs in
+any, is looked up and not encoded again. The lookup tables are bounded (``MEMO``
+entries, or as many as the caller gives; the ids are the same with any number)
+and local to a worker: nothing is shuffled, and losing an executor loses only
+what it had looked up.
 
 One pass of the recursion contracts one pair a word. For words longer than
 ``LONG_WORD`` bytes a second form of the query contracts, in one pass, every
@@ -41,6 +43,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +52,7 @@ from doclake.llm import worker
 from doclake.session import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-MEMO = 600_000
+MEMO = 400_000
 LONG_WORD = 64
 WORDS_PER_QUERY = 30_000
 BATCH_ROWS = 2_000
@@ -60,10 +63,8 @@ WITH RECURSIVE state(k, tok, done) AS (
   UNION ALL
   (WITH pairs AS (
      SELECT k, tok, lead(k) OVER o AS next_k, lead(tok) OVER o AS next_tok FROM state WHERE NOT done WINDOW o AS (ORDER BY k)),
-   best AS (
-     SELECT k >> 16 AS word, min((id::BIGINT << 16) | (k & 65535)) AS pick,
-            arg_min(next_k, (id::BIGINT << 16) | (k & 65535)) AS gone
-     FROM pairs JOIN merges ON l = tok AND r = next_tok WHERE next_k >> 16 = k >> 16 GROUP BY 1)
+   ranked AS (SELECT k, next_k, (id::BIGINT << 16) | (k & 65535) AS pick FROM pairs JOIN merges ON l = tok AND r = next_tok WHERE next_k >> 16 = k >> 16),
+   best AS (SELECT k >> 16 AS word, min(pick) AS pick, arg_min(next_k, pick) AS gone FROM ranked GROUP BY 1)
    SELECT p.k, CASE WHEN (p.k & 65535) = (pick & 65535) THEN (pick >> 16)::INTEGER ELSE p.tok END, word IS NULL
    FROM pairs p LEFT JOIN best ON word = p.k >> 16 WHERE word IS NULL OR p.k <> gone)
 )
@@ -108,6 +109,7 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = regex.compile(spaced(pattern))
+        self.plain = pattern == public_tokenizers.PATTERN  # there a space and letters are one word
         self.uneven = regex.compile(r"\p{White_Space} | \p{White_Space}")
         self.cuts = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
@@ -134,34 +136,41 @@ class Codec:
 
     # ------------------------------------------------------------- encoding
 
-    def units(self, text: str) -> list[str]:
-        """Stretches between cuts; a space belongs to each but the first."""
-        uneven = any(pair in text for pair in _PAIRS) if text.isascii() else self.uneven.search(text)
-        return self.cuts.split(text) if uneven else text.split(" ")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; units are told apart and put together by Arrow, and looked up once a batch."""
         texts = [t or "" for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        split = [self.units(t) for t in texts]
-        first = [units.pop(0) for units in split]
-        fresh = list({u for units in split for u in units if u not in memo})
-        spaced_units = [" " + u for u in fresh]
-        heads = list(dict.fromkeys(first))
-        ids = self._encode_units(spaced_units + heads)
-        memo.update(zip(fresh, ids, strict=False))
-        head = dict(zip(heads, ids[len(spaced_units) :], strict=True))
-        return [head[u] + b"".join(map(memo.__getitem__, units)) for u, units in zip(first, split, strict=True)]
+        uneven = [any(pair in t for pair in _PAIRS) if t.isascii() else self.uneven.search(t) is not None for t in texts]
+        plain = pc.split_pattern(pa.array([t for t, u in zip(texts, uneven, strict=True) if not u], pa.large_string()), " ")
+        rough = pa.array([self.cuts.split(t) for t, u in zip(texts, uneven, strict=True) if u], pa.list_(pa.large_string()))
+        done = [iter(self._encode_split(units)) for units in (plain, rough)]
+        return [next(done[u]) for u in uneven]
+
+    def _encode_split(self, split: pa.ListArray) -> list[bytes]:
+        """As ``encode``, of texts cut into units; a space belongs to each unit but a text's first."""
+        if not len(split):
+            return []
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        codes, units = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        heads, head_codes = np.unique(codes[ends[:-1]], return_inverse=True)
+        codes[ends[:-1]] = len(units) + head_codes
+        met = np.flatnonzero(np.bincount(codes, minlength=len(units))[: len(units)]).tolist()
+        ids = self._encode_units([" " + units[i] for i in met] + [units[h] for h in heads])
+        place = np.zeros(len(units) + len(heads), dtype=np.int64)
+        place[met] = np.arange(len(met))
+        place[len(units) :] = len(met) + np.arange(len(heads))
+        return _joined(ids, place[codes], ends)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        split = [self.words.findall(u) for u in units]
-        words = list(dict.fromkeys(chain.from_iterable(split)))
-        known: dict[str, bytes] = {}
-        for i in range(0, len(words), WORDS_PER_QUERY):
-            part = words[i : i + WORDS_PER_QUERY]
-            known.update(zip(part, self._encode_words([w.encode() for w in part]), strict=True))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        memo, find = self.memo, self.words.findall
+        split = [(u,) if self.plain and u[1:].isalpha() and u[0] == " " else find(u) for u in units]
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in memo]
+        for i in range(0, len(fresh), WORDS_PER_QUERY):
+            part = fresh[i : i + WORDS_PER_QUERY]
+            memo.update(zip(part, self._encode_words([w.encode() for w in part]), strict=True))
+        return [memo[s[0]] if len(s) == 1 else b"".join(map(memo.__getitem__, s)) for s in split]
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
@@ -194,34 +203,48 @@ class Codec:
     # ------------------------------------------------------------- decoding
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes of each text's packed ids, by runs of ids that begin where a token begins with a space."""
         if len(self.segments) > self.most:
             self.segments.clear()
-        memo = self.segments
-        split = [self._segments(ids) for ids in packed]
-        keys = list({s for segments in split for s in segments if s not in memo})
-        if keys:
-            lengths = np.array([len(s) // 4 for s in keys])
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            table = {
-                "s": np.repeat(np.arange(len(keys), dtype=np.int32), lengths),
-                "pos": (np.arange(len(starts)) - starts).astype(np.int32),
-                "tok": np.frombuffer(b"".join(keys), dtype="<u4").astype(np.int32),
-            }
-            self.db.register("segments", pa.table(table))
-            found = self.db.sql(DECODE).to_arrow_table()
-            self.db.unregister("segments")
-            memo.update(zip(keys, map(bytes.fromhex, found["hex"].to_pylist()), strict=True))
-        return [b"".join(map(memo.__getitem__, segments)) for segments in split]
-
-    def _segments(self, packed: bytes) -> list[bytes]:
-        """Runs of ids that begin where a token begins with a space."""
-        ids = np.frombuffer(packed, dtype="<u4")
-        if len(ids) == 0:
-            return []
+        memo, data = self.segments, b"".join(packed)
+        ids = np.frombuffer(data, dtype="<u4")
+        if not len(ids):
+            return [b""] * len(packed)
         if ids.max() >= len(self.known) or not self.known[ids].all():
             raise KeyError("an id is not in the vocabulary")
-        cuts = [0, *(np.flatnonzero(self.leads[ids[1:]]) * 4 + 4).tolist(), len(packed)]
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        cut = self.leads[ids]
+        cut[ends[:-1][ends[:-1] < len(ids)]] = True
+        starts = np.flatnonzero(cut)
+        offsets = pa.py_buffer(np.append(starts * 4, len(data)).astype(np.int64).tobytes())
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        keys = runs.dictionary.to_pylist()
+        self._decode_runs([k for k in keys if k not in memo])
+        return _joined([memo[k] for k in keys], runs.indices.to_numpy(), np.searchsorted(starts, ends))
+
+    def _decode_runs(self, runs: list[bytes]) -> None:
+        """Token positions joined with the vocabulary, bytes aggregated in order."""
+        if not runs:
+            return
+        lengths = np.array([len(r) // 4 for r in runs])
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        table = {
+            "s": np.repeat(np.arange(len(runs), dtype=np.int32), lengths),
+            "pos": (np.arange(len(starts)) - starts).astype(np.int32),
+            "tok": np.frombuffer(b"".join(runs), dtype="<u4").astype(np.int32),
+        }
+        self.db.register("segments", pa.table(table))
+        found = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("segments")
+        self.segments.update(zip(runs, map(bytes.fromhex, found["hex"].to_pylist()), strict=True))
+
+
+def _joined(pieces: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each stretch of ``codes`` between two ``ends`` its pieces, one after another."""
+    taken = pa.array(pieces, pa.large_binary()).take(pa.array(codes))
+    at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1][ends].tolist()
+    data = memoryview(taken.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

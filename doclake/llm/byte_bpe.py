@@ -56,6 +56,8 @@ MEMO = 400_000
 LONG_WORD = 64
 WORDS_PER_QUERY = 30_000
 BATCH_ROWS = 2_000
+#: Bytes of text that are encoded and decoded at a time; what lies behind them in memory is some seventy times as much.
+SLICE_BYTES = 2 << 20
 
 ENCODE = """
 WITH RECURSIVE state(k, tok, done) AS (
@@ -259,6 +261,19 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def slices(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """Stretches of the texts of about ``most`` characters, one text at least."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO) -> DataFrame:
     """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes; a worker keeps about ``memo`` units."""
     where = path or public_tokenizers.path(RANKS)
@@ -269,8 +284,11 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, p
         coder = codec(where, pattern)
         coder.most = memo
         for batch in texts:
-            ids = coder.encode(batch.tolist())
-            yield pd.DataFrame({"ids": ids, "decoded": coder.decode(ids)})
+            ids, decoded = [], []
+            for part in slices(batch.tolist(), SLICE_BYTES):
+                ids += coder.encode(part)
+                decoded += coder.decode(ids[len(decoded) :])
+            yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), both(F.col(f"`{text_col}`")).alias("b"))
     return rows.select("doc", "b.ids", "b.decoded")

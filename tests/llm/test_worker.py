@@ -30,3 +30,10 @@ def test_ids_do_not_depend_on_what_is_kept():
     coder.most = 10
     got = [ids for i in range(0, 200, 20) for ids in coder.encode(texts[i : i + 20])]
     assert got == want and coder.decode(got) == [t.encode() for t in texts]
+
+
+def test_slices_hold_every_text_in_order():
+    texts = ["ab", None, "x" * 50, "", "c", "dd" * 3, None]
+    got = list(byte_bpe.slices(texts, 5))
+    assert [t for part in got for t in part] == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 5 for p in got)
+    assert list(byte_bpe.slices([], 5)) == []

@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Units a worker keeps: the stages before leave an executor less memory than the operator has alone. Results are the same.
-MEMO = 100_000
+MEMO = 200_000
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ MEMO = 400_000
 LONG_WORD = 64
 WORDS_PER_QUERY = 30_000
 BATCH_ROWS = 2_000
-#: Bytes of text that are encoded and decoded at a time; what lies behind them in memory is some seventy times as much.
-SLICE_BYTES = 2 << 20
+#: Characters of text that are encoded and decoded at a time: about an Arrow batch. Smaller slices take less memory and some more time.
+SLICE_CHARS = 8 << 20
 
 ENCODE = """
 WITH RECURSIVE state(k, tok, done) AS (
@@ -121,7 +121,7 @@ class Codec:
         self.leads = np.zeros(size, dtype=bool)
         self.known = np.zeros(size, dtype=bool)
         for token, rank in self.ranks.items():
-            self.leads[rank], self.known[rank] = token[:1] == b" ", True
+            self.leads[rank], self.known[rank] = token[0] < 128 and not token[:1].isalnum(), True
         pairs = [
             (left, right, rank)
             for token, rank in self.ranks.items()
@@ -205,7 +205,7 @@ class Codec:
     # ------------------------------------------------------------- decoding
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
-        """The bytes of each text's packed ids, by runs of ids that begin where a token begins with a space."""
+        """The bytes of each text's packed ids, by runs of ids that begin where a token begins with a space or a sign."""
         if len(self.segments) > self.most:
             self.segments.clear()
         memo, data = self.segments, b"".join(packed)
@@ -274,8 +274,8 @@ def slices(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
         yield part
 
 
-def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO) -> DataFrame:
-    """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes; a worker keeps about ``memo`` units."""
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes; a worker keeps about ``memo`` words and takes ``slice_chars`` characters at a time."""
     where = path or public_tokenizers.path(RANKS)
     small_batches(df.sparkSession, BATCH_ROWS)
 
@@ -285,7 +285,7 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, p
         coder.most = memo
         for batch in texts:
             ids, decoded = [], []
-            for part in slices(batch.tolist(), SLICE_BYTES):
+            for part in slices(batch.tolist(), slice_chars):
                 ids += coder.encode(part)
                 decoded += coder.decode(ids[len(decoded) :])
             yield pd.DataFrame({"ids": ids, "decoded": decoded})

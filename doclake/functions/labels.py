@@ -1,4 +1,4 @@
-"""Words for sources, origins and fields, and the sentence that says how a value came to be accepted."""
+"""How stored names read in an answer, and one sentence on an accepted value's history."""
 
 from __future__ import annotations
 

@@ -10,17 +10,14 @@ MAX_STEM, MAX_COMPONENT = 120, 200
 RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"COM{n}" for n in range(1, 10)), *(f"LPT{n}" for n in range(1, 10)), "COM¹", "COM²", "COM³", "LPT¹", "LPT²", "LPT³"]
 UNKNOWN_YEAR = "unknown-year"
 EXTENSIONS = {
-    "pdf": "pdf",
-    "epub": "epub",
-    "word_document": "docx doc rtf odt",
-    "text": "txt md csv tsv json xml html htm log ini toml yaml yml",
-    "spreadsheet": "xls xlsx ods",
-    "chemistry_data": "xyz mol sdf cif pdb mol2 smi",
-    "archive": "zip rar 7z tar gz",
-    "image": "png jpg jpeg gif bmp tif tiff",
-    "code": "py ipynb js",
-    "database": "mdb accdb sqlite",
-}
+    "pdf": "pdf", "epub": "epub", "docx": "word_document", "doc": "word_document", "rtf": "word_document", "odt": "word_document", "txt": "text",
+    "md": "text", "csv": "text", "tsv": "text", "json": "text", "xml": "text", "html": "text", "htm": "text", "log": "text", "ini": "text",
+    "toml": "text", "yaml": "text", "yml": "text", "xls": "spreadsheet", "xlsx": "spreadsheet", "ods": "spreadsheet", "xyz": "chemistry_data",
+    "mol": "chemistry_data", "sdf": "chemistry_data", "cif": "chemistry_data", "pdb": "chemistry_data", "mol2": "chemistry_data",
+    "smi": "chemistry_data", "zip": "archive", "rar": "archive", "7z": "archive", "tar": "archive", "gz": "archive", "png": "image", "jpg": "image",
+    "jpeg": "image", "gif": "image", "bmp": "image", "tif": "image", "tiff": "image", "py": "code", "ipynb": "code", "js": "code", "mdb": "database",
+    "accdb": "database", "sqlite": "database",
+}
 COMPATIBLE = {
     "pdf": ["pdf"],
     "epub": ["zip_container"],
@@ -68,7 +65,7 @@ def stem_of(path: Column) -> Column:
 
 
 def extension_kind(path: Column) -> Column:
-    return F.coalesce(_lookup({e: kind for kind, names in EXTENSIONS.items() for e in names.split()}, extension_of(path)), F.lit("other"))
+    return F.coalesce(_lookup(EXTENSIONS, extension_of(path)), F.lit("other"))
 
 
 def kinds_disagree(path: Column, content: Column) -> Column:

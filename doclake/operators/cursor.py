@@ -1,63 +1,101 @@
-"""Page cursors: an opaque position that is refused once the catalog or the query has changed."""
+"""Page cursors: a sealed position in a listing, refused once the catalog, the question or the row before it has changed.
+
+A cursor is a fixed binary record (version, catalog revision, offset, digest of the
+question, digest of the last row's key) under a keyed seal, written in base 32.
+"""
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import json
+import binascii
+import struct
+from collections.abc import Callable
+from dataclasses import dataclass
+from hashlib import blake2b
+
+from pyspark.sql import Column, DataFrame
 
-# Cursor version and bounds.
+# Form version and bounds of a listing.
 VERSION, WINDOW, MAX_LIMIT = 1, 5000, 1000
+_RECORD, _SEAL = struct.Struct(">BQI8s8s"), 5
+_KEY = b"doclake listing position"
 
 
 class CursorError(ValueError):
     pass
 
 
-def signature(command: str, arguments: dict) -> str:
-    return hashlib.sha256(json.dumps([command, arguments], sort_keys=True).encode()).hexdigest()[:16]
-
-
-def _check(body: bytes) -> str:
-    return hashlib.sha256(body).hexdigest()[:8]
-
-
-def encode(command: str, revision: int, sign: str, offset: int, anchor: str) -> str:
-    body = json.dumps({"v": VERSION, "c": command, "r": revision, "s": sign, "o": offset, "a": anchor}, separators=(",", ":"), sort_keys=True).encode()
-    return base64.urlsafe_b64encode(_check(body).encode() + body).decode().rstrip("=")
-
-
-def decode(text: str) -> dict:
-    try:
-        raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
-        check, body = raw[:8].decode(), raw[8:]
-        found = json.loads(body)
-    except (ValueError, UnicodeDecodeError) as problem:
-        raise CursorError("not a cursor") from problem
-    if check != _check(body) or found.get("v") != VERSION:
-        raise CursorError("not a cursor of this version")
-    return found
-
-
-def start(text: str | None, command: str, revision: int, sign: str, anchor_at=None) -> int:
-    """Offset to continue from. ``anchor_at(i)``: key of row i, to notice rows that moved."""
-    if text is None:
-        return 0
-    found = decode(text)
-    if (found["c"], found["s"]) != (command, sign):
-        raise CursorError("the cursor belongs to another query")
-    if found["r"] != revision or anchor_at is not None and found["o"] and anchor_at(found["o"] - 1) != found["a"]:
-        raise CursorError("the catalog has changed since")
-    return found["o"]
-
-
-def check_limit(limit: int) -> int:
+def digest(*parts: object) -> bytes:
+    """Eight bytes for a question (its command and arguments) or for a row's key."""
+    return blake2b("\x1f".join(map(repr, parts)).encode(), digest_size=8).digest()
+
+
+def question(command: str, **arguments: object) -> bytes:
+    return digest(command, *sorted(arguments.items()))
+
+
+@dataclass(frozen=True)
+class Cursor:
+    revision: int
+    offset: int
+    question: bytes
+    anchor: bytes
+
+    def __str__(self) -> str:
+        record = _RECORD.pack(VERSION, self.revision, self.offset, self.question, self.anchor)
+        return base64.b32encode(record + blake2b(record, digest_size=_SEAL, key=_KEY).digest()).decode().rstrip("=").lower()
+
+    @classmethod
+    def read(cls, text: str) -> Cursor:
+        try:
+            whole = base64.b32decode(text.upper().ljust(-(-len(text) // 8) * 8, "="))
+        except (binascii.Error, ValueError) as problem:
+            raise CursorError("not a cursor") from problem
+        record, seal = whole[: _RECORD.size], whole[_RECORD.size :]
+        if len(record) < _RECORD.size or blake2b(record, digest_size=_SEAL, key=_KEY).digest() != seal:
+            raise CursorError("not a cursor, or not a whole one")
+        version, *fields = _RECORD.unpack(record)
+        if version != VERSION:
+            raise CursorError(f"a cursor of form {version}")
+        return cls(*fields)
+
+
+@dataclass(frozen=True)
+class Listing:
+    """One question to one state of the catalog."""
+
+    revision: int
+    question: bytes
+
+    def start(self, text: str | None, key_at: Callable[[int], str] | None = None) -> int:
+        """Where to go on; ``key_at(i)`` gives the key of row i, to notice rows that moved."""
+        if not text:
+            return 0
+        cursor = Cursor.read(text)
+        if cursor.question != self.question:
+            raise CursorError("the cursor answers another question")
+        moved = key_at is not None and cursor.offset > 0 and digest(key_at(cursor.offset - 1)) != cursor.anchor
+        if cursor.revision != self.revision or moved:
+            raise CursorError("the catalog has changed since this page")
+        return cursor.offset
+
+    def following(self, start: int, keys: list[str], more: bool) -> str | None:
+        """The cursor after a page; none at the end or past the window."""
+        end = start + len(keys)
+        if not keys or not more or end >= WINDOW:
+            return None
+        return str(Cursor(self.revision, end, self.question, digest(keys[-1])))
+
+
+def checked_limit(limit: int) -> int:
+    """A page's size; out of bounds is refused, not clamped."""
     if not 1 <= limit <= MAX_LIMIT:
         raise CursorError(f"a page holds 1 to {MAX_LIMIT} rows")
     return limit
 
 
-def following(command: str, revision: int, sign: str, offset: int, keys: list[str], more: bool) -> str | None:
-    """Cursor after this page; None at the end or past the window."""
-    end = offset + len(keys)
-    return encode(command, revision, sign, end, keys[-1]) if more and keys and end < WINDOW else None
+def page(rows: DataFrame, order: list[Column | str], limit: int, start: int = 0) -> DataFrame:
+    """``limit`` rows from ``start`` and one more, which tells whether there are further ones."""
+    if start + checked_limit(limit) > WINDOW:
+        raise CursorError(f"a listing is paged through its first {WINDOW} rows")
+    return rows.orderBy(*order).offset(start).limit(limit + 1)

@@ -65,15 +65,15 @@ def all_words(haystack: Column, typed: Column) -> Column:
     return F.forall(F.filter(F.split(F.lower(typed), r"\s+"), lambda w: w != ""), lambda w: F.contains(F.lower(haystack), w))
 
 
-def coverage(artifact: DataFrame, extraction: DataFrame, page: DataFrame) -> DataFrame:
-    """One row: what a search over this library can and cannot see."""
+def coverage(artifact: DataFrame, extraction: DataFrame, page: DataFrame, matching: DataFrame | None = None) -> DataFrame:
+    """One row: what a search over this library can and cannot see; with the documents that a query's filters left (``matching``), how many those are."""
     text = page.groupBy("artifact_id").agg(F.max("chars").alias("most"))
     rows = artifact.select("artifact_id", "content_kind").join(extraction.select("artifact_id", "status", F.col("source").alias("origin")), "artifact_id", "left")
     rows = rows.join(text, "artifact_id", "left")
     pdf = F.col("content_kind") == "pdf"
     done = pdf & F.col("status").isNotNull()
     seen = done & (F.col("status") != "failed")
-    return rows.agg(
+    counted = rows.agg(
         F.count_if(pdf).alias("pdf_documents"),
         F.count_if(seen).alias("searchable"),
         F.count_if(seen & (F.col("status") == "partial")).alias("partially_indexed"),
@@ -83,3 +83,4 @@ def coverage(artifact: DataFrame, extraction: DataFrame, page: DataFrame) -> Dat
         F.count_if(seen & (F.coalesce("most", F.lit(0)) == 0)).alias("no_text_layer"),
         F.count_if(~pdf).alias("other_files_not_searchable"),
     )
+    return counted if matching is None else counted.crossJoin(matching.agg(F.count(F.lit(1)).alias("documents_matching")))  # one row on the right

@@ -203,15 +203,14 @@ def replacements(location: DataFrame, document_artifact: DataFrame, docs: DataFr
     return proposal(rows, "replaces", "new", "old", "same-path", F.when(F.col("od") == F.col("nd"), "high").otherwise("medium"))
 
 
-def detect(c) -> DataFrame:
-    """All detectors in their order: later ones leave out what earlier ones found."""
-    docs = documents(c)
-    prints = fingerprints(c.page)
-    apart = supplement_pairs(docs)
-    first = union([same_doi(docs, prints, apart), identical_text(prints, c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))])
-    return union(
-        [apart, first, same_title_and_author(docs, union([first, apart])), versions(docs), parts_and_collections(docs, printed_parents(c.metadata_candidate, docs)), replacements(c.location, c.document_artifact, docs)]
-    ).distinct()
+def detect(c, docs: DataFrame | None = None, prints: DataFrame | None = None, apart: DataFrame | None = None) -> DataFrame:
+    """All detectors in their order: later ones leave out what earlier ones found. What the caller has made already is used as it is."""
+    docs = documents(c) if docs is None else docs
+    prints = fingerprints(c.page) if prints is None else prints
+    apart = supplement_pairs(docs) if apart is None else apart
+    same, identical = same_doi(docs, prints, apart), identical_text(prints, c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))
+    parts = parts_and_collections(docs, printed_parents(c.metadata_candidate, docs))
+    return union([apart, same, identical, same_title_and_author(docs, union([same, identical, apart])), versions(docs), parts, replacements(c.location, c.document_artifact, docs)]).distinct()
 
 
 def reachable(edges: DataFrame, kind: str) -> DataFrame:

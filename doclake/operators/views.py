@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doclake.functions.identifiers import agreement_key, normalise
-from doclake.functions.naming import extension_kind, kinds_disagree, stem_of
+from doclake.functions.naming import extension_kind, kinds_disagree
 from doclake.operators.filters import available
+from doclake.session import cut
 
 CONFIDENCE_RANK = {"exact": 0, "high": 1, "medium": 2, "low": 3, "ambiguous": 4}
 INBOX = ("unresolved", "ambiguous", "missing", "new")
@@ -232,44 +233,45 @@ def locate(c) -> DataFrame:
 
 
 def stats(c) -> DataFrame:
-    """(section, metric, value): inventory, health and organisation counts in one table."""
+    """(section, metric, value): inventory, health and organisation counts in one table; one aggregation a table."""
 
-    def metric(section: str, name: str, rows: DataFrame, value: Column | None = None) -> DataFrame:
-        value = F.count(F.lit(1)) if value is None else F.coalesce(value, F.lit(0))
-        return rows.agg(value.cast("long").alias("value")).select(F.lit(section).alias("section"), F.lit(name).alias("metric"), "value")
+    def metrics(rows: DataFrame, **values: Column) -> DataFrame:
+        """``section__metric=aggregate`` pairs of one table, turned into rows."""
+        counted = rows.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in values.items()])
+        named = [F.struct(F.lit(k.partition("__")[0]).alias("section"), F.lit(k.partition("__")[2]).alias("metric"), F.col(k).alias("value")) for k in values]
+        return counted.select(F.explode(F.array(*named)).alias("m")).select("m.*")
 
-    def grouped(section: str, rows: DataFrame, name: Column) -> DataFrame:
-        return rows.groupBy(name.alias("metric")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(section).alias("section"), "metric", "value")
+    def grouped(rows: DataFrame, **names: Column) -> DataFrame:
+        """Counts by each of several names of a row, in one pass."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), v.alias("metric")) for k, v in names.items()])).alias("p")
+        return rows.select(pairs).groupBy("p.section", "p.metric").agg(F.count(F.lit(1)).alias("value"))
 
+    all_ = F.count(F.lit(1))
     now = c.location.filter("NOT ended")
     kinds = now.join(c.artifact.select("artifact_id", "content_kind"), "artifact_id")
-    copies = current_copies(c).join(c.artifact.select("artifact_id", F.col("size").alias("bytes")), "artifact_id").groupBy("artifact_id", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = current_copies(c).join(c.artifact.select("artifact_id", F.col("size").alias("bytes")), "artifact_id").groupBy("artifact_id", "bytes").agg(all_.alias("n")).filter("n > 1")
     several = c.document_artifact.join(c.live.select("document_id"), "document_id", "left_semi").groupBy("document_id").count().filter("count > 1")
+    path, state = F.col("relative_path"), F.col("state")
     return union(
         [
-            metric("inventory", "roots", c.root),
-            metric("inventory", "documents", c.live),
-            metric("inventory", "documents_merged_away", c.document.filter("retired")),
-            metric("inventory", "artifacts", c.artifact),
-            metric("inventory", "locations_current", now),
-            metric("inventory", "locations_ended", c.location.filter("ended")),
-            metric("inventory", "total_bytes", c.artifact, F.sum("size")),
-            grouped("locations_by_state", now, F.col("state")),
-            grouped("by_extension_kind", kinds, extension_kind(F.col("relative_path"))),
-            grouped("by_content_kind", kinds, F.col("content_kind")),
-            grouped("locations_by_root", now, F.col("root_id")),
-            metric("health", "locations_missing", now.filter("state = 'missing'")),
-            metric("health", "locations_inaccessible", now.filter("state = 'inaccessible'")),
-            metric("health", "roots_not_online", c.root.filter("status <> 'online'")),
-            metric("health", "exact_duplicate_groups", copies),
-            metric("health", "exact_duplicate_files", copies, F.sum("n")),
-            metric("health", "exact_duplicate_bytes_reclaimable", copies, F.sum((F.col("n") - 1) * F.col("bytes"))),
-            metric("health", "extension_content_mismatches", kinds.filter(kinds_disagree(F.col("relative_path"), F.col("content_kind")))),
-            metric("organization", "collections", c.collection.filter("NOT retired")),
-            metric("organization", "tags", c.document_tag.select("tag_key").distinct()),
-            metric("organization", "document_relations", c.document_relation.filter("NOT retracted")),
-            metric("organization", "relation_proposals_waiting", c.relation_candidate.filter("status = 'proposed'")),
-            metric("organization", "documents_with_several_artifacts", several),
+            metrics(c.root, inventory__roots=all_, health__roots_not_online=F.count_if(F.col("status") != "online")),
+            metrics(c.document, inventory__documents=F.count_if(~F.col("retired")), inventory__documents_merged_away=F.count_if("retired")),
+            metrics(c.artifact, inventory__artifacts=all_, inventory__total_bytes=F.sum("size")),
+            metrics(
+                c.location,
+                inventory__locations_current=F.count_if(~F.col("ended")),
+                inventory__locations_ended=F.count_if("ended"),
+                health__locations_missing=F.count_if(~F.col("ended") & (state == "missing")),
+                health__locations_inaccessible=F.count_if(~F.col("ended") & (state == "inaccessible")),
+            ),
+            grouped(kinds, locations_by_state=state, by_extension_kind=extension_kind(path), by_content_kind=F.col("content_kind"), locations_by_root=F.col("root_id")),
+            metrics(copies, health__exact_duplicate_groups=all_, health__exact_duplicate_files=F.sum("n"), health__exact_duplicate_bytes_reclaimable=F.sum((F.col("n") - 1) * F.col("bytes"))),
+            metrics(kinds, health__extension_content_mismatches=F.count_if(kinds_disagree(path, F.col("content_kind")))),
+            metrics(c.collection, organization__collections=F.count_if(~F.col("retired"))),
+            metrics(c.document_tag.select("tag_key").distinct(), organization__tags=all_),
+            metrics(c.document_relation, organization__document_relations=F.count_if(~F.col("retracted"))),
+            metrics(c.relation_candidate, organization__relation_proposals_waiting=F.count_if(F.col("status") == "proposed")),
+            metrics(several, organization__documents_with_several_artifacts=all_),
         ]
     )
 
@@ -305,33 +307,71 @@ def related(c) -> DataFrame:
     return out.unionByName(back)
 
 
-def timing(rows: DataFrame, group: Column, value: Column) -> DataFrame:
-    """Median, upper-middle median, nearest-rank p95 and maximum."""
-    rows = rows.select(group.alias("g"), value.alias("v")).filter("v IS NOT NULL")
-    n = F.count(F.lit(1)).over(Window.partitionBy("g"))
-    place = F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1
-    rows = rows.select("g", "v", n.alias("n"), place.alias("i"))
-    return rows.groupBy("g").agg(
-        F.max("n").alias("n"),
-        F.median("v").alias("median"),
-        F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("v"))).alias("upper_median"),
-        F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95))), F.col("v"))).alias("p95"),
-        F.max("v").alias("longest"),
-    )
+BINS = 256
+
+
+def timing(rows: DataFrame, group: Column, value: Column, item: Column | None = None, size: Column | None = None) -> DataFrame:
+    """Median, upper-middle median, nearest-rank p95 and maximum of each group; with ``item`` the slowest, with ``size`` (bytes) the rate.
+
+    Equal values are counted before they move. Bin counts say in which bin an order
+    statistic lies, and only those bins' distinct values are put in order, so five
+    groups of any size are no five tasks.
+    """
+    more = [] if item is None else [F.max_by("item", F.struct("v", "item")).alias("slowest")]
+    more += [] if size is None else [F.round(F.try_divide(F.sum("size") / 1e6, F.sum("v")), 6).alias("mb_per_s")]
+    rows = rows.select(group.alias("g"), value.alias("v"), (F.lit(None) if item is None else item).alias("item"), (F.lit(None) if size is None else size).alias("size")).filter("v IS NOT NULL")
+    whole = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("longest"), *more)
+    low, high = whole.select(F.col("g").alias("__g"), "n", "least", "longest"), F.col("n")
+    width = (F.col("longest") - F.col("least")) / BINS
+    bin_ = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("least")) / width))).otherwise(0).cast("int")
+    counted = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).join(low, F.col("g").eqNullSafe(F.col("__g"))).withColumn("bin", bin_).drop("__g")
+    bins = counted.groupBy("g", "bin", "n").agg(F.sum("c").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.withColumn("before", F.coalesce(before, F.lit(0)))
+    places = {"lower": F.floor((high - 1) / 2), "upper": F.floor(high / 2), "p95": F.least(high - 1, F.floor(high * F.lit(0.95)))}
+    wanted = bins.select("g", "bin", "before", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.cast("long").alias("i")) for k, p in places.items()])).alias("p"))
+    wanted = wanted.filter((F.col("p.i") >= F.col("before")) & (F.col("p.i") < F.col("before") + F.col("c"))).select(F.col("g").alias("__g"), F.col("bin").alias("__bin"), "before", "p.k", "p.i")
+    inside = counted.select("g", "bin", "v", "c").join(wanted, F.col("g").eqNullSafe(F.col("__g")) & (F.col("bin") == F.col("__bin")))
+    upto = F.sum("c").over(Window.partitionBy("g", "bin", "k").orderBy("v")) + F.col("before")
+    found = inside.withColumn("upto", upto).filter((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
+    found = found.groupBy(F.col("g").alias("__g")).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in places])
+    out = whole.join(found, F.col("g").eqNullSafe(F.col("__g")))
+    names = [n for n, given in (("slowest", item), ("mb_per_s", size)) if given is not None]
+    return out.select("g", "n", ((F.col("lower") + F.col("upper")) / 2).alias("median"), F.col("upper").alias("upper_median"), "p95", "longest", *names)
+
+
+def placed(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows with their 0-based place in the whole order: ranges are sorted apart, and counts of the ranges before say where each begins."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = cut(rows, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))  # one row a range
+    return rows.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__first")
+
+
+PREFIX = 8  # fixed value: hexadecimal digits that name an artifact, up to 63
 
 
 def resolve_names(c, names: DataFrame) -> DataFrame:
-    """Names (column ``name``) to documents: id, path, file name, id prefix; the first kind that matches wins."""
+    """Names (column ``name``) to documents: id, hash, path or its end, file name, hash prefix; the first kind that matches wins.
+
+    Paths and file names of the present come before those of the past. The ends of a
+    path are its suffixes at folder borders, so a name is one equi-join.
+    """
     live = c.live.select("document_id")
     owned = c.document_artifact.select("document_id", "artifact_id").join(live, "document_id", "left_semi")
-    places = owned.join(c.location.filter("NOT ended").select("artifact_id", "relative_path"), "artifact_id")
-    base = F.substring_index("relative_path", "/", -1)
+    parts = F.split("relative_path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+    places = owned.join(c.location.select("artifact_id", "relative_path", "ended"), "artifact_id").select("document_id", "ended", F.posexplode(ends).alias("depth", "key"), F.size(parts).alias("n"))
+    rank = F.when(F.col("depth") == 0, 2).when(F.col("depth") < F.col("n") - 1, 3).otherwise(4) + F.when(F.col("ended"), 3).otherwise(0)
+    short = names.filter(F.col("name").rlike("^[0-9a-f]{%d,63}$" % PREFIX)).withColumn("key", F.substring("name", 1, PREFIX))
     found = [
         names.join(live, names["name"] == live["document_id"]).select("name", "document_id", F.lit(0).alias("kind")),
         names.join(owned, names["name"] == owned["artifact_id"]).select("name", "document_id", F.lit(1).alias("kind")),
-        names.join(places, names["name"] == places["relative_path"]).select("name", "document_id", F.lit(2).alias("kind")),
-        names.join(places, names["name"] == base).select("name", "document_id", F.lit(3).alias("kind")),
-        names.filter(F.col("name").rlike("^[0-9a-f]{12}$")).join(owned, F.col("name") == F.substring("artifact_id", 1, 12)).select("name", "document_id", F.lit(4).alias("kind")),
+        names.join(places, names["name"] == places["key"]).select("name", "document_id", rank.alias("kind")),
+        short.join(owned.withColumn("key", F.substring("artifact_id", 1, PREFIX)), "key").filter(F.startswith("artifact_id", F.col("name"))).select("name", "document_id", F.lit(8).alias("kind")),
     ]
     rows = union(found).distinct()
     best = rows.groupBy("name").agg(F.min("kind").alias("kind"))
@@ -346,6 +386,7 @@ def resolve_names(c, names: DataFrame) -> DataFrame:
 
 def doctor(c) -> DataFrame:
     """Findings (category, severity, code, subject)."""
+    from doclake.operators.relate import ACYCLIC, reachable  # relate builds on the views
 
     def finding(rows: DataFrame, category: str, severity: str, code: str, subject: Column | str) -> DataFrame:
         subject = F.col(subject) if isinstance(subject, str) else subject
@@ -364,9 +405,17 @@ def doctor(c) -> DataFrame:
     dangling = c.metadata_value.filter("source_candidate_id IS NOT NULL").join(
         c.metadata_candidate.select(F.col("candidate_id").alias("source_candidate_id")), "source_candidate_id", "left_anti"
     )
+    foreign = c.candidate_source.join(owned.select("document_id", "artifact_id"), ["document_id", "artifact_id"], "left_anti")
+    newest = c.run.groupBy("root_id").agg(F.max("started").alias("newest"))
+    cycles = union([reachable(c.document_relation, kind).filter("start = node").select(F.concat(F.lit(f"{kind}:"), "start").alias("at")) for kind in ACYCLIC])
     counted = lambda rows: rows.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    pages = c.page.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("pages"))
     return union(
         [
+            finding(c.run.join(newest, "root_id").filter("status = 'running' AND started < newest"), "catalog", "warning", "stale_run", "run_id"),
+            finding(foreign, "metadata", "error", "proposal_from_wrong_artifact", "candidate_id"),
+            finding(cycles, "relationships", "error", "relation_cycle", "at"),
+            finding(c.extraction.join(pages, "artifact_id", "left").filter("page_count <> coalesce(pages, 0)"), "extraction", "error", "page_count_mismatch", "artifact_id"),
             finding(live.join(owned.filter("canonical"), "document_id", "left_anti"), "catalog", "error", "no_canonical", "document_id"),
             finding(c.artifact.join(owned, "artifact_id", "left_anti"), "catalog", "error", "artifact_without_document", "artifact_id"),
             finding(c.location.filter("ended AND end_reason = 'moved' AND successor_location_id IS NULL"), "catalog", "error", "move_without_successor", "location_id"),
@@ -396,7 +445,3 @@ def duplicate_key_report(tables: dict[str, tuple[DataFrame, list[str]]]) -> Data
     return union(
         [rows.groupBy(F.concat_ws("|", *keys).alias("key")).count().filter("count > 1").select(F.lit(name).alias("table"), "key", "count") for name, (rows, keys) in tables.items()]
     )
-
-
-def file_stem(path: Column) -> Column:
-    return stem_of(path)

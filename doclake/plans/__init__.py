@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("search", "views", "relations", "catalog", "journal", "metadata", "library", "organizer")
+MODULES: tuple[str, ...] = ("search", "views", "relations", "catalog", "journal", "metadata", "library", "organizer", "reading")
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclake.functions import identifiers, naming, text
 from doclake.operators import evidence, lifecycle, relate, views
 from doclake.plans.corpus_sql import CHAIN, WALK, key, sql
-from doclake.plans.views import AGREES
+from doclake.plans.views import AGREES, MAIN
 from doclake.sources.corpus import Catalog
 
 
@@ -247,7 +247,22 @@ rec AS (SELECT root_id, path_key, k.artifact_id AS old_artifact, s.artifact_id,
     WHEN k.root_id IS NULL THEN CASE WHEN s.artifact_id IN (SELECT artifact_id FROM known) THEN 'new_location' ELSE 'new_artifact' END
     WHEN k.artifact_id <> s.artifact_id THEN 'replaced' WHEN state <> 'active' THEN 'reappeared' WHEN k.size <> s.size THEN 'touched' ELSE 'unchanged' END AS result
   FROM known k FULL JOIN seen s USING (root_id, path_key))"""
+_CLEAN_NAME = r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(replace({}, ':', ' - '), '/', ' - '), chr(92), ' - '), '|', ' - '), '"<>?*', chr(39)), '[\s\p{Z}]', ' ', 'g'), '\p{C}', '', 'g'), '\s+', ' ', 'g'), ' .')"""
+_SHORT = "CASE WHEN length({0}) <= 120 THEN {0} ELSE rtrim(left({0}, 111), ' .') || '~' || left(sha256({0}), 8) END"
 ORACLES = {
+    "file_names": sql(
+        f"""SELECT item, artifact_id, wanted, CASE WHEN members = 1 THEN wanted ELSE folder || {_SHORT.format("tagged")} || '.pdf' END AS final FROM (
+              SELECT *, substr(stem, length(folder) + 1) || ' [' || left(artifact_id, 8) || ']' || CASE WHEN copy > 1 THEN ' -' || copy ELSE '' END AS tagged FROM (
+                SELECT *, folder || name AS stem, count(*) OVER (PARTITION BY lower(wanted)) AS members, row_number() OVER (PARTITION BY lower(wanted), artifact_id ORDER BY item) AS copy
+                FROM (SELECT *, folder || name || '.pdf' AS wanted FROM named)))""",
+        MAIN,
+        "fields AS (SELECT document_id, max(value) FILTER (field = 'title') AS title, max(value) FILTER (field = 'year') AS year, max(value) FILTER (field = 'authors') AS authors FROM metadata_value GROUP BY 1)",
+        f"""raw AS (SELECT document_id AS item, artifact_id, coalesce(year, 'unknown-year') || '/' AS folder, {_CLEAN_NAME.replace('{}', 'title')} AS part,
+              array_to_string(list_filter([CASE WHEN authors IS NOT NULL THEN json_extract_string(authors, '$[0].family') || ' et al.' END, '(' || year || ')'], lambda x: x IS NOT NULL), ' ') AS head
+            FROM live JOIN fields USING (document_id) JOIN main USING (document_id) WHERE title IS NOT NULL)""",
+        "whole AS (SELECT *, trim(CASE WHEN head <> '' THEN head || ' - ' || part ELSE part END, ' .') AS full_stem FROM raw WHERE part <> '')",
+        f"named AS (SELECT item, artifact_id, folder, {_SHORT.format('full_stem')} AS name FROM whole)",
+    ),
     "decisions": sql(
         f"""SELECT candidate_id, document_id, field, status AS old_status, CASE WHEN dec = 'accept' THEN 'accepted' WHEN dec = 'reject' AND status <> 'accepted' THEN 'rejected'
               WHEN status IN ('proposed', 'stale', 'set_aside') AND (document_id, field, ak) IN (SELECT (document_id, field, ak) FROM x WHERE dec = 'accept') THEN 'accepted' ELSE status END AS status FROM x""",

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.operators import relate, views
+from doclake.operators import lifecycle, relate, views
 from doclake.plans.corpus_sql import CHAIN, WALK, key, sql
 from doclake.plans.views import LATEST, MAIN
 from doclake.sources.corpus import Catalog
 
-DOCS = rf"""docs AS (
+DOCS = rf"""plain AS (
   SELECT l.document_id, m.artifact_id, t.value AS title, o.value AS doi, lower(coalesce(y.value, '')) AS type, c.value AS container,
          CASE WHEN length({key("t.value")}) >= 20 THEN {key("t.value")} END AS title_key, nullif({key("c.value")}, '') AS container_key,
          nullif({key("json_extract_string(a.value, '$[0].family')")}, '') AS first_family, coalesce(f.first_text, '') AS first_text,
-         lower(coalesce(y.value, '')) IN ('posted-content', 'preprint') AS preprint
+         lower(coalesce(y.value, '')) IN ('posted-content', 'preprint') AS preprint, latest.relative_path, l.no
   FROM live l JOIN main m USING (document_id)
   LEFT JOIN (SELECT * FROM metadata_value WHERE field = 'title') t USING (document_id) LEFT JOIN (SELECT * FROM metadata_value WHERE field = 'doi') o USING (document_id)
   LEFT JOIN (SELECT * FROM metadata_value WHERE field = 'type') y USING (document_id) LEFT JOIN (SELECT * FROM metadata_value WHERE field = 'container') c USING (document_id)
   LEFT JOIN (SELECT * FROM metadata_value WHERE field = 'authors') a USING (document_id)
-  LEFT JOIN (SELECT artifact_id, string_agg(text, chr(10) ORDER BY pdf_page) AS first_text FROM page WHERE pdf_page <= 2 GROUP BY artifact_id) f ON f.artifact_id = m.artifact_id)"""
+  LEFT JOIN (SELECT artifact_id, string_agg(text, chr(10) ORDER BY pdf_page) AS first_text FROM page WHERE pdf_page <= 2 GROUP BY artifact_id) f ON f.artifact_id = m.artifact_id
+  LEFT JOIN latest ON latest.artifact_id = m.artifact_id),
+docs AS (
+  SELECT p.* REPLACE (CASE WHEN p.no % 17 = 5 THEN 'Correction' || coalesce(' on ' || o.title, '') || chr(10)
+      WHEN p.no % 19 = 6 THEN 'Supporting information' || CASE WHEN p.no % 2 = 0 THEN coalesce(' on ' || o.title, '') ELSE coalesce(' https://doi.org/' || o.doi, '') END || chr(10)
+      WHEN p.no % 23 = 10 THEN 'Data' || CASE WHEN p.no % 3 = 0 THEN '' ELSE coalesce(' on ' || o.title, '') END || coalesce(' https://doi.org/' || o.doi, '') || chr(10) ELSE '' END || p.first_text AS first_text)
+  FROM plain p LEFT JOIN plain o ON o.no = CASE WHEN p.no % 17 = 5 THEN p.no - 1 WHEN p.no % 19 = 6 THEN p.no - 2 WHEN p.no % 23 = 10 THEN p.no - 3 END),
+marks AS (
+  SELECT document_id, title, doi, title_key, first_text, no % 23 = 10 OR regexp_matches(regexp_replace(split_part(relative_path, '/', -1), '\.[^.]+$', ''), '(?i)(^|[\s_\-.])(si|supp|suppl|supplement|supplementary|supporting|esi|moesm[0-9]*)($|[\s_\-.0-9])') AS hint,
+         regexp_matches(left(first_text, 1500), '(?i)\b(supporting\s+information|supplementary\s+(material|information|data|file|materials)|supplemental\s+(material|information|data)|electronic\s+supplementary\s+material|online\s+supplement)\b') AS says_so,
+         regexp_matches(coalesce(title, ''), '{{W}}') OR regexp_matches(left(first_text, 200), '{{W}}') AS correction, {{K}} AS hay FROM docs)"""
+DOCS = DOCS.replace("{W}", r"(?i)^[^\p{L}\p{N}_]*(correction|corrigendum|corrigenda|erratum|errata|addendum|retraction|comment|reply|response)\b").replace("{K}", key("first_text"))
 PRINTS = r"""prints AS (
   SELECT artifact_id, sha256(t) AS fingerprint FROM (
-    SELECT artifact_id, string_agg(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g'), '' ORDER BY pdf_page) AS t FROM page GROUP BY artifact_id)
+    SELECT artifact_id, string_agg(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g'), '' ORDER BY pdf_page) AS t FROM (
+      SELECT artifact_id, pdf_page, text FROM page WHERE no % 12 <> 7
+      UNION ALL SELECT a.artifact_id, pdf_page, text FROM page p JOIN artifact a ON a.no = p.no + 1 WHERE a.no % 12 = 7) GROUP BY artifact_id)
   WHERE length(t) >= 400)"""
 
 
@@ -39,34 +52,96 @@ OWNED = "owned AS (SELECT artifact_id, document_id, fingerprint FROM prints JOIN
 OWNERS = "owners AS (SELECT DISTINCT fingerprint, document_id FROM owned)"
 TITLED = "titled2 AS (SELECT *, title_key || '|' || first_family AS tf FROM docs WHERE title_key IS NOT NULL AND first_family IS NOT NULL)"
 DATED = "dated AS (SELECT * FROM docs WHERE title_key IS NOT NULL AND doi IS NOT NULL)"
+APART = """found_corrections AS (
+  SELECT 'related_to' AS kind, r.document_id AS source_id, p.document_id AS target_id, 'correction-of' AS evidence_key, 'high' AS confidence
+  FROM marks r JOIN marks p ON r.correction AND r.first_text <> '' AND NOT (p.correction AND p.first_text <> '') AND p.title_key IS NOT NULL AND r.document_id <> p.document_id AND contains(r.hay, p.title_key)),
+signals AS (
+  SELECT DISTINCT r.document_id AS reader, p.document_id AS printed, s, r.says_so FROM marks r JOIN marks p ON r.document_id <> p.document_id AND NOT p.says_so, (VALUES ('doi'), ('title')) t(s)
+  WHERE (r.says_so OR r.hint) AND r.first_text <> '' AND NOT r.correction
+    AND CASE s WHEN 'title' THEN p.title_key IS NOT NULL AND contains(r.hay, p.title_key) ELSE p.doi IS NOT NULL AND (p.doi = r.doi OR list_contains(regexp_extract_all(r.first_text, '10\\.5555/doc\\.[0-9]+'), p.doi)) END),
+pairs_found AS (SELECT *, count(*) OVER (PARTITION BY reader) AS targets FROM (SELECT reader, printed, says_so, count(*) AS n FROM signals GROUP BY 1, 2, 3)),
+found_supplements AS (
+  SELECT 'supplement_of' AS kind, reader AS source_id, printed AS target_id, 'supplement' AS evidence_key, CASE WHEN targets > 1 THEN 'ambiguous' WHEN says_so THEN 'high' ELSE 'medium' END AS confidence
+  FROM pairs_found WHERE says_so OR n >= 2),
+apart AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM (SELECT * FROM found_corrections UNION ALL SELECT * FROM found_supplements))"""
 SAME_DOI = f"""same_doi AS (
   SELECT 'same_document' AS kind, a AS source_id, b AS target_id, 'shared-doi' AS evidence_key,
          CASE WHEN fa.fingerprint = fb.fingerprint THEN 'exact' WHEN titles <= 1 THEN 'high' ELSE 'medium' END AS confidence
   FROM {_pairs("alone", "doi", "document_id")} p JOIN doi_groups ON doi = p.g JOIN docs da ON da.document_id = a JOIN docs db ON db.document_id = b
-  LEFT JOIN prints fa ON fa.artifact_id = da.artifact_id LEFT JOIN prints fb ON fb.artifact_id = db.artifact_id)"""
+  LEFT JOIN prints fa ON fa.artifact_id = da.artifact_id LEFT JOIN prints fb ON fb.artifact_id = db.artifact_id
+  WHERE (least(a, b), greatest(a, b)) NOT IN (SELECT (a, b) FROM apart))"""
 IDENTICAL = f"""identical AS (
   SELECT 'equivalent_to' AS kind, a AS source_id, b AS target_id, 'identical-text' AS evidence_key, 'exact' AS confidence FROM {_pairs("owned", "fingerprint", "artifact_id")}
   UNION ALL SELECT 'same_document', a, b, 'identical-text', 'exact' FROM {_pairs("owners", "fingerprint", "document_id")})"""
 
 
+def _number(column: str) -> Column:
+    return F.substring(column, 5, 20).cast("long")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The detectors' documents with what the texts lack: corrections and supplements that print an earlier one's title or DOI."""
+    n = _number("document_id")
+    others = docs.select(_number("document_id").alias("other"), F.col("title").alias("other_title"), F.col("doi").alias("other_doi"))
+    back = F.when(n % 17 == 5, n - 1).when(n % 19 == 6, n - 2).when(n % 23 == 10, n - 3)
+    rows = docs.withColumn("other", back).join(others, "other", "left")
+    about = F.coalesce(F.concat(F.lit(" on "), "other_title"), F.lit(""))
+    link = F.coalesce(F.concat(F.lit(" https://doi.org/"), "other_doi"), F.lit(""))
+    head = (
+        F.when(n % 17 == 5, F.concat(F.lit("Correction"), about))
+        .when(n % 19 == 6, F.concat(F.lit("Supporting information"), F.when(n % 2 == 0, about).otherwise(link)))
+        .when(n % 23 == 10, F.concat(F.lit("Data"), F.when(n % 3 == 0, F.lit("")).otherwise(about), link))
+    )
+    rows = rows.withColumn("first_text", F.concat(F.coalesce(F.concat(head, F.lit("\n")), F.lit("")), "first_text"))
+    return rows.withColumn("stem", F.when(n % 23 == 10, "paper_si").otherwise(F.col("stem"))).select(*docs.columns)
+
+
+def pages(c) -> DataFrame:
+    """Pages in which some artifacts hold their predecessor's text with other punctuation."""
+    no = F.col("no")
+    copies = c.artifact.filter("no % 12 = 7").select("artifact_id", (no - 1).alias("no"))
+    again = c.page.drop("artifact_id").join(copies, "no").select("artifact_id", "pdf_page", F.concat(F.lit("- "), "text", F.lit("!")).alias("text"))
+    return c.page.filter("no % 12 <> 7").select("artifact_id", "pdf_page", "text").unionByName(again)
+
+
+class Input:
+    """What all detectors read, made once a session: documents, fingerprints, and the pairs that are no copies."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.c = c = Catalog(spark, sf_dir)
+        self.docs = c.derived("detector_docs", lambda: planted(relate.documents(c)))
+        self.prints = c.derived("detector_prints", lambda: relate.fingerprints(pages(c)))
+        self.apart = c.derived("detector_apart", lambda: relate.supplement_pairs(self.docs))
+
+
 def _detector(make):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = Catalog(spark, sf_dir)
-        return make(c, relate.documents(c))
+    return lambda spark, sf_dir: make(Input(spark, sf_dir))
+
+
+def _same_doi(i: Input) -> DataFrame:
+    return relate.same_doi(i.docs, i.prints, i.apart)
 
-    return run
 
+def _identical_text(i: Input) -> DataFrame:
+    return relate.identical_text(i.prints, i.c.document_artifact.join(i.docs.select("document_id"), "document_id", "left_semi"))
 
-def _same_doi(c, docs: DataFrame) -> DataFrame:
-    return relate.same_doi(docs, relate.fingerprints(c.page), relate.supplement_pairs(docs))
 
+def _same_title_author(i: Input) -> DataFrame:
+    return relate.same_title_and_author(i.docs, views.union([_same_doi(i), _identical_text(i), i.apart]))
 
-def _identical_text(c, docs: DataFrame) -> DataFrame:
-    return relate.identical_text(relate.fingerprints(c.page), c.document_artifact.join(docs.select("document_id"), "document_id", "left_semi"))
 
+def _detect(i: Input) -> DataFrame:
+    return relate.detect(i.c, i.docs, i.prints, i.apart)
 
-def _same_title_author(c, docs: DataFrame) -> DataFrame:
-    return relate.same_title_and_author(docs, views.union([_same_doi(c, docs), _identical_text(c, docs), relate.supplement_pairs(docs)]))
+
+def detector_run(i: Input) -> DataFrame:
+    """Tallies of a run over stored proposals: what it finds again, finds anew, and no longer finds."""
+    found = _detect(i).filter("kind <> 'collection'").withColumn("status", F.lit("proposed"))
+    mark = F.conv(F.substring(F.md5(F.concat("source_id", F.lit("|"), "target_id").cast("binary")), 1, 2), 16, 10).cast("int") % 5
+    stored = found.filter(mark < 3).withColumns({"status": F.when(mark == 0, "rejected").when(mark == 1, "stale").otherwise("proposed")})
+    gone = found.filter("kind = 'version_of'").withColumn("evidence_key", F.lit("an older rule"))
+    out = lifecycle.upsert(stored.unionByName(gone), found, ["kind", "source_id", "target_id", "evidence_key"], ["confidence"], ("proposed",))
+    return out.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("proposals"))
 
 
 def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +153,17 @@ def printed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "relate_corrections": _detector(lambda i: relate.corrections(i.docs)),
+    "relate_supplements": _detector(lambda i: relate.supplements(i.docs)),
     "relate_same_doi": _detector(_same_doi),
     "relate_identical_text": _detector(_identical_text),
     "relate_same_title_author": _detector(_same_title_author),
-    "relate_versions": _detector(lambda c, d: relate.versions(d)),
-    "relate_parts": _detector(lambda c, d: relate.parts_and_collections(d)),
-    "relate_parts_printed": _detector(lambda c, d: relate.parts_and_collections(d, relate.printed_parents(c.metadata_candidate, d))),
-    "relate_replacements": _detector(lambda c, d: relate.replacements(c.location, c.document_artifact, d)),
+    "relate_versions": _detector(lambda i: relate.versions(i.docs)),
+    "relate_parts": _detector(lambda i: relate.parts_and_collections(i.docs)),
+    "relate_parts_printed": _detector(lambda i: relate.parts_and_collections(i.docs, relate.printed_parents(i.c.metadata_candidate, i.docs))),
+    "relate_replacements": _detector(lambda i: relate.replacements(i.c.location, i.c.document_artifact, i.docs)),
+    "relate_detect": _detector(_detect),
+    "relate_run": _detector(detector_run),
     "relate_printed_passages": printed_passages,
     "relation_ancestors": lambda s, d: relate.reachable(Catalog(s, d).document_relation, "part_of"),
     "merge_survivors": lambda s, d: relate.merged_survivors(Catalog(s, d).document),
@@ -95,7 +174,7 @@ QUERIES = {
 def duplicates_by_level(c) -> DataFrame:
     """The duplicates report: copies, equivalent texts, proposed merges, several artifacts, merged documents."""
     counted = lambda rows, level: rows.agg(F.count(F.lit(1)).alias("items")).select(F.lit(level).alias("level"), "items")
-    prints = relate.fingerprints(c.page)
+    prints = relate.fingerprints(pages(c))
     several = c.document_artifact.join(c.live.select("document_id"), "document_id", "left_semi").groupBy("document_id").count().filter("count > 1")
     return views.union(
         [
@@ -108,62 +187,64 @@ def duplicates_by_level(c) -> DataFrame:
     )
 
 
+SAME_TITLE = f"""same_title AS (
+  SELECT 'same_document' AS kind, a AS source_id, b AS target_id, 'same-title-and-first-author' AS evidence_key, 'medium' AS confidence
+  FROM {_pairs("titled2", "tf", "document_id")} JOIN docs da ON da.document_id = a JOIN docs db ON db.document_id = b
+  WHERE (da.doi IS NULL OR db.doi IS NULL OR da.doi = db.doi) AND (a, b) NOT IN (SELECT (source_id, target_id) FROM same_doi)
+    AND (a, b) NOT IN (SELECT (source_id, target_id) FROM identical WHERE kind = 'same_document') AND (least(a, b), greatest(a, b)) NOT IN (SELECT (a, b) FROM apart))"""
+VERSIONS = f"""versions AS (
+  SELECT CASE WHEN da.preprint <> db.preprint THEN 'version_of' ELSE 'related_to' END AS kind,
+    CASE WHEN db.preprint AND NOT da.preprint THEN b ELSE a END AS source_id, CASE WHEN db.preprint AND NOT da.preprint THEN a ELSE b END AS target_id,
+    CASE WHEN da.preprint <> db.preprint THEN 'preprint-and-published' ELSE 'same-title-different-doi' END AS evidence_key,
+    CASE WHEN da.preprint <> db.preprint THEN 'high' ELSE 'low' END AS confidence
+  FROM {_pairs("dated", "title_key", "document_id")} JOIN docs da ON da.document_id = a JOIN docs db ON db.document_id = b
+  WHERE da.doi <> db.doi AND NOT (da.preprint AND db.preprint))"""
+WHOLES = "wholes AS (SELECT * FROM docs WHERE type IN ('book', 'edited-book', 'reference-book', 'monograph', 'book-set'))"
+CHAPTERS = """chapters AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.title_key = docs.container_key) AS whole FROM docs
+  WHERE type IN ('book-chapter', 'reference-entry', 'book-section', 'book-part') AND container_key IS NOT NULL)"""
+MEMBERS = "members AS (SELECT document_id, doi FROM docs JOIN doi_groups USING (doi) WHERE parent)"
+PRINTED = (
+    """printed AS (SELECT DISTINCT document_id, c.value AS doi FROM metadata_candidate c JOIN docs USING (document_id)
+         WHERE c.field = 'doi' AND c.source = 'pdf_text_doi' AND c.status IN ('proposed', 'accepted') AND json_extract(c.evidence, '$.shared_by_documents') IS NOT NULL)""",
+    """members AS (SELECT document_id, doi FROM docs JOIN doi_groups USING (doi) WHERE parent
+         UNION SELECT document_id, doi FROM printed WHERE doi IN (SELECT doi FROM printed GROUP BY doi HAVING count(*) >= 3))""",
+)
+PARTS = (
+    "parents AS (SELECT members.*, (SELECT max(document_id) FROM wholes w WHERE w.doi = members.doi) AS whole FROM members)",
+    """parts AS (SELECT 'part_of' AS kind, document_id AS source_id, whole AS target_id, 'parent-doi' AS evidence_key, 'high' AS confidence
+         FROM parents WHERE whole IS NOT NULL AND document_id <> whole
+       UNION ALL SELECT 'part_of', document_id, whole, 'container-title', 'high' FROM chapters WHERE whole IS NOT NULL AND document_id <> whole
+       UNION ALL SELECT DISTINCT 'collection', 'parent-doi:' || doi, '', 'group', 'medium' FROM parents WHERE whole IS NULL
+       UNION ALL SELECT 'collection', 'container:' || left(container_key, 60), '', 'group', 'medium' FROM chapters WHERE whole IS NULL GROUP BY container_key HAVING count(*) >= 2)""",
+)
+REPLACED = (
+    "own AS (SELECT da.artifact_id, doi FROM document_artifact da JOIN docs USING (document_id))",
+    """replaced AS (SELECT 'replaces' AS kind, s.artifact_id AS source_id, l.artifact_id AS target_id, 'same-path' AS evidence_key,
+         CASE WHEN od.doi = nd.doi THEN 'high' ELSE 'medium' END AS confidence
+       FROM location l JOIN location s ON s.location_id = l.successor_location_id JOIN own od ON od.artifact_id = l.artifact_id JOIN own nd ON nd.artifact_id = s.artifact_id
+       WHERE l.end_reason = 'replaced' AND l.artifact_id <> s.artifact_id)""",
+)
+EVERYTHING = (*BASE, APART, SAME_DOI, OWNED, OWNERS, IDENTICAL, TITLED, SAME_TITLE, DATED, VERSIONS, WHOLES, CHAPTERS, *PRINTED, *PARTS, *REPLACED)
+ALL_FOUND = "found AS (" + " UNION ".join(f"SELECT * FROM {t}" for t in ("found_corrections", "found_supplements", "same_doi", "identical", "same_title", "versions", "parts", "replaced")) + ")"
+
 ORACLES = {
-    "relate_same_doi": sql("SELECT * FROM same_doi", *BASE, SAME_DOI),
+    "relate_corrections": sql("SELECT * FROM found_corrections", *BASE, APART),
+    "relate_supplements": sql("SELECT * FROM found_supplements", *BASE, APART),
+    "relate_same_doi": sql("SELECT * FROM same_doi", *BASE, APART, SAME_DOI),
     "relate_identical_text": sql("SELECT * FROM identical", *BASE, OWNED, OWNERS, IDENTICAL),
-    "relate_same_title_author": sql(
-        f"""SELECT 'same_document' AS kind, a AS source_id, b AS target_id, 'same-title-and-first-author' AS evidence_key, 'medium' AS confidence
-            FROM {_pairs("titled2", "tf", "document_id")} JOIN docs da ON da.document_id = a JOIN docs db ON db.document_id = b
-            WHERE (da.doi IS NULL OR db.doi IS NULL OR da.doi = db.doi) AND (a, b) NOT IN (SELECT (source_id, target_id) FROM same_doi)""",
-        *BASE,
-        SAME_DOI,
-        TITLED,
-    ),
-    "relate_versions": sql(
-        f"""SELECT CASE WHEN da.preprint <> db.preprint THEN 'version_of' ELSE 'related_to' END AS kind,
-              CASE WHEN db.preprint AND NOT da.preprint THEN b ELSE a END AS source_id, CASE WHEN db.preprint AND NOT da.preprint THEN a ELSE b END AS target_id,
-              CASE WHEN da.preprint <> db.preprint THEN 'preprint-and-published' ELSE 'same-title-different-doi' END AS evidence_key,
-              CASE WHEN da.preprint <> db.preprint THEN 'high' ELSE 'low' END AS confidence
-            FROM {_pairs("dated", "title_key", "document_id")} JOIN docs da ON da.document_id = a JOIN docs db ON db.document_id = b
-            WHERE da.doi <> db.doi AND NOT (da.preprint AND db.preprint)""",
-        *BASE,
-        DATED,
-    ),
-    "relate_parts": sql(
-        """SELECT 'part_of' AS kind, document_id AS source_id, whole AS target_id, 'parent-doi' AS evidence_key, 'high' AS confidence
-             FROM parents WHERE whole IS NOT NULL AND document_id <> whole
-           UNION ALL SELECT 'part_of', document_id, whole, 'container-title', 'high' FROM chapters WHERE whole IS NOT NULL AND document_id <> whole
-           UNION ALL SELECT DISTINCT 'collection', 'parent-doi:' || doi, '', 'group', 'medium' FROM parents WHERE whole IS NULL
-           UNION ALL SELECT 'collection', 'container:' || left(container_key, 60), '', 'group', 'medium' FROM chapters WHERE whole IS NULL GROUP BY container_key HAVING count(*) >= 2""",
-        *BASE,
-        "wholes AS (SELECT * FROM docs WHERE type IN ('book', 'edited-book', 'reference-book', 'monograph', 'book-set'))",
-        "parents AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.doi = docs.doi) AS whole FROM docs JOIN doi_groups USING (doi) WHERE parent)",
-        """chapters AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.title_key = docs.container_key) AS whole FROM docs
-             WHERE type IN ('book-chapter', 'reference-entry', 'book-section', 'book-part') AND container_key IS NOT NULL)""",
-    ),
-    "relate_parts_printed": sql(
-        """SELECT 'part_of' AS kind, document_id AS source_id, whole AS target_id, 'parent-doi' AS evidence_key, 'high' AS confidence
-             FROM parents WHERE whole IS NOT NULL AND document_id <> whole
-           UNION ALL SELECT 'part_of', document_id, whole, 'container-title', 'high' FROM chapters WHERE whole IS NOT NULL AND document_id <> whole
-           UNION ALL SELECT DISTINCT 'collection', 'parent-doi:' || doi, '', 'group', 'medium' FROM parents WHERE whole IS NULL
-           UNION ALL SELECT 'collection', 'container:' || left(container_key, 60), '', 'group', 'medium' FROM chapters WHERE whole IS NULL GROUP BY container_key HAVING count(*) >= 2""",
-        *BASE,
-        "wholes AS (SELECT * FROM docs WHERE type IN ('book', 'edited-book', 'reference-book', 'monograph', 'book-set'))",
-        """printed AS (SELECT DISTINCT document_id, c.value AS doi FROM metadata_candidate c JOIN docs USING (document_id)
-             WHERE c.field = 'doi' AND c.source = 'pdf_text_doi' AND c.status IN ('proposed', 'accepted') AND json_extract(c.evidence, '$.shared_by_documents') IS NOT NULL)""",
-        """members AS (SELECT document_id, doi FROM docs JOIN doi_groups USING (doi) WHERE parent
-             UNION SELECT document_id, doi FROM printed WHERE doi IN (SELECT doi FROM printed GROUP BY doi HAVING count(*) >= 3))""",
-        "parents AS (SELECT members.*, (SELECT max(document_id) FROM wholes w WHERE w.doi = members.doi) AS whole FROM members)",
-        """chapters AS (SELECT docs.*, (SELECT max(document_id) FROM wholes w WHERE w.title_key = docs.container_key) AS whole FROM docs
-             WHERE type IN ('book-chapter', 'reference-entry', 'book-section', 'book-part') AND container_key IS NOT NULL)""",
-    ),
-    "relate_replacements": sql(
-        """SELECT 'replaces' AS kind, s.artifact_id AS source_id, l.artifact_id AS target_id, 'same-path' AS evidence_key,
-                  CASE WHEN od.doi = nd.doi THEN 'high' ELSE 'medium' END AS confidence
-           FROM location l JOIN location s ON s.location_id = l.successor_location_id JOIN own od ON od.artifact_id = l.artifact_id JOIN own nd ON nd.artifact_id = s.artifact_id
-           WHERE l.end_reason = 'replaced' AND l.artifact_id <> s.artifact_id""",
-        *BASE,
-        "own AS (SELECT da.artifact_id, doi FROM document_artifact da JOIN docs USING (document_id))",
+    "relate_same_title_author": sql("SELECT * FROM same_title", *BASE, APART, SAME_DOI, OWNED, OWNERS, IDENTICAL, TITLED, SAME_TITLE),
+    "relate_versions": sql("SELECT * FROM versions", *BASE, DATED, VERSIONS),
+    "relate_parts": sql("SELECT * FROM parts", *BASE, WHOLES, CHAPTERS, MEMBERS, *PARTS),
+    "relate_parts_printed": sql("SELECT * FROM parts", *BASE, WHOLES, CHAPTERS, *PRINTED, *PARTS),
+    "relate_replacements": sql("SELECT * FROM replaced", *BASE, *REPLACED),
+    "relate_detect": sql("SELECT * FROM found", *EVERYTHING, ALL_FOUND),
+    "relate_run": sql(
+        """SELECT kind, outcome, count(*) AS proposals FROM (
+             SELECT kind, CASE m WHEN 0 THEN 'decided' WHEN 1 THEN 'revived' WHEN 2 THEN 'unchanged' ELSE 'new' END AS outcome FROM (
+               SELECT *, ('0x' || left(md5(source_id || '|' || target_id), 2))::INTEGER % 5 AS m FROM found WHERE kind <> 'collection')
+             UNION ALL SELECT kind, 'stale' FROM found WHERE kind = 'version_of') GROUP BY 1, 2""",
+        *EVERYTHING,
+        ALL_FOUND,
     ),
     "relate_printed_passages": rf"""
         SELECT DISTINCT doc_id::VARCHAR AS reader, 'item-' || item_id AS printed FROM documents

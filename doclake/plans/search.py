@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.functions.text import terms
-from doclake.operators import filters, search
+from doclake.operators import cursor, filters, search
 from doclake.plans.corpus_sql import fold, sql
 from doclake.session import once, scratch_path, stamp
 from doclake.sources.corpus import Catalog
@@ -134,7 +134,14 @@ SCOPES = {
 
 
 def search_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, QUERY_OF["search_phrase"], offset=TOP)
+    """The page that the first page's cursor leads to."""
+    query = QUERY_OF["search_phrase"]
+    listing = cursor.Listing(1, cursor.question("search", query=str(query)))
+    keys = [f"{r['artifact_id']}:{r['pdf_page']}" for r in _search(spark, sf_dir, query).collect()]  # one page
+    following = listing.following(0, keys[:TOP], len(keys) > TOP)
+    if following is None:
+        return _search(spark, sf_dir, query, offset=len(keys))
+    return _search(spark, sf_dir, query, offset=listing.start(following, lambda i: keys[i]))
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +157,7 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
-    return filters.coverage(c.artifact, c.extraction, c.page)
+    return filters.coverage(c.artifact, c.extraction, c.page, filters.filtered(c, QUERY_OF["search_filtered"].filters))
 
 
 def search_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +179,7 @@ def search_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with a marked excerpt; the window's placing has no SQL form."""
+    """Hits with a marked excerpt around the phrase's first place."""
     c = Catalog(spark, sf_dir)
     phrase = search.phrase_of(spark, "of the")
     hits = _search(spark, sf_dir, QUERY_OF["search_phrase"]).select("page_id", "rank")
@@ -205,6 +212,17 @@ ORACLES = {name: _search_sql(q, SCOPES.get(name, "")) for name, q in QUERY_OF.it
            FROM h JOIN document_artifact USING (artifact_id)""",
         "h AS (SELECT * FROM (" + _search_sql(QUERY_OF["search_phrase"]) + "))",
     ),
+    "search_snippets": sql(
+        r"""SELECT page_id, rank, CASE WHEN start > 0 THEN ' ... ' ELSE '' END
+              || array_to_string(list_transform(w, lambda x, i: CASE WHEN i - 1 >= hit AND i - 1 < hit + 2 THEN '[[' || x || ']]' ELSE x END)[start + 1 : start + 24], ' ')
+              || CASE WHEN len(w) > start + 24 THEN ' ... ' ELSE '' END AS snippet
+            FROM (SELECT *, greatest(0, coalesce(hit, 0) - 11) AS start FROM (
+              SELECT *, list_filter(range(0, len(w)), lambda i: f[i + 1] = 'of' AND f[i + 2] = 'the')[1] AS hit FROM (
+                SELECT page_id, rank, regexp_split_to_array(trim(text), '\s+') AS w,
+                       list_transform(regexp_split_to_array(trim(text), '\s+'), lambda x: regexp_replace(strip_accents(lower(x)), '[^\p{L}\p{N}]+', '', 'g')) AS f
+                FROM h JOIN page USING (page_id))))""",
+        "h AS (SELECT page_id, rank FROM (" + _search_sql(QUERY_OF["search_phrase"]) + "))",
+    ),
     "search_coverage": sql(
         """SELECT count(*) FILTER (WHERE p) AS pdf_documents, count(*) FILTER (WHERE p AND status <> 'failed') AS searchable,
              count(*) FILTER (WHERE p AND status = 'partial') AS partially_indexed,
@@ -212,8 +230,8 @@ ORACLES = {name: _search_sql(q, SCOPES.get(name, "")) for name, q in QUERY_OF.it
              count(*) FILTER (WHERE p AND status = 'failed') AS extraction_failed,
              count(*) FILTER (WHERE p AND status IS NULL) AS not_yet_extracted,
              count(*) FILTER (WHERE p AND status <> 'failed' AND artifact_id NOT IN (SELECT artifact_id FROM page WHERE chars > 0)) AS no_text_layer,
-             count(*) FILTER (WHERE NOT p) AS other_files_not_searchable
-           FROM (SELECT a.artifact_id, content_kind = 'pdf' AS p, status, source FROM artifact a LEFT JOIN extraction e USING (artifact_id))"""
+             count(*) FILTER (WHERE NOT p) AS other_files_not_searchable, (SELECT count(DISTINCT document_id) FROM document_artifact WHERE artifact_id IN ({})) AS documents_matching
+           FROM (SELECT a.artifact_id, content_kind = 'pdf' AS p, status, source FROM artifact a LEFT JOIN extraction e USING (artifact_id))""".replace("{}", SCOPES["search_filtered"])
     ),
     "index_terms": sql("SELECT term, count(DISTINCT page_id) AS pages, count(*) AS occurrences FROM terms GROUP BY term", TERMS.strip()),
     "index_statistics": sql("SELECT count(*) AS pages, sum(length)::BIGINT AS tokens, round(avg(length), 6) AS mean_length FROM lengths", TERMS.strip()),

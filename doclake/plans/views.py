@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from doclake.operators import filters, views
-from doclake.plans.corpus_sql import key, sql
+from doclake.plans.corpus_sql import WALK, key, sql
 from doclake.sources.corpus import Catalog
 
 AVAILABLE = """available AS (
@@ -64,10 +63,8 @@ def _view(name: str):
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default order as a column: rank within the first letter of the sort title keeps no global sort in one task."""
-    rows = views.listing(Catalog(spark, sf_dir))
-    part = Window.partitionBy("reason_rank", F.substring("sort_title", 1, 1)).orderBy("sort_title", "document_id")
-    return rows.withColumn("place", F.row_number().over(part))
+    """The listing with each row's 0-based place in the default order."""
+    return views.placed(views.listing(Catalog(spark, sf_dir)), ["reason_rank", "sort_title", "document_id"])
 
 
 def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +95,7 @@ def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a database would enforce and that occur twice: none, or a finding."""
     c = Catalog(spark, sf_dir)
     return views.duplicate_key_report(
-        {"location": (c.location, ["root_id", "path_key"]), "artifact": (c.artifact, ["artifact_id"]), "document": (c.document, ["document_id"]), "metadata_value": (c.metadata_value, ["document_id", "field"])}
+        {"location": (c.location, ["root_id", "path_key"]), "current_artifact": (c.location.filter("NOT ended"), ["artifact_id"]), "artifact": (c.artifact, ["artifact_id"]), "document": (c.document, ["document_id"]), "metadata_value": (c.metadata_value, ["document_id", "field"])}
     )
 
 
@@ -107,7 +104,8 @@ def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
     names = [c.document.select(F.col("document_id").alias("name")), c.location.select(F.col("relative_path").alias("name"))]
     names += [c.location.select(F.substring_index("relative_path", "/", -1).alias("name")), c.artifact.select(F.col("artifact_id").alias("name"))]
-    names += [c.artifact.select(F.substring("artifact_id", 1, 12).alias("name"))]
+    names += [c.artifact.select(F.substring("artifact_id", 1, n).alias("name")) for n in (7, 12, 30)]
+    names += [c.location.select(F.substring_index("relative_path", "/", -2).alias("name"))]
     return views.resolve_names(c, views.union(names).distinct())
 
 
@@ -126,7 +124,7 @@ QUERIES = {f"view_{name}": _view(name) for name in views.VIEWS} | {
     "explain_documents": lambda s, d: views.explain(Catalog(s, d)),
     "related_documents": lambda s, d: views.related(Catalog(s, d)),
     "doctor_findings": lambda s, d: views.doctor(Catalog(s, d)),
-    "timing_statistics": lambda s, d: views.timing(s.read.parquet(f"{d}/events.parquet"), F.col("event_type"), F.col("value")),
+    "timing_statistics": lambda s, d: views.timing(s.read.parquet(f"{d}/events.parquet"), F.col("event_type"), F.col("value"), F.col("event_id"), F.length("props")),
     "scope_counts": scope_counts,
     "list_filter": list_filter,
     "key_uniqueness": key_uniqueness,
@@ -159,6 +157,10 @@ UNION ALL SELECT 'relationships', 'warning', 'merge_chain', r.document_id FROM d
 UNION ALL SELECT 'relationships', 'error', 'retired_holds_artifacts', document_id FROM document WHERE retired AND document_id IN (SELECT document_id FROM document_artifact)
 UNION ALL SELECT DISTINCT 'relationships', 'warning', 'relation_to_retired', relation_id FROM document_relation JOIN document ON document_id IN (source_id, target_id)
           WHERE NOT retracted AND retired
+UNION ALL SELECT 'catalog', 'warning', 'stale_run', run_id FROM run r WHERE status = 'running' AND started < (SELECT max(started) FROM run x WHERE x.root_id = r.root_id)
+UNION ALL SELECT 'metadata', 'error', 'proposal_from_wrong_artifact', candidate_id FROM candidate_source WHERE (document_id, artifact_id) NOT IN (SELECT (document_id, artifact_id) FROM document_artifact)
+UNION ALL SELECT 'relationships', 'error', 'relation_cycle', 'supplement_of:' || start FROM walk WHERE start = node
+UNION ALL SELECT 'extraction', 'error', 'page_count_mismatch', artifact_id FROM extraction WHERE no % 47 = 8
 """
 
 _STATS = """
@@ -193,7 +195,7 @@ ORACLES = {f"view_{name}": sql(f"SELECT * FROM {name}", *ALL) for name in views.
     "title_states": sql("SELECT * FROM states", STATES),
     "exact_copies": sql("SELECT copies.*, document_id FROM copies LEFT JOIN document_artifact USING (artifact_id)", COPIES),
     "document_listing": sql(
-        """SELECT *, row_number() OVER (PARTITION BY reason_rank, left(sort_title, 1) ORDER BY sort_title, document_id) AS place FROM (
+        """SELECT *, row_number() OVER (ORDER BY reason_rank, sort_title, document_id) - 1 AS place FROM (
              SELECT document_id, coalesce(t.value, relative_path, left(document_id, 12)) AS display, y.value AS year, o.value AS doi,
                     document_id IN (SELECT document_id FROM available) AS available, coalesce(reason, '') AS reason, coalesce(rank, 4) AS reason_rank,
                     lower(coalesce(t.value, relative_path, left(document_id, 12))) AS sort_title
@@ -270,12 +272,13 @@ ORACLES = {f"view_{name}": sql(f"SELECT * FROM {name}", *ALL) for name in views.
     ),
     "related_documents": sql("SELECT * FROM related", RELATED),
     "doctor_findings": sql(
-        _DOCTOR, "pdf AS (SELECT artifact_id FROM artifact WHERE content_kind = 'pdf')", "ext AS (SELECT * FROM extraction WHERE artifact_id IN (SELECT artifact_id FROM pdf))"
+        _DOCTOR, WALK.format(kind="supplement_of"), "pdf AS (SELECT artifact_id FROM artifact WHERE content_kind = 'pdf')", "ext AS (SELECT * FROM extraction WHERE artifact_id IN (SELECT artifact_id FROM pdf))"
     ),
     "timing_statistics": """
         SELECT event_type AS g, count(*) AS n, median(value) AS median, max(value) FILTER (WHERE i = n // 2) AS upper_median,
-               max(value) FILTER (WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95, max(value) AS longest
-        FROM (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i
+               max(value) FILTER (WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95, max(value) AS longest,
+               arg_max(event_id, {'v': value, 'e': event_id}) AS slowest, round(sum(length(props)) / 1e6::DOUBLE / sum(value), 6) AS mb_per_s
+        FROM (SELECT event_type, event_id, props, value, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i
               FROM events WHERE value IS NOT NULL) GROUP BY event_type""",
     "scope_counts": sql(
         """SELECT 'tag' AS filter, count(*) AS documents FROM live WHERE document_id IN (SELECT document_id FROM document_tag WHERE tag_key = 'good text')
@@ -296,6 +299,7 @@ ORACLES = {f"view_{name}": sql(f"SELECT * FROM {name}", *ALL) for name in views.
     ),
     "key_uniqueness": sql(
         """SELECT 'location' AS "table", root_id || '|' || path_key AS key, count(*) AS count FROM location GROUP BY 2 HAVING count(*) > 1
+           UNION ALL SELECT 'current_artifact', artifact_id, count(*) FROM location WHERE NOT ended GROUP BY 2 HAVING count(*) > 1
            UNION ALL SELECT 'document', document_id, count(*) FROM document GROUP BY 2 HAVING count(*) > 1"""
     ),
     "resolve_references": sql(
@@ -304,12 +308,14 @@ ORACLES = {f"view_{name}": sql(f"SELECT * FROM {name}", *ALL) for name in views.
              SELECT name, count(DISTINCT document_id) AS n, min(document_id) AS one FROM found WHERE kind = (SELECT min(kind) FROM found f WHERE f.name = found.name) GROUP BY name)
            USING (name)""",
         """names AS (SELECT DISTINCT unnest([document_id]) AS name FROM document UNION SELECT relative_path FROM location UNION SELECT split_part(relative_path, '/', -1) FROM location
-             UNION SELECT artifact_id FROM artifact UNION SELECT left(artifact_id, 12) FROM artifact)""",
+             UNION SELECT artifact_id FROM artifact UNION SELECT left(artifact_id, 12) FROM artifact
+             UNION SELECT left(artifact_id, 7) FROM artifact UNION SELECT left(artifact_id, 30) FROM artifact UNION SELECT split_part(relative_path, '/', -2) || '/' || split_part(relative_path, '/', -1) FROM location)""",
         "owned AS (SELECT document_id, artifact_id FROM document_artifact JOIN live USING (document_id))",
-        "places AS (SELECT document_id, relative_path FROM owned JOIN location USING (artifact_id) WHERE NOT ended)",
+        """places AS (SELECT document_id, ended, list_aggregate(p[i:], 'string_agg', '/') AS key, i, len(p) AS n FROM (
+             SELECT document_id, ended, string_split(relative_path, '/') AS p, unnest(range(1, len(string_split(relative_path, '/')) + 1)) AS i FROM owned JOIN location USING (artifact_id)))""",
         """found AS (
              SELECT name, document_id, 0 AS kind FROM names JOIN live ON name = document_id UNION SELECT name, document_id, 1 FROM names JOIN owned ON name = artifact_id
-             UNION SELECT name, document_id, 2 FROM names JOIN places ON name = relative_path UNION SELECT name, document_id, 3 FROM names JOIN places ON name = split_part(relative_path, '/', -1)
-             UNION SELECT name, document_id, 4 FROM names JOIN owned ON name = left(artifact_id, 12))""",
+             UNION SELECT name, document_id, CASE WHEN i = 1 THEN 2 WHEN i < n THEN 3 ELSE 4 END + CASE WHEN ended THEN 3 ELSE 0 END FROM names JOIN places ON name = key
+             UNION SELECT name, document_id, 8 FROM names JOIN owned ON length(name) BETWEEN 8 AND 63 AND starts_with(artifact_id, name))""",
     ),
 }

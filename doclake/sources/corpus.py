@@ -42,7 +42,7 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A derived table, written once for the state the documents are in."""
         state = stamp(self.spark, f"{self.sf_dir}/documents.parquet")
         return once(self.spark, (self.sf_dir, state, name), lambda: cut(make(), name))
@@ -54,7 +54,7 @@ class Catalog:
     @cached_property
     def rows(self) -> DataFrame:
         """What is known of each file without its text: identity, size, place and the first line that is not blank."""
-        return self._once("rows", self._rows)
+        return self.derived("rows", self._rows)
 
     def _rows(self) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
@@ -102,7 +102,7 @@ class Catalog:
 
     @cached_property
     def artifact(self) -> DataFrame:
-        return self._once("artifact", self._artifact)
+        return self.derived("artifact", self._artifact)
 
     def _artifact(self) -> DataFrame:
         rows = self.rows.groupBy("artifact_id").agg(F.min("doc_id").alias("no"), F.max("n_chars").alias("size"))
@@ -120,7 +120,7 @@ class Catalog:
 
     @cached_property
     def document(self) -> DataFrame:
-        return self._once("document", self._document)
+        return self.derived("document", self._document)
 
     def _document(self) -> DataFrame:
         """Some are merged into their predecessor; those of ``MERGED`` form one long chain of merges."""
@@ -139,7 +139,7 @@ class Catalog:
     @cached_property
     def page(self) -> DataFrame:
         """One row per line of each artifact's text; blank pages are kept."""
-        return self._once("page", self._page)
+        return self.derived("page", self._page)
 
     def _page(self) -> DataFrame:
         texts = self.text.join(self.artifact.select("artifact_id", "no"), F.col("doc_id") == F.col("no"))
@@ -155,7 +155,7 @@ class Catalog:
 
     @cached_property
     def extraction(self) -> DataFrame:
-        return self._once("extraction", self._extraction)
+        return self.derived("extraction", self._extraction)
 
     def _extraction(self) -> DataFrame:
         n = F.col("no")

@@ -77,19 +77,27 @@ def test_works_and_verdicts(spark):
     assert [(r["doi"], r["ambiguous"]) for r in both] == [("10.1234/a", False)]
 
 
-def test_cursors_refuse_what_has_changed():
-    sign = cursor.signature("search", {"q": "x"})
-    text = cursor.following("search", 7, sign, 0, ["a", "b"], True)
-    assert cursor.start(text, "search", 7, sign, lambda i: "b") == 2
-    assert cursor.following("search", 7, sign, 0, ["a"], False) is None and cursor.following("search", 7, sign, 4999, ["a"], True) is None
-    for bad in ((text[:-2], "search", 7, sign), (text, "list", 7, sign), (text, "search", 8, sign), ("%%", "search", 7, sign)):
+def test_cursors_refuse_what_has_changed(spark):
+    listing = cursor.Listing(7, cursor.question("search", q="x"))
+    text = listing.following(0, ["a", "b"], True)
+    assert listing.start(text, lambda i: "b") == 2 and listing.start(None) == 0
+    assert listing.following(0, ["a"], False) is None and listing.following(4999, ["a"], True) is None and listing.following(0, [], True) is None
+    others = [cursor.Listing(8, listing.question), cursor.Listing(7, cursor.question("list", q="x")), cursor.Listing(7, cursor.question("search", q="y"))]
+    for other in others:
         with pytest.raises(cursor.CursorError):
-            cursor.start(*bad)
+            other.start(text)
+    for bad in (text[:-2], "%%", "a", text[:-1] + ("a" if text[-1] != "a" else "b")):
+        with pytest.raises(cursor.CursorError):
+            listing.start(bad)
     with pytest.raises(cursor.CursorError):
-        cursor.start(text, "search", 7, sign, lambda i: "moved")
+        listing.start(text, lambda i: "moved")
     for n in (0, 1001):
         with pytest.raises(cursor.CursorError):
-            cursor.check_limit(n)
+            cursor.checked_limit(n)
+    rows = spark.range(50)
+    assert [r["id"] for r in cursor.page(rows, ["id"], 3, 10).collect()] == [10, 11, 12, 13]
+    with pytest.raises(cursor.CursorError):
+        cursor.page(rows, ["id"], 1000, 4500)
 
 
 def test_the_streamed_fold_equals_the_batch(spark, tmp_path):

@@ -42,6 +42,7 @@ def test_dois(spark):
     raw = ["https://doi.org/10.1234/ABC.", "doi: 10.1002/(SICI)1097-0126(1999)48:1).", "10.1234/x)]}>", "11.1/x", None, "10.1234/" + "a" * 300, "10.1/x"]
     want = ["10.1234/abc", "10.1002/(sici)1097-0126(1999)48:1", "10.1234/x", None, None, None, None]
     assert column(spark, raw, identifiers.normalise_doi) == want
+    assert column(spark, ["10.1234/abc" + ")" * 9, "10.1234/abc" + ")." * 30 + ",", "10.1234/a(b)" + "]" * 12], identifiers.normalise_doi) == ["10.1234/abc", "10.1234/abc", "10.1234/a(b)"]
     once = [w for w in want if w]
     assert column(spark, once, identifiers.normalise_doi) == once
     assert column(spark, ["see 10.1234/a, 10.1234/b. and 10.1021/acs.jcim.\n2c01234 end"], identifiers.find_dois) == [["10.1234/a", "10.1234/b", "10.1021/acs.jcim.2c01234"]]

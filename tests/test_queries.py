@@ -34,15 +34,11 @@ def plain(rows):
     return sorted((tuple(cell(x) for x in r) for r in rows), key=str)
 
 
-FAST = [
-    "search_phrase", "search_near_three", "search_filtered", "search_coverage", "index_statistics", "view_duplicates", "title_states", "review_queue", "agreement_states",
-    "locate_artifacts", "library_stats", "relate_same_doi", "relate_versions", "relate_printed_passages", "relation_ancestors", "merge_survivors", "doi_classes", "scan_outcomes",
-    "scan_moves", "proposal_upsert", "safe_batch", "event_fold", "event_history", "timing_statistics",
-    "decisions", "verify_hashes", "identifier_specs", "relation_additions", "standing_moves", "operation_summary", "journal_findings",
-]
+#: Results that hold nothing on the smallest tables; on sf0.01 none does.
+EMPTY = {"cache_unexpired", "relate_same_doi", "scan_mass_missing"}
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(plans.oracles()))
 def test_query_equals_its_sql(spark, duck, name):
     got = plans.queries()[name](spark, SF)
     columns = sorted(got.columns)
@@ -50,7 +46,13 @@ def test_query_equals_its_sql(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
-    assert plain(got.select(*[f"`{c}`" for c in columns]).collect()) == plain([tuple(r[i] for i in order) for r in want.fetchall()])
+    rows = plain(got.select(*[f"`{c}`" for c in columns]).collect())
+    assert rows == plain([tuple(r[i] for i in order) for r in want.fetchall()])
+    assert rows or name in EMPTY
+
+
+def test_every_query_has_its_sql():
+    assert set(plans.queries()) == set(plans.oracles())
 
 
 @pytest.fixture(scope="module")
@@ -106,7 +108,7 @@ def test_rank_counts_a_phrase_given_twice_twice(index):
     assert two == pytest.approx(2 * one) and one < 0
 
 
-@pytest.mark.parametrize("text", ["", " | ", "*", "year:", "year:abc x", "tag: x"])
+@pytest.mark.parametrize("text", ["", " | ", "*", "year:", "year:abc x", "tag: x", "doi:garbage x"])
 def test_queries_that_mean_nothing_are_refused(text):
     with pytest.raises(search.QueryError):
         search.parse_query(text)
@@ -153,6 +155,7 @@ def test_shuffled_input_gives_the_same_listing(spark):
     c = Catalog(spark, SF)
     first = {r["document_id"] for r in plans.queries()["view_inbox"](spark, SF).collect()}
     c.rows = c.rows.repartition(5, F.col("doc_id"))
+    c.derived = lambda name, make: make()
     from doclake.operators import views
 
     assert {r["document_id"] for r in views.inbox(c).collect()} == first
@@ -175,11 +178,6 @@ def test_a_doi_that_documents_print_but_none_accepted_is_a_collection(spark):
     assert [(r["kind"], r["source_id"]) for r in got] == [("collection", "parent-doi:10.5555/printed")]
 
 
-@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed", "relate_same_title_author"])
-def test_more_queries_equal_their_sql(spark, duck, name):
-    test_query_equals_its_sql(spark, duck, name)
-
-
 def test_a_correction_is_not_the_document_it_corrects(spark):
     title = "On the aqueous solubility of long alcohols"
     columns = "document_id string, artifact_id string, title string, doi string, type string, container string, title_key string, container_key string, first_family string, first_text string, stem string, preprint boolean"
@@ -196,6 +194,13 @@ def test_a_correction_is_not_the_document_it_corrects(spark):
 def test_long_chains_are_walked_to_their_end(spark):
     edges = spark.createDataFrame([("part_of", f"d{i}", f"d{i + 1}", False) for i in range(40)], "kind string, source_id string, target_id string, retracted boolean")
     assert relate.reachable(edges, "part_of").filter("start = 'd0'").agg(F.max("depth")).first()[0] == 40
+    long = spark.createDataFrame([("part_of", f"n{i}", f"n{i + 1}", False) for i in range(1000)] + [("part_of", "n1000", "n997", False)], "kind string, source_id string, target_id string, retracted boolean")
+    far = relate.reachable(long, "part_of")
+    assert far.filter("start = 'n0'").agg(F.max("depth"), F.count(F.lit(1))).first()[:] == (1000, 1000)
+    assert sorted(r["start"] for r in far.filter("start = node").collect()) == ["n1000", "n997", "n998", "n999"]
+    wanted = spark.createDataFrame([("part_of", "n1000", "n0"), ("part_of", "n0", "n500"), ("part_of", "n0", "n1")], "kind string, source_id string, target_id string")
+    known = spark.createDataFrame([(f"n{i}",) for i in range(1001)], "document_id string")
+    assert {(r["source_id"], r["target_id"]): r["outcome"] for r in relate.additions(long, wanted, known).collect()} == {("n1000", "n0"): "cycle", ("n0", "n500"): "added", ("n0", "n1"): "exists"}
     pairs = spark.createDataFrame([(f"d{i}", f"d{i + 1}") for i in range(40)] + [("d40", None), ("x", "y"), ("y", "z"), ("z", "y")], "document_id string, merged_into string")
     got = {r["document_id"]: (r["survivor"], r["depth"]) for r in relate.merged_survivors(pairs).collect()}
     assert got["d0"] == ("d40", 40) and not {"x", "y", "z"} & set(got)
@@ -208,3 +213,66 @@ def test_file_names_hold_the_whole_title(spark):
     long = [r for r in rows if len(titles[r["item"]]) > 12]
     assert long and all(letters(titles[r["item"]][:40]) in letters(r["wanted"]) for r in long)
     assert len({r["final"].lower() for r in rows}) == len(rows)
+
+
+def test_pages_are_tokenised_once(spark, monkeypatch, tmp_path):
+    from doclake.plans import search as queries
+
+    calls = []
+    build = search.build_index
+    monkeypatch.setattr(search, "build_index", lambda pages: calls.append(1) or build(pages))
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    first = [queries.QUERIES[name](spark, str(tmp_path)).collect() for name in ("search_phrase", "search_near", "index_statistics")][0]
+    assert len(calls) == 1 and first
+    spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 100").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert queries.QUERIES["search_phrase"](spark, str(tmp_path)).collect() != first and len(calls) == 2  # other files, another index
+
+
+def test_a_later_phrase_may_reach_over_the_first(spark):
+    text = "x x x x w1 w2 w3 w4 w5 w6 w7 " + "y " * 9 + "far"
+    pages = spark.createDataFrame([(1, "a", 1, text, len(text)), (2, "a", 2, "x w2 " + "y " * 30 + "far", 9)], "page_id long, artifact_id string, pdf_page int, text string, chars int")
+    index = search.build_index(pages)
+    # far stands 14 words after w2, but 9 after the long phrase that begins before it
+    assert found(index, "w2", near=["far"], within=9) == []
+    assert found(index, "w2", near=["far", "w1 w2 w3 w4 w5 w6 w7"], within=9) == [1]
+
+
+def test_a_saved_query_comes_back(spark):
+    from doclake.operators import organise
+
+    query = search.parse_query('a b | c* year:2000-', near=["d"], within=7, also=["e"], path="x")
+    assert organise.restored(organise.saved(query)) == query
+    with pytest.raises(search.QueryError):
+        organise.restored(organise.saved(query).replace('"language": 1', '"language": 2'))
+    assert organise.parse_scope("view:inbox") == ("view", "inbox") and organise.parse_scope("") == ("all", None)
+    for bad in ("view:", "shelf:x", "all:x"):
+        with pytest.raises(search.QueryError):
+            organise.parse_scope(bad)
+
+
+def test_order_statistics_by_bins(spark):
+    import statistics
+
+    from doclake.operators import views
+
+    groups = {"a": [5.0] * 40, "b": [float(i * i % 97) for i in range(200)], "c": [1.0, 2.0], "d": [3.0], "e": [0.0] * 99 + [1e9], None: [4.0, 4.0, 1.0]}
+    rows = spark.createDataFrame([(g, v, i) for g, vs in groups.items() for i, v in enumerate(vs)] + [("z", None, 1)], "g string, v double, i long")
+    got = {r["g"]: r for r in views.timing(rows, F.col("g"), F.col("v"), F.col("i")).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        assert (got[g]["n"], got[g]["median"], got[g]["upper_median"], got[g]["longest"]) == (len(vs), statistics.median(vs), vs[len(vs) // 2], vs[-1])
+        assert got[g]["p95"] == vs[min(len(vs) - 1, int(0.95 * len(vs)))]
+
+
+def test_plans_are_written_and_read_back(spark, tmp_path):
+    from doclake.operators import organizer
+    from doclake.sources import files
+
+    items = plans.queries()["plan_items"](spark, SF).cache()
+    organizer.write_plan(items, f"file://{tmp_path}/plan")
+    back = files.read_plan(spark, f"file://{tmp_path}/plan")
+    assert back.count() == items.count() and {tuple(r) for r in back.select("item", "new_path").collect()} == {tuple(r) for r in items.select("item_id", "new_path").collect()}
+    digest = organizer.plan_hash(items).first()["digest"]
+    assert organizer.plan_hash(items.repartition(7)).first()["digest"] == digest
+    assert organizer.plan_hash(items.withColumn("new_path", F.concat("new_path", F.lit("x")))).first()["digest"] != digest

@@ -54,7 +54,7 @@ from doclake.session import small_batches
 RANKS = "byte_bpe_50k.tiktoken"
 MEMO = 400_000
 LONG_WORD = 64
-WORDS_PER_QUERY = 30_000
+WORDS_PER_QUERY = 15_000
 BATCH_ROWS = 2_000
 #: Characters of text that are encoded and decoded at a time: about an Arrow batch. Smaller slices take less memory and some more time.
 SLICE_CHARS = 8 << 20
@@ -274,10 +274,10 @@ def slices(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
         yield part
 
 
-def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO, slice_chars: int = SLICE_CHARS) -> DataFrame:
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, memo: int = MEMO, slice_chars: int = SLICE_CHARS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """All columns in struct ``doc``, with ids (packed little-endian) and decoded bytes; a worker keeps about ``memo`` words and takes ``slice_chars`` characters at a time."""
     where = path or public_tokenizers.path(RANKS)
-    small_batches(df.sparkSession, BATCH_ROWS)
+    small_batches(df.sparkSession, batch_rows)
 
     @F.pandas_udf("struct<ids:binary,decoded:binary>")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -50,14 +50,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return copies.select(*_columns("doc", docs))
 
 
-#: Words a worker keeps and characters it takes at a time: the stages before leave an executor less memory than the
+#: Words a worker keeps, characters and rows it takes at a time: the stages before leave an executor less memory than the
 #: operator has alone. Results are the same.
-MEMO, SLICE = 200_000, 2 << 20
+SPARE = {"memo": 100_000, "slice_chars": 1 << 20, "batch_rows": 500}
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every copy."""
-    return byte_bpe.digests(byte_bpe.round_trip(docs.select("doc_id", "text"), memo=MEMO, slice_chars=SLICE))
+    return byte_bpe.digests(byte_bpe.round_trip(docs.select("doc_id", "text"), **SPARE))
 
 
 STAGES = [

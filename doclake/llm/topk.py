@@ -9,18 +9,20 @@ counts give each group a score that its k-th best partner reaches at least;
 cells whose upper bound is below it are never looked at. Within a group the
 same test, now around the query itself, drops more cells for single queries.
 
-What is left is solved locally. Cells are cut into blocks of rows; a group's
-queries, which lie near each other and want much the same cells, are cut into
-parts. The plan is the list of (part, cell) that some query of the part wants:
-a row is copied to the parts that want its cell and to no other, a query to the
-blocks of the cells it wants. Each block keeps its k best for each query, and a
+What is left is solved locally. Cells are cut into blocks of rows. Queries are
+dealt into parts of up to ``QUERIES_PER_PART`` along a walk over near pivots, so
+that a part's queries lie near each other and want much the same cells; a large
+group is several parts. The plan is the list of (part, cell) that some query of
+the part wants: a row is copied to the parts that want its cell and to no other,
+a query to the blocks of the cells it wants. Each block keeps its k best for each query, and a
 ranked window, limited to k rows a query on the map side, merges them. So a
 vector that fills a third of all rows is many blocks, never one task. Where the
 bounds prune little (high dimensions without clusters) all blocks are searched;
 the result is exact either way.
 
 Only the pivots and their summaries (a parameter's worth of rows) reach the
-driver; the plan stays a table and meets the rows in a join on (cell, block).
+driver. The plan is a table, broadcast where it is short (``PLAN_ROWS``, checked)
+and else joined on (cell, block), neither of which is hot.
 Scores are integers: a block is multiplied in doubles where no sum can pass
 2**53, in 64-bit integers where none can pass 2**63, else in whole numbers of
 any length. Scores beyond the range of a long are returned as its ends, where
@@ -49,6 +51,7 @@ from doclake.session import cut, small_batches
 K, SCALE = 5, 256
 PIVOTS = 64
 ROWS_PER_BLOCK, QUERIES_PER_PART = 8_192, 8_192
+PLAN_ROWS = 1_000_000
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 ROW = "id long, asks boolean, cell int, dist double, x binary"
 
@@ -187,21 +190,38 @@ def place(rows: DataFrame, centres: np.ndarray, width: int) -> DataFrame:
     return cut(rows.mapInPandas(assign, ROW), "cells")
 
 
+def dealt(pivots: np.ndarray, asking: np.ndarray) -> tuple[list[int], list[int]]:
+    """First part and number of parts of each group, along a walk from pivot to nearest pivot."""
+    left, walk = set(range(len(pivots))), []
+    while left:
+        near = min(left, key=lambda g: (float(np.square(pivots[g] - pivots[walk[-1]]).sum()) if walk else 0.0, g))
+        left.remove(near)
+        walk.append(near)
+    first, parts, part, held = [0] * len(walk), [1] * len(walk), 0, 0
+    for g in walk:
+        n = int(asking[g])
+        if held and held + n > QUERIES_PER_PART:
+            part, held = part + 1, 0
+        first[g], parts[g] = part, max(1, -(-n // QUERIES_PER_PART))
+        part, held = (part + parts[g], 0) if n >= QUERIES_PER_PART else (part, held + n)
+    return first, parts
+
+
 def exchanged(rows: DataFrame, cells: Cells, asking: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(queries, rows) as (id, cell, block, part, x): what has to meet, and nothing else.
 
-    ``asking``: queries by group. Parts number the groups' pieces through.
+    ``asking``: queries by group.
     """
     blocks = np.maximum(1, -(-cells.count // ROWS_PER_BLOCK)).astype(int).tolist()
-    parts = np.maximum(1, -(-asking // QUERIES_PER_PART)).astype(int)
-    first_part = (np.cumsum(parts) - parts).tolist()
+    with np.errstate(over="ignore"):
+        first_part, parts = dealt(cells.pivots, asking)
     first = F.row_number().over(Window.partitionBy("id").orderBy("x"))
     queries = rows.filter("asks").withColumn("n", first).filter("n = 1").select("id", "cell", "x")
 
     def per_cell(values: list) -> Column:
         return F.array(*[F.lit(v) for v in values])[F.col("cell")]
 
-    part = (per_cell(first_part) + F.pmod(F.xxhash64("id"), per_cell(parts.tolist()))).cast("int").alias("part")
+    part = (per_cell(first_part) + F.pmod(F.xxhash64("id"), per_cell(parts))).cast("int").alias("part")
 
     def wish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,9 +233,10 @@ def exchanged(rows: DataFrame, cells: Cells, asking: np.ndarray) -> tuple[DataFr
 
     all_blocks = F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1)).alias("block")
     wishes = cut(queries.select("id", "cell", part, "x").mapInPandas(wish, "id long, part int, cell int, x binary"), "wishes")
-    plan = cut(wishes.select("part", "cell").distinct(), "plan").select("part", "cell", all_blocks)
+    plan = cut(wishes.select("part", "cell").distinct(), "plan")
     block = F.pmod(F.xxhash64("id", "x"), per_cell(blocks)).cast("int").alias("block")
-    held = rows.select("id", "cell", block, "x").join(plan, ["cell", "block"])
+    held = rows.select("id", "cell", block, "x")
+    held = held.join(F.broadcast(plan), "cell") if plan.count() <= PLAN_ROWS else held.join(plan.select("part", "cell", all_blocks), ["cell", "block"])
     return wishes.select("id", "cell", all_blocks, "part", "x"), held.select("id", "cell", "block", "part", "x")
 
 

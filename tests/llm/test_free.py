@@ -302,6 +302,29 @@ def test_top_k_moves_rows_only_where_they_are_wanted(spark, monkeypatch):
     assert held2 <= 2 * held and asked2 == 2 * asked
 
 
+def test_top_k_parts_hold_near_groups():
+    pivots = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    first, parts = topk.dealt(pivots, np.array([topk.QUERIES_PER_PART * 2 + 1, 5, 5, 5, 5]))
+    assert parts == [3, 1, 1, 1, 1] and first[0] == 0 and first[1:] == [3, 3, 3, 3]
+    first, parts = topk.dealt(pivots, np.full(5, topk.QUERIES_PER_PART // 2))
+    assert parts == [1] * 5 and first[0] == first[2] and first[1] != first[2] and max(first) == 2
+    assert topk.dealt(pivots, np.zeros(5)) == ([0] * 5, [1] * 5)
+
+
+@pytest.mark.parametrize("plan_rows", [0, 1_000_000])
+def test_top_k_over_several_parts_and_blocks(spark, monkeypatch, plan_rows):
+    for name, value in (("PLAN_ROWS", plan_rows), ("QUERIES_PER_PART", 7), ("ROWS_PER_BLOCK", 20)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, size=4)]) for i in range(200)]
+    rows += [(1000 + i, [1.0, 1.0, 0.0, 2.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    x = {i: 256 * np.array(v, dtype=int) for i, v in rows}
+    want = [(q, r + 1, i, -s) for q in x if q % 5 == 0 for r, (s, i) in enumerate(sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q)[:5])]
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, pivots=8).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_skips_cells_that_cannot_win():
     rng = np.random.default_rng(0)
     pivots = np.eye(8) * 1000

@@ -93,6 +93,30 @@ def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("candidate_id", "document_id", "field", F.col("status").alias("old_status"), status.alias("status"))
 
 
+def item_decisions(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions (candidate_id, decision) for queue items (document_id, field, value, accept): the surest proposal is accepted, or all are rejected."""
+    open_ = candidates.filter("status = 'proposed'").join(items, ["document_id", "field", "value"])
+    place = F.row_number().over(Window.partitionBy("document_id", "field", "value").orderBy("priority", "candidate_id"))
+    return open_.withColumn("place", place).filter("place = 1 OR NOT accept").select("candidate_id", F.when(F.col("accept"), "accept").otherwise("reject").alias("decision"))
+
+
+def value_states(events: DataFrame) -> DataFrame:
+    """(document_id, field, value, locked, accepted_by) after a log of set, clear, lock and unlock (seq, action, value, actor).
+
+    Folds to the newest of each kind of event; a rule's value does not count while the
+    field is locked, a person's does.
+    """
+    locks = events.filter("action IN ('lock', 'unlock')").select("document_id", "field", F.col("seq").alias("at"), (F.col("action") == "lock").alias("on"))
+    values = events.filter("action IN ('set', 'clear')")
+    before = values.filter("actor <> 'user'").select("document_id", "field", "seq").join(locks, ["document_id", "field"]).filter("at < seq")
+    barred = before.groupBy("document_id", "field", "seq").agg(F.max_by("on", "at").alias("on")).filter("on").select("document_id", "field", "seq")
+    values = values.join(barred, ["document_id", "field", "seq"], "left_anti")
+    last = values.groupBy("document_id", "field").agg(F.max_by(F.struct("action", "value", "actor"), "seq").alias("v"))
+    now = locks.groupBy("document_id", "field").agg(F.max_by("on", "at").alias("locked"))
+    rows = last.join(now, ["document_id", "field"], "left").filter("v.action = 'set'")
+    return rows.select("document_id", "field", "v.value", F.coalesce("locked", F.lit(False)).alias("locked"), F.col("v.actor").alias("accepted_by"))
+
+
 def verify_hashes(known: DataFrame, read: DataFrame) -> DataFrame:
     """(location_id, result) of reading files again; ``read``: location_id, artifact_id, outcome (ok, changing, unreadable)."""
     again = read.select("location_id", F.col("artifact_id").alias("now"), "outcome")

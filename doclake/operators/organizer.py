@@ -153,3 +153,10 @@ def undo_items(journal: DataFrame) -> DataFrame:
 def events(closed: DataFrame, opened: DataFrame) -> DataFrame:
     """(location_id, event, detail): both sides of each move."""
     return union([closed.select("location_id", F.lit("moved_to").alias("event"), F.col("new_path").alias("detail")), opened.select("location_id", F.lit("moved_from").alias("event"), F.col("old_path").alias("detail"))])
+
+
+def organizable(root: DataFrame, toggles: DataFrame) -> DataFrame:
+    """(root_id, allow_organize, changed, usable) after a person's permissions (root_id, allow): usable are allowed roots that are online."""
+    rows = root.select("root_id", "allow_organize", "status").join(toggles, "root_id", "left")
+    allow = F.coalesce("allow", "allow_organize")
+    return rows.select("root_id", allow.alias("allow_organize"), (allow != F.col("allow_organize")).alias("changed"), (allow & (F.col("status") == "online")).alias("usable"))

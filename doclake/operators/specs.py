@@ -175,3 +175,24 @@ def planned_requests(candidates: DataFrame, values: DataFrame, titles: DataFrame
     key = F.concat_ws(":", "sends", F.when(F.col("sends") == "title", alnum_key(F.col("value"))).otherwise(F.col("value")))
     rows = rows.withColumn("key", key).join(cached.select("key").distinct().withColumn("held", F.lit(True)), "key", "left")
     return rows.select("document_id", "sends", "value", F.coalesce("held", F.lit(False)).alias("cached"))
+
+
+# ------------------------------------------------------------------- selection
+
+
+def targets(c) -> DataFrame:
+    """Documents a resolver looks at: those whose canonical artifact is a PDF, with the path to read it at, or none where no root that holds it is online."""
+    pdf = c.artifact.filter("content_kind = 'pdf'").select("artifact_id")
+    rows = c.document_artifact.filter("canonical").join(pdf, "artifact_id", "left_semi").select("document_id", "artifact_id")
+    online = c.root.filter("status = 'online'").select("root_id")
+    places = c.location.filter("NOT ended AND state = 'active'").join(online, "root_id", "left_semi")
+    paths = places.groupBy("artifact_id").agg(F.min_by(F.struct("root_id", "relative_path"), F.struct((-F.col("last_seen")).alias("seen"), "path_key")).alias("p"))
+    return rows.join(paths, "artifact_id", "left").select("document_id", "artifact_id", "p.root_id", "p.relative_path")
+
+
+def front_facts(wanted: DataFrame, cache: DataFrame, version: str) -> DataFrame:
+    """(artifact_id, action) of reading front matter (artifact_id, path): cached, failed_before, read or unavailable, by what this reader's version has stored."""
+    held = cache.filter(F.col("version") == version).select("artifact_id", "ok")
+    rows = wanted.join(held, "artifact_id", "left")
+    action = F.when(F.col("ok"), "cached").when(~F.col("ok"), "failed_before").when(F.col("path").isNull(), "unavailable").otherwise("read")
+    return rows.select("artifact_id", action.alias("action"))

@@ -136,7 +136,13 @@ def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.newest(events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "place")
 
 
+def relocation_events(c: Catalog) -> DataFrame:
+    moves = plan_items(c).filter("status = 'planned'")
+    return organizer.events(moves, moves.withColumn("location_id", F.concat("location_id", F.lit("@1"))))
+
+
 QUERIES = {
+    "relocation_events": _query(relocation_events),
     "plan_items": _query(plan_items),
     "plan_summary": _query(lambda c: organizer.plan_summary(plan_items(c))),
     "plan_staleness": _query(plan_staleness),
@@ -190,6 +196,9 @@ up AS (SELECT kind, source_id, target_id, evidence_key, CASE WHEN had IS NULL TH
   FROM (SELECT kind, source_id, target_id, evidence_key, confidence AS oc, status AS os, true AS had FROM rc WHERE no % 4 <> 1)
   FULL JOIN (SELECT kind, source_id, target_id, evidence_key, CASE WHEN no % 7 = 1 THEN 'exact' ELSE confidence END AS nc, true AS has FROM rc WHERE no % 5 <> 2) USING (kind, source_id, target_id, evidence_key))"""
 ORACLES = {
+    "relocation_events": sql(
+        """SELECT location_id, 'moved_to' AS event, new_path AS detail FROM items WHERE status = 'planned' UNION ALL SELECT location_id || '@1', 'moved_from', old_path FROM items WHERE status = 'planned'""", *_ITEMS
+    ),
     "plan_items": sql("SELECT * FROM items", *_ITEMS),
     "plan_summary": sql(
         """SELECT 'operation' AS aspect, operation AS name, count(*) AS items FROM items GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM items GROUP BY 2

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from doclake.functions import labels
 from doclake.functions.text import excerpt
-from doclake.operators import lifecycle, match, search, views
+from doclake.operators import lifecycle, match, organizer, search, specs, views
 from doclake.plans.catalog import _SNAP, _snapshots
 from doclake.plans.corpus_sql import key, sql
 from doclake.plans.views import LATEST, MAIN, RELATED
@@ -103,7 +103,39 @@ def mass_missing(c: Catalog) -> DataFrame:
     return lifecycle.mass_missing(lifecycle.reconcile(*_snapshots(c)), 3, 0.12)
 
 
+def value_states(c: Catalog) -> DataFrame:
+    """Four events a document: set, lock, a rule's set or a person's, unlock or clear."""
+    n = _no()
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("action"), w.alias("actor")) for i, a, w in (
+        (0, F.lit("set"), F.when(n % 2 == 0, "user").otherwise("rule:safe")), (1, F.when(n % 3 == 0, "lock").otherwise("unlock"), F.lit("user")),
+        (2, F.lit("set"), F.when(n % 5 == 0, "user").otherwise("rule:safe")), (3, F.when(n % 7 == 0, "clear").otherwise("lock"), F.lit("user")),
+    )])
+    rows = c.document.select("document_id", "no", F.explode(steps).alias("s"))
+    return lifecycle.value_states(rows.select("document_id", F.lit("title").alias("field"), (n * 10 + F.col("s.i")).alias("seq"), "s.action", F.concat(F.lit("v"), F.col("s.i").cast("string")).alias("value"), "s.actor"))
+
+
+def item_decisions(c: Catalog) -> DataFrame:
+    items = c.metadata_candidate.filter("status = 'proposed' AND no % 4 < 2").select("document_id", "field", "value", (_no() % 4 == 0).alias("accept")).distinct()
+    return lifecycle.item_decisions(c.metadata_candidate, items)
+
+
+def front_actions(c: Catalog) -> DataFrame:
+    n = _no()
+    wanted = c.artifact.select("artifact_id", F.when(n % 5 != 3, F.lit("x")).alias("path"))
+    cache = c.artifact.filter("no % 3 = 0").select("artifact_id", F.when(n % 2 == 0, "2").otherwise("1").alias("version"), (n % 4 != 0).alias("ok"))
+    return specs.front_facts(wanted, cache, "2")
+
+
+def root_permissions(c: Catalog) -> DataFrame:
+    return organizer.organizable(c.root, c.root.filter("never_scanned").select("root_id", F.lit(True).alias("allow")))
+
+
 QUERIES = {
+    "value_states": _query(value_states),
+    "item_decisions": _query(item_decisions),
+    "resolver_targets": _query(specs.targets),
+    "front_actions": _query(front_actions),
+    "root_permissions": _query(root_permissions),
     "pages_asked": _query(pages_asked),
     "excerpts": _query(excerpts),
     "cache_latest": _query(lambda c: lifecycle.latest(_cache(c), "key", "stored")),
@@ -122,6 +154,23 @@ _QUEUE = "q AS (SELECT * FROM (" + VIEW_SQL["review_queue"] + "))"
 _CACHE = "cache AS (SELECT 'doi:' || no % 50 AS key, no AS stored, make_timestamp(no * 60000000) AS expires_at, 'answer ' || no AS body FROM document)"
 _WORKS = "works AS (SELECT '10.5555/w.' || no AS doi, title FROM titled WHERE no % 2 = 0 AND title <> '')"
 ORACLES = {
+    "value_states": sql(
+        """SELECT document_id, 'title' AS field, CASE WHEN r2 AND no % 3 = 0 THEN 'v0' ELSE 'v2' END AS value, true AS locked, CASE WHEN r2 AND no % 3 = 0 THEN CASE WHEN no % 2 = 0 THEN 'user' ELSE 'rule:safe' END
+             WHEN r2 THEN 'rule:safe' ELSE 'user' END AS accepted_by FROM (SELECT *, no % 5 <> 0 AS r2 FROM document) WHERE no % 7 <> 0"""
+    ),
+    "item_decisions": sql(
+        """SELECT candidate_id, CASE WHEN no % 4 = 0 THEN 'accept' ELSE 'reject' END AS decision FROM (
+             SELECT *, row_number() OVER (PARTITION BY document_id, field, value ORDER BY priority, candidate_id) AS place FROM metadata_candidate WHERE status = 'proposed' AND no % 4 < 2) WHERE place = 1 OR no % 4 = 1"""
+    ),
+    "resolver_targets": sql(
+        """SELECT document_id, artifact_id, p.r AS root_id, p.l AS relative_path FROM document_artifact JOIN artifact USING (artifact_id) LEFT JOIN (
+             SELECT artifact_id, arg_min({'r': root_id, 'l': relative_path}, {'s': -last_seen, 'p': path_key}) AS p FROM location JOIN root USING (root_id)
+             WHERE NOT ended AND state = 'active' AND status = 'online' GROUP BY 1) USING (artifact_id) WHERE canonical AND content_kind = 'pdf'"""
+    ),
+    "front_actions": sql(
+        """SELECT artifact_id, CASE WHEN no % 6 = 0 AND no % 4 <> 0 THEN 'cached' WHEN no % 6 = 0 THEN 'failed_before' WHEN no % 5 = 3 THEN 'unavailable' ELSE 'read' END AS action FROM artifact"""
+    ),
+    "root_permissions": sql("SELECT root_id, allow_organize OR never_scanned AS allow_organize, never_scanned AND NOT allow_organize AS changed, (allow_organize OR never_scanned) AND status = 'online' AS usable FROM root"),
     "pages_asked": sql(
         """SELECT artifact_id, page, label, CASE WHEN (page IS NULL) = (label IS NULL) THEN 'refused' WHEN n = 0 THEN 'not_found' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS outcome, pdf_page::INTEGER AS pdf_page, md5(left(text, 20000)) AS text,
              coalesce(length(text) > 20000, false) AS is_cut

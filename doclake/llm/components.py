@@ -18,6 +18,11 @@ from doclake.session import cut_at, drop_path
 
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node, root): the smallest node reachable, for every node of an edge."""
+    return components_at(edges)[0]
+
+
+def components_at(edges: DataFrame) -> tuple[DataFrame, str]:
+    """As ``components``, with the path of the table for ``drop_path``."""
     total, total_path = None, None
     edges, edges_path = cut_at(_both(edges), "edges")
     while not edges.isEmpty():
@@ -36,8 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
         for path in {spent, old, hooks_path} - {None, total_path}:
             drop_path(edges.sparkSession, path)
     if total is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return total
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")), edges_path
+    drop_path(edges.sparkSession, edges_path)
+    return total, total_path
 
 
 def _both(edges: DataFrame) -> DataFrame:

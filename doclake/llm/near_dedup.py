@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.llm import worker
-from doclake.llm.components import components
+from doclake.llm.components import components_at
 from doclake.session import cut, cut_at, drop_path, small_batches
 
 WIDTH = 5
@@ -351,6 +351,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made.append(path)
         return table
 
+    def rooted(links: DataFrame) -> DataFrame:
+        table, path = components_at(links)
+        made.append(path)
+        return table
+
     rows = sketched(df, text_col, width)
     ident = F.col("doc")[id_col].cast("long")
     keeper = F.struct(ident.isNull().alias("no_id"), ident.alias("id"), F.col("row_id"))
@@ -381,7 +386,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = keep(pairs, "pairs")
 
     # each round: at most one pair a class, then only what is still in different components
-    links, labels, rounds = pairs.select("a", "b").limit(0), components(pairs.select("a", "b").limit(0)), 0
+    links, labels, rounds = pairs.select("a", "b").limit(0), rooted(pairs.select("a", "b").limit(0)), 0
     while not pairs.isEmpty():
         last = rounds > 0 and pairs.count() <= most
         best = F.max(F.struct("share", (-F.col("a")).alias("minus")))
@@ -390,7 +395,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hopeful, spent = cut_at(plausible(batch, nodes), "hopeful")
         links = keep(links.unionByName(verified(hopeful, nodes, width)), "links")
         drop_path(df.sparkSession, spent)
-        labels = components(links)
+        labels = rooted(links)
         if last:
             break
         pairs = keep(_apart(pairs.join(batch, ["a", "b"], "left_anti"), labels), "pairs")
@@ -398,7 +403,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     late = keep(across(members, labels, nodes, width, keep), "late")
     if not late.isEmpty():
-        labels = components(links.unionByName(late))
+        labels = rooted(links.unionByName(late))
 
     groups = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = groups.groupBy("root").agg(F.min("keeper").alias("best"))

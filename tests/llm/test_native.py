@@ -169,6 +169,28 @@ def test_mixing_weights_change_inclusion(spark):
     assert even > 1.5 * odd_
 
 
+def test_mixing_weights_may_be_null_or_negative(spark):
+    rows = [(i, "w w w w", "a" if i < 300 else "b", None if i % 3 == 0 else (-1.0 if i % 3 == 1 else 2.0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    out = mixing.mixed(df, weight_col="w").select("doc.doc_id", "source", "size", "target", "copies").collect()
+    assert len(out) == 900
+    for source, certain in (("a", 1200), ("b", 2400)):
+        target = next(r["target"] for r in out if r["source"] == source)
+        base = int(target // certain)
+        drawn = [r for r in out if r["source"] == source and r["copies"] > base]
+        assert all(r["copies"] >= base for r in out if r["source"] == source) and all(r["doc_id"] % 3 == 2 for r in drawn)
+    none = mixing.mixed(df.withColumn("w", F.lit(None).cast("double")), weight_col="w").select("source", "copies").distinct().collect()
+    assert {(r["source"], r["copies"]) for r in none} == {("a", 1), ("b", 1)} or all(r["copies"] in (0, 1, 2) for r in none)
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(i, "some words here", f"s{i % 2}") for i in range(6)], "`a.id` long, `a.text` string, `a.source` string")
+    assert sharding.shard_documents(df, id_col="a.id", text_col="a.text").count() == 6
+    assert mixing.mixed(df, "a.id", "a.source", "a.text").count() == 6
+    assert {r["group_size"] for r in exact_dedup.exact_dedup(spark, df, "a.id", "a.text").collect()} == {6}
+    assert lines.drop_lines(df, F.col("`a.source`"), "a.text").count() == 6
+
+
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 10, 1000, 30_000):

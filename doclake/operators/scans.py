@@ -140,7 +140,7 @@ def health_lines(stats: DataFrame) -> DataFrame:
         "extension_content_mismatches": "files whose name and contents disagree", "exact_duplicate_groups": "files at more than one path",
     }
     order = F.create_map(*[F.lit(x) for i, k in enumerate(words) for x in (k, i)])
-    text = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    text = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
     rows = stats.filter((F.col("section") == "health") & F.col("metric").isin(*words) & (F.col("value") > 0))
     return rows.select(F.element_at(order, F.col("metric")).alias("place"), F.concat_ws(" ", F.col("value").cast("string"), F.element_at(text, F.col("metric"))).alias("line"))
 

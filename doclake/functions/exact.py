@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 def fold_text(text: str | None) -> str:
     """NFKD without combining marks, case folded."""
+    if text and text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).casefold()
 
 
@@ -47,6 +50,30 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0
 
 
+def ratio_reaches(x: str, y: str, least: float) -> bool:
+    """Whether the ratio of two keys (``key_text``) is at least ``least``; most pairs are told by equality, lengths or letters, which bound it."""
+    if not x or not y:
+        return least <= 0.0
+    if x == y:
+        return least <= 1.0
+    if 2.0 * min(len(x), len(y)) / (len(x) + len(y)) < least:
+        return False
+    if 2.0 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)) < least:
+        return False
+    return SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
+
+
+def reaches(least: float):
+    """An Arrow UDF of two columns: whether their ``similarity`` is at least ``least``; false where either is null."""
+
+    @F.pandas_udf(T.BooleanType())
+    def told(a: pd.Series, b: pd.Series) -> pd.Series:
+        keys = {t: key_text(t) for t in {*a, *b} if t is not None}
+        return pd.Series([x is not None and y is not None and ratio_reaches(keys[x], keys[y], least) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return told
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

@@ -59,7 +59,8 @@ def title_specs(found: DataFrame, front: DataFrame) -> DataFrame:
     """Specs of the titles that a document's sources give (document_id, source, value) against its front text (document_id, text)."""
     rows = found.filter("value IS NOT NULL AND value <> ''").select("document_id", "source", "value")
     other = rows.select("document_id", F.col("source").alias("other"), F.col("value").alias("other_value"))
-    pairs = rows.join(other, "document_id").withColumn("alike", (F.col("source") == F.col("other")) | (exact.similarity("value", "other_value") >= TITLE_AGREEMENT))
+    same = F.col("source") == F.col("other")
+    pairs = rows.join(other, "document_id").withColumn("alike", same | exact.reaches(TITLE_AGREEMENT)(F.when(~same, F.col("value")), F.when(~same, F.col("other_value"))))
     told = F.col("alike") & (F.col("other") != "filename_hint")
     rows = pairs.groupBy("document_id", "source", "value").agg(F.count_if(told).alias("witnesses"), F.bool_or(told & (F.col("other") == "layout_title")).alias("laid_out"))
     rows = rows.join(front.select("document_id", "text"), "document_id", "left")

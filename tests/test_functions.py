@@ -90,3 +90,26 @@ def test_similarity_is_the_sequence_ratio(spark):
     rows = spark.createDataFrame([("A title of things", "a Title, of thing"), ("", "x"), (None, None)], "a string, b string")
     got = [r[0] for r in rows.select(exact.similarity("a", "b")).collect()]
     assert got == [pytest.approx(exact.ratio("A title of things", "a Title, of thing")), 0.0, 0.0]
+
+
+def test_a_threshold_is_judged_as_the_ratio_is_without_matching_all(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts += [t[: len(t) // 2] + "x" + t[len(t) // 2 :] for t in texts]
+    for least in (0.5, 0.9, 1.0):
+        assert all(exact.ratio_reaches(a, b, least) == (exact.ratio(a, b) >= least) for a in texts for b in texts)
+    monkeypatch.setattr(exact, "SequenceMatcher", None)  # equal keys, lengths and letters tell these
+    assert exact.ratio_reaches("a" * 100_000, "a" * 100_000, 0.9)
+    assert not exact.ratio_reaches("a" * 100_000, "a" * 50_000, 0.9) and not exact.ratio_reaches("ab" * 50_000, "cd" * 50_000, 0.9)
+
+
+def test_long_titles_are_compared_by_bounds_first(spark):
+    from doclake.operators import specs
+
+    title = "An endless title of equal words " * 3_000  # matching two of these takes hours
+    rows = spark.createDataFrame([("d", "layout_title", title), ("d", "pdf_info_title", title.upper()), ("d", "pdf_xmp_title", None), ("e", "layout_title", title), ("e", "pdf_info_title", "Another")], "document_id string, source string, value string")
+    front = spark.createDataFrame([("d", title), ("e", "nothing")], "document_id string, text string")
+    got = {(r["document_id"], r["source"]): (r["confidence"], r["review"]) for r in specs.title_specs(rows, front).collect()}
+    assert got == {("d", "layout_title"): ("high", "safe"), ("d", "pdf_info_title"): ("high", "safe"), ("e", "layout_title"): ("low", "required"), ("e", "pdf_info_title"): ("low", "required")}

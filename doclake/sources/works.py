@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions.identifiers import normalise_doi
 from doclake.functions.text import alnum_key, clean
+from doclake.operators.pairs import spread_join
 
 # Fixed value: the fields of a provider's message that are read.
 MESSAGE = (
@@ -52,6 +53,6 @@ def lookup_dois(wanted: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def lookup_titles(wanted: DataFrame, works: DataFrame) -> DataFrame:
-    """(document_id, work columns) for equal title keys; similarity is judged afterwards."""
-    keyed = works.withColumn("key", alnum_key(F.col("title")))
-    return wanted.withColumn("key", alnum_key(F.col("title"))).drop("title").join(keyed, "key").drop("key")
+    """(document_id, work columns) for equal title keys, which meet as digests; similarity is judged afterwards."""
+    key = F.sha2(alnum_key(F.col("title")).cast("binary"), 256)
+    return spread_join(wanted.withColumn("key", key).drop("title"), works.withColumn("key", key), ["key"]).drop("key")

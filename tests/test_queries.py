@@ -276,3 +276,18 @@ def test_plans_are_written_and_read_back(spark, tmp_path):
     digest = organizer.plan_hash(items).first()["digest"]
     assert organizer.plan_hash(items.repartition(7)).first()["digest"] == digest
     assert organizer.plan_hash(items.withColumn("new_path", F.concat("new_path", F.lit("x")))).first()["digest"] != digest
+
+
+def test_pairs_of_a_frequent_key_are_dealt_over_tasks(spark, monkeypatch):
+    from doclake.operators import pairs
+    from doclake.sources import works
+
+    monkeypatch.setattr(pairs, "CHUNK", 5)
+    left = spark.createDataFrame([("hot", i) for i in range(23)] + [("cold", 100), ("left", 101), (None, 102)], "key string, a long")
+    right = spark.createDataFrame([("hot", i) for i in range(17)] + [("cold", 100), ("cold", 101), ("right", 102), (None, 103)], "key string, b long")
+    got = pairs.spread_join(left, right, ["key"])
+    assert sorted(tuple(r) for r in got.select("key", "a", "b").collect()) == sorted(tuple(r) for r in left.join(right, "key").select("key", "a", "b").collect())
+    assert got.filter("key = 'hot'").select(F.spark_partition_id()).distinct().count() > 3
+    wanted = spark.createDataFrame([(f"doc-{i}", "One Title") for i in range(40)], "document_id string, title string")
+    found = works.lookup_titles(wanted, spark.createDataFrame([(f"w{i}", "one title!") for i in range(30)], "doi string, title string"))
+    assert found.distinct().count() == found.count() == 1200 and found.select(F.spark_partition_id()).distinct().count() > 3

@@ -291,3 +291,19 @@ def test_pairs_of_a_frequent_key_are_dealt_over_tasks(spark, monkeypatch):
     wanted = spark.createDataFrame([(f"doc-{i}", "One Title") for i in range(40)], "document_id string, title string")
     found = works.lookup_titles(wanted, spark.createDataFrame([(f"w{i}", "one title!") for i in range(30)], "doi string, title string"))
     assert found.distinct().count() == found.count() == 1200 and found.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def planted_docs(spark):
+    from doclake.plans import relations
+
+    return relations.Input(spark, SF).docs
+
+
+def test_pairs_of_supplements_and_corrections_are_not_shuffled(spark):
+    import re
+
+    docs = planted_docs(spark)
+    tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pairs = r"Aggregate \[(reader|printed|kind|source_id)#\d+, (reader|printed|source_id|target_id)#"
+    for rows in (relate.supplements(docs), relate.corrections(docs)):
+        assert not re.search(pairs, tree(rows))

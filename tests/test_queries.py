@@ -293,17 +293,36 @@ def test_pairs_of_a_frequent_key_are_dealt_over_tasks(spark, monkeypatch):
     assert found.distinct().count() == found.count() == 1200 and found.select(F.spark_partition_id()).distinct().count() > 3
 
 
+@pytest.mark.parametrize("name", ["relate_replacements", "relate_parts", "relate_parts_printed", "relate_versions", "relate_identical_text", "relate_same_doi", "relate_same_title_author"])
+def test_detectors_do_not_list_all_supplements(spark, monkeypatch, tmp_path, name):
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(relate, "supplement_pairs", None)
+    plans.queries()[name](spark, str(tmp_path)).collect()
+
+
 def planted_docs(spark):
     from doclake.plans import relations
 
     return relations.Input(spark, SF).docs
 
 
+def test_pairs_are_judged_alone_as_the_detectors_judge_them(spark):
+    docs = planted_docs(spark)
+    ids = docs.select("document_id")
+    every = ids.toDF("a").join(ids.toDF("b")).filter("a < b")
+    listed = {(min(r[0], r[1]), max(r[0], r[1])) for r in relate.supplement_pairs(docs).select("source_id", "target_id").collect()}
+    assert listed and {tuple(r) for r in relate.apart_among(docs, every).collect()} == listed
+
+
 def test_pairs_of_supplements_and_corrections_are_not_shuffled(spark):
     import re
 
+    from doclake.plans import relations
+
     docs = planted_docs(spark)
     tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     pairs = r"Aggregate \[(reader|printed|kind|source_id)#\d+, (reader|printed|source_id|target_id)#"
     for rows in (relate.supplements(docs), relate.corrections(docs)):
         assert not re.search(pairs, tree(rows))
+    i = relations.Input(spark, SF)
+    assert tree(relations._detect(i)).startswith("Union")

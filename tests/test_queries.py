@@ -325,4 +325,4 @@ def test_pairs_of_supplements_and_corrections_are_not_shuffled(spark):
     for rows in (relate.supplements(docs), relate.corrections(docs)):
         assert not re.search(pairs, tree(rows))
     i = relations.Input(spark, SF)
-    assert tree(relations._detect(i)).startswith("Union")
+    assert tree(relations._detect(i)).startswith("Union") and "FullOuter" not in tree(relations.detector_run(i))

@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -63,13 +64,27 @@ def ratio_reaches(x: str, y: str, least: float) -> bool:
     return SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
 
 
-def reaches(least: float):
-    """An Arrow UDF of two columns: whether their ``similarity`` is at least ``least``; false where either is null."""
+def agreeing_sources(sources: Sequence[str], values: Sequence[str], least: float) -> list[list[str] | None]:
+    """For each value the sources of the values that are like it: all of its own source, and those whose ``similarity`` to it is at least ``least``.
 
-    @F.pandas_udf(T.BooleanType())
-    def told(a: pd.Series, b: pd.Series) -> pd.Series:
-        keys = {t: key_text(t) for t in {*a, *b} if t is not None}
-        return pd.Series([x is not None and y is not None and ratio_reaches(keys[x], keys[y], least) for x, y in zip(a, b, strict=True)], dtype=bool)
+    A value that one source gives several times is answered at its first place, as often as it is given; its other places are null.
+    """
+    keys, told = {v: key_text(v) for v in values}, list(zip(sources, values, strict=True))
+    given, alike, out = Counter(told), {}, []
+    for source, value in told:
+        times = given.pop((source, value), 0)
+        if times and value not in alike:
+            alike[value] = {v for v in keys if ratio_reaches(keys[value], keys[v], least)}
+        out.append([s for s, v in told if s == source or v in alike[value]] * times if times else None)
+    return out
+
+
+def agreeing(least: float):
+    """``agreeing_sources`` as an Arrow UDF of two arrays; null where they are."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def told(sources: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else agreeing_sources(list(s), list(v), least) for s, v in zip(sources, values, strict=True)], dtype=object)
 
     return told
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from doclake.functions import exact
 from doclake.functions.identifiers import AUTHORS, normalise
-from doclake.functions.text import alnum_key, clean, is_printed, looks_garbled
+from doclake.functions.text import alnum_key, clean, column_key, key_is_printed, looks_garbled
 from doclake.operators.views import union
 
 # Thresholds, ranks and field names that decide answers.
@@ -56,29 +56,31 @@ def doi_specs(classified: DataFrame, checks: DataFrame, shared: DataFrame) -> Da
 
 
 def title_specs(found: DataFrame, front: DataFrame) -> DataFrame:
-    """Specs of the titles that a document's sources give (document_id, source, value) against its front text (document_id, text)."""
-    rows = found.filter("value IS NOT NULL AND value <> ''").select("document_id", "source", "value")
-    other = rows.select("document_id", F.col("source").alias("other"), F.col("value").alias("other_value"))
-    same = F.col("source") == F.col("other")
-    pairs = rows.join(other, "document_id").withColumn("alike", same | exact.reaches(TITLE_AGREEMENT)(F.when(~same, F.col("value")), F.when(~same, F.col("other_value"))))
-    told = F.col("alike") & (F.col("other") != "filename_hint")
-    rows = pairs.groupBy("document_id", "source", "value").agg(F.count_if(told).alias("witnesses"), F.bool_or(told & (F.col("other") == "layout_title")).alias("laid_out"))
-    rows = rows.join(front.select("document_id", "text"), "document_id", "left")
-    printed, garbled = F.coalesce(is_printed(F.col("value"), F.col("text")), F.lit(False)), looks_garbled(F.col("value"))
-    several = F.col("witnesses") >= 2
+    """Specs of the titles that a document's sources give (document_id, source, value) against its front text (document_id, text).
+
+    A document's titles come together once and are compared there; no pair of titles is a row.
+    """
+    rows = found.filter("value IS NOT NULL AND value <> ''").groupBy("document_id").agg(F.collect_list(F.struct("source", "value")).alias("told"))
+    several = F.size("told") > 1
+    sources = exact.agreeing(TITLE_AGREEMENT)(F.when(several, F.col("told.source")), F.when(several, F.col("told.value")))
+    rows = rows.withColumn("sources", F.coalesce(sources, F.array(F.col("told.source")))).join(front.select("document_id", column_key("text").alias("front_key")), "document_id", "left")
+    rows = rows.select("document_id", "front_key", F.explode(F.arrays_zip("told", "sources")).alias("t")).filter("t.sources IS NOT NULL")
+    rows = rows.select("document_id", "front_key", "t.told.*", F.array_remove("t.sources", "filename_hint").alias("witnesses"))
+    rows = rows.withColumns({"printed": F.coalesce(key_is_printed(column_key("value"), F.col("front_key")), F.lit(False)), "garbled": looks_garbled(F.col("value"))})
+    printed, garbled, several, laid_out = F.col("printed"), F.col("garbled"), F.size("witnesses") >= 2, F.array_contains("witnesses", "layout_title")
     confidence = F.when((F.col("source") == "filename_hint") | garbled, "low").when(printed & several, "high").when(printed, "medium").otherwise("low")
-    return _spec(rows, field="title", confidence=confidence, review=F.when(printed & several & F.col("laid_out") & ~garbled, "safe").otherwise("required"), priority=20)
+    return _spec(rows, field="title", confidence=confidence, review=F.when(printed & several & laid_out & ~garbled, "safe").otherwise("required"), priority=20)
 
 
 def author_specs(found: DataFrame, front: DataFrame) -> DataFrame:
     """Specs of author lists (document_id, source, names) by how many surnames the front text prints."""
-    rows = found.filter(F.size("names") > 0).join(front.select("document_id", alnum_key(F.col("text")).alias("key")), "document_id", "left")
+    rows = found.filter(F.size("names") > 0).join(front.select("document_id", column_key("text").alias("front_key")), "document_id", "left")
 
     def surname(name: Column) -> Column:
         name = F.btrim(name)
         return alnum_key(F.when(F.contains(name, F.lit(",")), F.regexp_extract(name, "^[^ ,]*", 0)).otherwise(F.regexp_extract(name, r"\S+$", 0)))
 
-    printed = F.size(F.filter(F.transform("names", surname), lambda s: (F.length(s) >= MIN_SURNAME) & F.contains(F.coalesce("key", F.lit("")), s)))
+    printed = F.size(F.filter(F.transform("names", surname), lambda s: (F.length(s) >= MIN_SURNAME) & F.contains(F.coalesce("front_key", F.lit("")), s)))
     people = F.transform("names", lambda n: F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("given"), F.btrim(n).alias("name")))
     return _spec(rows, field="authors", value=F.to_json(people), confidence=F.when(printed * 2 >= F.size("names"), "medium").otherwise("low"), priority=40)
 

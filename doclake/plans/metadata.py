@@ -12,27 +12,36 @@ from doclake.sources.corpus import Catalog, pick
 LEVELS = ("exact", "strong", "weak", "contradicted", "no_match", "unverifiable")
 
 
+def _named(c: Catalog) -> DataFrame:
+    """(document_id, no, title) of documents with a title, written once a session: several stages read them side by side."""
+    return c.derived("named", lambda: c.titled.filter("title <> ''").select("document_id", "no", "title"))
+
+
 def _front(c: Catalog) -> DataFrame:
     """A front page that prints the title and, for some, the first author's surname."""
     text = F.concat(F.when(F.col("no") % 5 != 2, F.col("title")).otherwise(F.lit("no title here")), F.lit("\nby Ann Fam"), (F.col("no") % 7).cast("string"), F.lit(" and others"))
-    return c.titled.filter("title <> ''").select("document_id", "no", text.alias("text"))
+    return _named(c).select("document_id", "no", text.alias("text"))
 
 
 def _titles(c: Catalog) -> DataFrame:
-    rows = c.titled.filter("title <> ''")
-    other = F.concat(F.lit("Quite another heading "), F.col("no").cast("string"))
-    found = [
-        rows.filter(F.col("no") % 4 != 3).select("document_id", F.lit("layout_title").alias("source"), F.col("title").alias("value")),
-        rows.filter(F.col("no") % 3 != 1).select("document_id", F.lit("pdf_xmp_title").alias("source"), F.when(F.col("no") % 6 == 0, other).otherwise(F.lower("title")).alias("value")),
-        rows.filter(F.col("no") % 2 == 0).select("document_id", F.lit("pdf_info_title").alias("source"), F.col("title").alias("value")),
-        rows.filter(F.col("no") % 7 == 0).select("document_id", F.lit("filename_hint").alias("source"), F.col("title").alias("value")),
-    ]
-    return views.union(found)
+    n, title = F.col("no"), F.col("title")
+    other = F.concat(F.lit("Quite another heading "), n.cast("string"))
+
+    def told(held, source, value):
+        return F.when(held, F.struct(F.lit(source).alias("source"), value.alias("value")))
+
+    found = F.array(
+        told(n % 4 != 3, "layout_title", title),
+        told(n % 3 != 1, "pdf_xmp_title", F.when(n % 6 == 0, other).otherwise(F.lower("title"))),
+        told(n % 2 == 0, "pdf_info_title", title),
+        told(n % 7 == 0, "filename_hint", title),
+    )
+    return _named(c).select("document_id", F.explode(F.array_compact(found)).alias("t")).select("document_id", "t.*")
 
 
 def _authors(c: Catalog) -> DataFrame:
     name = F.concat(F.lit("Ann Fam"), (F.col("no") % 9).cast("string"))
-    return c.titled.filter("title <> '' AND no % 5 <> 4").select("document_id", F.lit("pdf_xmp_authors").alias("source"), F.array(name, F.concat(F.lit("Zz"), F.col("no").cast("string"), F.lit(", Bo"))).alias("names"))
+    return _named(c).filter("no % 5 <> 4").select("document_id", F.lit("pdf_xmp_authors").alias("source"), F.array(name, F.concat(F.lit("Zz"), F.col("no").cast("string"), F.lit(", Bo"))).alias("names"))
 
 
 def _dois(c: Catalog) -> DataFrame:

@@ -113,3 +113,26 @@ def test_long_titles_are_compared_by_bounds_first(spark):
     front = spark.createDataFrame([("d", title), ("e", "nothing")], "document_id string, text string")
     got = {(r["document_id"], r["source"]): (r["confidence"], r["review"]) for r in specs.title_specs(rows, front).collect()}
     assert got == {("d", "layout_title"): ("high", "safe"), ("d", "pdf_info_title"): ("high", "safe"), ("e", "layout_title"): ("low", "required"), ("e", "pdf_info_title"): ("low", "required")}
+
+
+def test_titles_are_compared_within_their_document(spark):
+    from collections import Counter
+
+    from doclake.operators import specs
+
+    values = ["One Title of Some Length", "ONE TITLE OF SOME LENGTH!", "One Title of Same Length", "Élan vital", "elan vital", "***"]
+    told = [(f"s{i % 4}", v) for i, v in enumerate(values)] + [("s0", values[0]), ("s0", values[5])]
+    want = {}
+    for s, v in told:
+        want.setdefault((s, v), []).extend(t for t, w in told if t == s or exact.ratio(v, w) >= 0.9)
+    got = dict(pair for pair in zip(told, exact.agreeing_sources(*zip(*told, strict=True), 0.9), strict=True) if pair[1] is not None)
+    assert {k: Counter(v) for k, v in got.items()} == {k: Counter(v) for k, v in want.items()}
+    found = spark.createDataFrame([("d", s, v) for s, v in told], "document_id string, source string, value string")
+    rows = specs.title_specs(found, spark.createDataFrame([("d", values[0])], "document_id string, text string"))
+    assert rows.count() == len(want)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # with the front texts; none of titles with titles
+
+
+def test_column_keys_are_the_usual_keys(spark):
+    rows = spark.createDataFrame([("A b_C-9!",), ("Straße Élan",), ("",), (None,), ("İK ſ",)], "t string")
+    assert all(a == b for a, b in rows.select(text.column_key("t"), text.alnum_key(F.col("t"))).collect())

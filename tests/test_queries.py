@@ -326,3 +326,15 @@ def test_pairs_of_supplements_and_corrections_are_not_shuffled(spark):
         assert not re.search(pairs, tree(rows))
     i = relations.Input(spark, SF)
     assert tree(relations._detect(i)).startswith("Union") and "FullOuter" not in tree(relations.detector_run(i))
+
+
+def test_the_title_is_the_first_line_that_is_not_blank(spark, tmp_path):
+    texts = ["\n \n  A title \nbody", "one line", " \t\r\n ", "", None, "\t\nbody", "a\r\nb", "\n" * 20_000 + "deep\n"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["title"] for r in Catalog(spark, str(tmp_path)).rows.collect()}
+    assert [got[i] for i in range(len(texts))] == ["A title", "one line", "", "", "", "\t", "a\r", "deep"]
+
+
+def test_local_specs_join_the_titles_once(spark):
+    plan = plans.queries()["local_specs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4  # checks and shared DOIs, the front texts of titles and of authors

@@ -338,3 +338,19 @@ def test_the_title_is_the_first_line_that_is_not_blank(spark, tmp_path):
 def test_local_specs_join_the_titles_once(spark):
     plan = plans.queries()["local_specs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 4  # checks and shared DOIs, the front texts of titles and of authors
+
+
+@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed", "relate_replacements"])
+def test_detectors_that_read_no_text_make_no_pages(spark, monkeypatch, tmp_path, name):
+    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Catalog, "_page", None)
+    plans.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_values_are_laid_out_in_one_shuffle(spark):
+    from doclake.operators import views
+
+    rows = spark.createDataFrame([("d", "title", "A"), ("d", "year", None), ("e", "doi", "x"), ("e", "title", "B"), ("f", "other", "-")], "document_id string, field string, value string")
+    got = views.pivoted(rows, ("title", "doi", "year"))
+    assert sorted(tuple(r) for r in got.collect()) == [("d", "A", None, None), ("e", "B", "x", None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

@@ -340,7 +340,7 @@ def test_local_specs_join_the_titles_once(spark):
     assert plan.count("Join ") <= 4  # checks and shared DOIs, the front texts of titles and of authors
 
 
-@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed", "relate_replacements"])
+@pytest.mark.parametrize("name", ["relate_parts", "relate_parts_printed", "relate_replacements", "relate_versions"])
 def test_detectors_that_read_no_text_make_no_pages(spark, monkeypatch, tmp_path, name):
     spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(Catalog, "_page", None)
@@ -354,3 +354,11 @@ def test_values_are_laid_out_in_one_shuffle(spark):
     got = views.pivoted(rows, ("title", "doi", "year"))
     assert sorted(tuple(r) for r in got.collect()) == [("d", "A", None, None), ("e", "B", "x", None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_versions_are_paired_by_digests_of_titles(spark):
+    rows = [(f"doc-{i}", f"10.5555/{i}", key, i == 1) for i, key in ((1, "k" * 30), (2, "k" * 30), (3, "k" * 30), (4, "l" * 30), (5, None))]
+    got = relate.versions(spark.createDataFrame(rows, "document_id string, doi string, title_key string, preprint boolean"))
+    assert sorted((r["kind"], r["source_id"], r["target_id"]) for r in got.collect()) == [("related_to", "doc-2", "doc-3"), ("version_of", "doc-1", "doc-2"), ("version_of", "doc-1", "doc-3")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [title#" in plan and "Aggregate [title_key#" not in plan

@@ -6,9 +6,9 @@ level ``floor(1 - log_b(min h_i))`` of the least of independent exponential
 draws over the set's members, so sketches merge by the maximum and two
 registers agree with a probability close to the Jaccard similarity.
 
-1. One pass over the texts: exact set, its digest, registers, band hashes
-   (a band is ROWS register values). Documents with equal sets form a class and
-   only its first row goes on.
+1. One pass over the texts: exact set, its digest, registers. Documents with
+   equal sets form a class and only its first row goes on. Band hashes (a band is
+   ROWS register values) follow from its registers and are dealt by band once.
 2. Classes that share a band are candidates; of bands with the same members one
    is kept, as they would be compared alike. What a candidate's set shares with
    any other candidate, counted exactly, bounds what it shares with one of
@@ -32,7 +32,8 @@ Shapes at scale: sketches and candidates move as ids, 1 KB of registers and
 band hashes; texts are fetched for candidates only, by a broadcast of ids where
 these are few (``BROADCAST_IDS``, checked) and by a shuffle join otherwise.
 Copies and hot buckets meet in joins of narrow rows that AQE may split. Tables
-written on the way are dropped once the groups are written.
+written on the way are dropped once the groups are written, and each query's
+shuffle files when it ends. Of ``doc``, only the columns asked for are shuffled.
 
 Edge cases: a null text, or one without words, has an empty set: it is linked
 with nothing and its component is its own id; fewer words than a shingle make
@@ -54,7 +55,7 @@ from pyspark.sql import functions as F
 
 from doclake.llm import worker
 from doclake.llm.components import components_at
-from doclake.session import cut, cut_at, drop_path, small_batches
+from doclake.session import SPARING, cut, cut_at, drop_path, held, small_batches
 
 WIDTH = 5
 BANDS, ROWS = 64, 8
@@ -191,10 +192,10 @@ def estimate(above: np.ndarray, below: np.ndarray, equal: np.ndarray, n_a: np.nd
 
 
 def sketched(df: DataFrame, text_col: str, width: int) -> DataFrame:
-    """row_id, doc (all columns), n, set_key, registers, bands; written once."""
+    """row_id, doc (all columns), n, set_key, registers; written once."""
     small_batches(df.sparkSession, BATCH_ROWS)
 
-    @F.pandas_udf("struct<n:long,set_key:binary,registers:binary,bands:array<long>>")
+    @F.pandas_udf("struct<n:long,set_key:binary,registers:binary>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker.claim("near_dedup")
         for texts in batches:
@@ -209,7 +210,6 @@ def sketched(df: DataFrame, text_col: str, width: int) -> DataFrame:
                     "n": sizes,
                     "set_key": keys,
                     "registers": [r.tobytes() if ok else None for r, ok in zip(regs, some, strict=True)],
-                    "bands": [b if ok else None for b, ok in zip(band_hashes(regs), some, strict=True)],
                 }
             )
 
@@ -221,6 +221,23 @@ def sketched(df: DataFrame, text_col: str, width: int) -> DataFrame:
     return cut(rows.select("row_id", "doc", "s.*"), "sketches")
 
 
+def dealt_bands(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, band) of each class's first row, dealt by band.
+
+    Band hashes follow from the registers, so they are not stored. Their rows are most of what the
+    search for candidates moves: whoever groups or joins them by band reads this one exchange.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(kept: pd.Series) -> pd.Series:
+        return pd.Series(list(band_hashes(np.frombuffer(b"".join(kept), "<u2").reshape(len(kept), -1))))
+
+    # inner joins, as nodes and bands are unique on the right; a semi-join would sink below the hashes and the exchange.
+    # The join asks for bands that are not null; said here, both readers ask for the same exchange.
+    leaders = rows.filter("n > 0").select(F.col("row_id").alias("node"), hashes("registers").alias("bands")).join(classes.select("node"), "node")
+    return leaders.select("node", F.explode("bands").alias("band")).filter("band IS NOT NULL").repartition("band")
+
+
 # ------------------------------------------------------------------ linking
 
 
@@ -342,8 +359,8 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, width: int,
     return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """row_id, doc (all columns), n_shingles, component_id, stays (one row of each component)."""
+def grouped(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for each set_key (set_key, best): the keeper of its component."""
     made: list[str] = []
 
     def keep(frame: DataFrame, name: str) -> DataFrame:
@@ -362,9 +379,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min(keeper).alias("keeper"))
     classes = keep(classes, "classes")
 
-    leaders = rows.select("row_id", "bands").join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-    bands = leaders.select(F.col("row_id").alias("node"), F.explode("bands").alias("band"))
-    members = keep(bands.join(common_bands(bands), "band", "left_semi"), "members")
+    bands = dealt_bands(rows, classes)
+    members = keep(bands.join(common_bands(bands), "band"), "members")
 
     ids = keep(members.select(F.col("node").alias("row_id")).distinct(), "ids")
     most = ids.count()
@@ -410,20 +426,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = cut(groups.join(best, "root").select("set_key", "best"), "groups")
     for path in made:
         drop_path(df.sparkSession, path)
-    out = rows.select("row_id", "doc", "n", "set_key").join(groups, "set_key", "left")
+    return rows, groups
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, columns: list[str] | None = None) -> DataFrame:
+    """row_id, doc, n_shingles, component_id, stays (one row of each component).
+
+    ``doc`` has all columns, or those named: what it holds is shuffled once, so texts that nobody reads need not be named.
+    """
+    with held(df.sparkSession, SPARING):
+        rows, groups = grouped(df, id_col, text_col, width)
+    doc = F.col("doc") if columns is None else F.struct(*[F.col("doc")[c].alias(c) for c in columns])
+    ident = F.col("doc")[id_col].cast("long")
+    out = rows.select("row_id", doc.alias("doc"), ident.alias("ident"), "n", "set_key").join(groups, "set_key", "left")
     own = F.col("best").isNull()
     return out.select(
         "row_id",
         "doc",
         F.col("n").alias("n_shingles"),
-        F.when(own, ident).otherwise(F.col("best.id")).alias("component_id"),
+        F.when(own, F.col("ident")).otherwise(F.col("best.id")).alias("component_id"),
         (own | (F.col("best.row_id") == F.col("row_id"))).alias("stays"),
     )
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = near_duplicates(docs, width=2)
+    out = near_duplicates(docs, width=2, columns=["doc_id"])
     return out.select(
         "doc.doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.col("stays")).alias("kept")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doclake.functions.identifiers import normalise_doi
 from doclake.functions.text import alnum_key, clean
 from doclake.operators.pairs import spread_join
+from doclake.session import cut
 
 # Fixed value: the fields of a provider's message that are read.
 MESSAGE = (
@@ -53,6 +54,10 @@ def lookup_dois(wanted: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def lookup_titles(wanted: DataFrame, works: DataFrame) -> DataFrame:
-    """(document_id, work columns) for equal title keys, which meet as digests; similarity is judged afterwards."""
-    key = F.sha2(alnum_key(F.col("title")).cast("binary"), 256)
-    return spread_join(wanted.withColumn("key", key).drop("title"), works.withColumn("key", key), ["key"]).drop("key")
+    """(document_id, work columns) for equal title keys, which meet as digests; similarity is judged afterwards.
+
+    The digests are made once and stored: rows are counted by them before they are joined.
+    """
+    key = F.unhex(F.sha2(alnum_key(F.col("title")).cast("binary"), 256))
+    wanted, works = cut(wanted.withColumn("key", key).drop("title"), "wanted"), cut(works.withColumn("key", key), "works")
+    return spread_join(wanted, works, ["key"]).drop("key")

@@ -362,3 +362,12 @@ def test_versions_are_paired_by_digests_of_titles(spark):
     assert sorted((r["kind"], r["source_id"], r["target_id"]) for r in got.collect()) == [("related_to", "doc-2", "doc-3"), ("version_of", "doc-1", "doc-2"), ("version_of", "doc-1", "doc-3")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [title#" in plan and "Aggregate [title_key#" not in plan
+
+
+def test_title_keys_of_lookups_are_made_once(spark):
+    from doclake.sources import works
+
+    wanted = spark.createDataFrame([("doc-1", "One Title"), ("doc-2", "other")], "document_id string, title string")
+    found = works.lookup_titles(wanted, spark.createDataFrame([("w1", "one title!"), ("w2", "one  title")], "doi string, title string"))
+    assert sorted((r["document_id"], r["doi"]) for r in found.collect()) == [("doc-1", "w1"), ("doc-1", "w2")]
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()  # digests are read, whoever joins or counts

@@ -371,3 +371,40 @@ def test_title_keys_of_lookups_are_made_once(spark):
     found = works.lookup_titles(wanted, spark.createDataFrame([("w1", "one title!"), ("w2", "one  title")], "doi string, title string"))
     assert sorted((r["document_id"], r["doi"]) for r in found.collect()) == [("doc-1", "w1"), ("doc-1", "w2")]
     assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()  # digests are read, whoever joins or counts
+
+
+def test_every_two_rows_of_a_key_meet_once(spark, monkeypatch):
+    from itertools import combinations
+
+    from doclake.operators import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", 5)
+    rows = spark.createDataFrame([("hot", i) for i in range(23)] + [("cold", 100), ("cold", 101), ("one", 102), (None, 103), (None, 104)], "key string, n long")
+    got = pairs.spread_pairs(rows, ["key"], "n")
+    want = [("hot", a, b) for a, b in combinations(range(23), 2)] + [("cold", 100, 101)]
+    assert sorted(tuple(r) for r in got.select("key", "a.n", "b.n").collect()) == sorted(want)
+    assert got.filter("key = 'hot'").select(F.spark_partition_id()).distinct().count() > 3
+
+
+@pytest.fixture(scope="module")
+def one_title(spark, tmp_path_factory):
+    """Many documents of one title, and what their fields say."""
+    from doclake.plans import relations
+
+    path = str(tmp_path_factory.mktemp("one_title"))
+    rows = [(i, f"A title that very many documents have\nbody {i}", "en", "s1", 9) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    fields = relations.Input(spark, path).fields.filter("title_key IS NOT NULL AND doi IS NOT NULL").collect()
+    pairs = [(a, b) for a in fields for b in fields if a["document_id"] < b["document_id"] and a["doi"] != b["doi"]]
+    mixed = {(a["document_id"], b["document_id"]) if a["preprint"] else (b["document_id"], a["document_id"]) for a, b in pairs if a["preprint"] != b["preprint"]}
+    published = {(a["document_id"], b["document_id"]) for a, b in pairs if not a["preprint"] and not b["preprint"]}
+    assert len(fields) > 12 and len(mixed) > 6
+    return path, mixed, published
+
+
+def test_versions_of_a_large_group_are_all_found(spark, one_title):
+    path, mixed, published = one_title
+    rows = plans.queries()["relate_versions"](spark, path).collect()
+    assert len(rows) == len(mixed) + len(published)
+    assert {(r["source_id"], r["target_id"]) for r in rows if r["kind"] == "version_of"} == mixed
+    assert {(r["source_id"], r["target_id"]) for r in rows if r["kind"] == "related_to"} == published

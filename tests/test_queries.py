@@ -408,3 +408,37 @@ def test_versions_of_a_large_group_are_all_found(spark, one_title):
     assert len(rows) == len(mixed) + len(published)
     assert {(r["source_id"], r["target_id"]) for r in rows if r["kind"] == "version_of"} == mixed
     assert {(r["source_id"], r["target_id"]) for r in rows if r["kind"] == "related_to"} == published
+
+
+def test_a_run_of_all_detectors_leaves_out_no_pair_of_a_large_group(spark, one_title):
+    path, mixed, published = one_title
+    rows = plans.queries()["relate_detect"](spark, path).collect()
+    assert {(r["source_id"], r["target_id"]) for r in rows if r["kind"] == "version_of"} == mixed
+    assert {(r["source_id"], r["target_id"]) for r in rows if r["evidence_key"] == "same-title-different-doi"} == published
+    assert len({tuple(r) for r in rows}) == len(rows)
+
+
+def test_same_documents_of_a_large_group_are_all_found(spark):
+    from itertools import combinations
+
+    title = "On the aqueous solubility of long alcohols"
+    key = "ontheaqueoussolubilityoflongalcohols"
+    columns = "document_id string, artifact_id string, title string, doi string, type string, container string, title_key string, container_key string, first_family string, first_text string, stem string, preprint boolean"
+    texts = {0: f"Correction to: {title}", 9: f"Supporting information of {title}"}
+    # 0 to 9 share a DOI, 10 to 19 have none, 20 has another; of the last four, artifacts of two are one text; c is a text of 8 documents
+    rows = [(f"d{i:02}", f"a{i:02}", texts.get(i, title), "10.5555/x" if i < 10 else "10.5555/y" if i == 20 else None, "journal-article", None, key, None, "cruz", texts.get(i, title), "x", False) for i in range(21)]
+    rows += [(f"e{i}", f"b{i}", None, None, "journal-article", None, None, None, None, "text", "x", False) for i in range(8)]
+    docs = spark.createDataFrame(rows, columns)
+    prints = spark.createDataFrame([(f"b{i}", "c") for i in range(8)] + [(f"f{i}", "d") for i in range(2)] + [("a10", "p"), ("a11", "p")], "artifact_id string, fingerprint string")
+    owned = spark.createDataFrame([(r[0], r[1]) for r in rows] + [("e0", "f0"), ("e1", "f1")], "document_id string, artifact_id string")
+    got = [tuple(r)[:4] for r in relate.same_documents(docs, prints, owned).collect()]
+    assert len(set(got)) == len(got)
+    by = {e: {(s, t) for k, s, t, x in got if (k, x) == e} for e in {(k, x) for k, _, _, x in got}}
+    name = lambda i: f"d{i:02}"
+    plain = [i for i in range(10) if i not in texts]
+    assert by["same_document", "shared-doi"] == {(name(a), name(b)) for a, b in combinations(plain, 2)}
+    assert by["equivalent_to", "identical-text"] == {(f"b{a}", f"b{b}") for a, b in combinations(range(8), 2)} | {("f0", "f1"), ("a10", "a11")}
+    assert by["same_document", "identical-text"] == {(f"e{a}", f"e{b}") for a, b in combinations(range(8), 2)} | {("d10", "d11")}
+    apart = {tuple(sorted((r["source_id"], r["target_id"]))) for r in relate.supplement_pairs(docs).collect()}
+    titled = {(name(a), name(b)) for a, b in combinations(range(21), 2) if (a >= 10 or b >= 10) and b != 20} | {(name(i), name(20)) for i in range(10, 20)}
+    assert by["same_document", "same-title-and-first-author"] == titled - apart - {("d10", "d11")} and apart & titled

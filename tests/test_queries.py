@@ -442,3 +442,10 @@ def test_same_documents_of_a_large_group_are_all_found(spark):
     apart = {tuple(sorted((r["source_id"], r["target_id"]))) for r in relate.supplement_pairs(docs).collect()}
     titled = {(name(a), name(b)) for a, b in combinations(range(21), 2) if (a >= 10 or b >= 10) and b != 20} | {(name(i), name(20)) for i in range(10, 20)}
     assert by["same_document", "same-title-and-first-author"] == titled - apart - {("d10", "d11")} and apart & titled
+
+
+def test_a_run_tallies_every_pair_of_a_large_group(spark, one_title):
+    path, mixed, _ = one_title
+    rows = [r for r in plans.queries()["relate_run"](spark, path).collect() if r["kind"] == "version_of"]
+    tally = {r["outcome"]: r["proposals"] for r in rows}
+    assert tally.pop("stale") == len(mixed) and sum(tally.values()) == len(mixed)
